@@ -64,7 +64,9 @@ def bootstrap_mean(
     formed where the rows are read and only replicas reach the shuffle.
     """
     known = df.filter(F.col(value).isNotNull())
-    spread = known.select(
+    # Few rows become many draws: place them on all cores before they multiply.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = known.repartition(cores, *by, row_id).select(
         *by, F.col(value).alias("_x"), F.col(row_id).cast("string").alias("_id"),
         F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("_replica"),
     )

@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelsmith.operators.ordering import ONE_TASK_ROWS
+
+HOUR = 3600
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970, free of any time zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def time_bin(ts: Column, seconds: int) -> Column:
+    return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
+
+
+def bin_width(moments: DataFrame, key: str, ts: str) -> int:
+    """Seconds per bin such that the busiest key's busiest hour is cut to what fits a task.
+
+    Measured by counts per key and hour; one number comes back to the driver.
+    """
+    hours = moments.groupBy(key, time_bin(F.col(ts), HOUR)).agg(F.count(F.lit(1)).alias("n"))
+    busiest = hours.agg(F.max("n")).first()[0] or 0
+    return HOUR if busiest <= ONE_TASK_ROWS else max(1, HOUR * ONE_TASK_ROWS // busiest)
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, key: str, at: str, since: str, tie: str,
-    take: list[str], bin_seconds: int = 3600,
+    take: list[str], bin_seconds: int | None = None,
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before it.
 
@@ -23,8 +41,12 @@ def asof_join(
     Time is cut into bins, so that a key with very many rows spreads over
     many tasks.  A row first looks within its bin; failing that it takes the
     last right row of the earlier bins, which is carried from bin to bin over
-    one row per bin and key.  No pairs are formed.
+    one row per bin and key.  No pairs are formed.  The width of the bins is
+    measured unless ``bin_seconds`` gives it.
     """
+    if bin_seconds is None:
+        times = left.select(F.col(key).alias("key"), F.col(at).alias("ts"))
+        bin_seconds = bin_width(times.unionByName(right.select(F.col(key).alias("key"), F.col(since).alias("ts"))), "key", "ts")
     fields = [f"_l{i}" for i in range(len(left.columns))]
     picked = F.struct(*[F.col(c).alias(c) for c in take])
     asks = left.select(
@@ -35,9 +57,8 @@ def asof_join(
         F.col(key).alias("_key"), F.col(since).alias("_ts"), F.lit(0).alias("_side"),
         F.col(tie).cast("long").alias("_tie"), picked.alias("_right"),
     )
-    moments = asks.unionByName(answers, allowMissingColumns=True).withColumn(
-        "_bin", F.floor(micros(F.col("_ts")) / F.lit(bin_seconds * 1_000_000))
-    )
+    moments = asks.unionByName(answers, allowMissingColumns=True)
+    moments = moments.withColumn("_bin", time_bin(F.col("_ts"), bin_seconds))
     last_of_bin = F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_ts", "_tie")))
     earlier = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -60,7 +81,7 @@ def asof_join(
 
 def point_in_time_join(
     facts: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, tie: str,
-    take: list[str], bin_seconds: int = 30 * 86_400,
+    take: list[str], bin_seconds: int | None = None,
 ) -> DataFrame:
     """Each fact with the span of its key that holds at its time: start <= time < end.
 

@@ -98,7 +98,7 @@ def purchase_after_view(spark, folder):
         "user_id", F.col("ts").alias("view_ts"), F.col("value").alias("view_value"), F.col("event_id").alias("view_id")
     )
     return timejoin.asof_join(
-        purchases, views, "user_id", "ts", "view_ts", "view_id", ["view_ts", "view_value"], bin_seconds=3600
+        purchases, views, "user_id", "ts", "view_ts", "view_id", ["view_ts", "view_value"]
     )
 
 

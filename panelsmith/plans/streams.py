@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import tidy
+from panelsmith.operators.sessions import sessions
 from panelsmith.plans.inputs import r
 from panelsmith.plans.registry import query
 from panelsmith.sources.tables import load, load_stream
@@ -40,7 +41,7 @@ def stream_event_bars(spark, folder):
 
 @query(SESSIONS_SQL)
 def user_sessions(spark, folder):
-    return live.sessions(live.with_event_time(load(spark, folder, "events")), "6 hours", "user_id")
+    return sessions(load(spark, folder, "events"), 6 * 3600, "user_id")
 
 
 @query(f"SELECT * FROM ({SESSIONS_SQL}) WHERE last_ts + INTERVAL 6 HOURS <= {WATERMARK}")
@@ -71,7 +72,7 @@ def stream_running_features(spark, folder):
     stream = running_features(
         live.with_event_time(load_stream(spark, folder, "events")), "1 day", "user_id", "bigint", 0.2
     )
-    table = run_to_table(stream, "running-features")
+    table = run_to_table(stream, "running-features", own_state=True)
     return table.select(
         "user_id", F.col("bar_end").cast("timestamp_ntz").alias("bar_end"), "seen", "total",
         tidy("mean", 4).alias("mean"), tidy("change", 4).alias("change"),

@@ -12,16 +12,19 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Sessions of a busy key are merged where they are read, before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
 }
 
+# Keeps streaming state on local disk, backed up to the checkpoint, instead of in executor memory.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def cluster_session(app: str = "panelsmith") -> SparkSession:
     """Session for a cluster: master, memory and partitions come from submit."""
-    return _with_settings(SparkSession.builder.appName(app)).getOrCreate()
+    return _with_settings(SparkSession.builder.appName(app).config(STATE_STORE, ROCKSDB)).getOrCreate()
 
 
 def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "panelsmith") -> SparkSession:

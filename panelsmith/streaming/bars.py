@@ -45,6 +45,13 @@ def sessions(events: DataFrame, gap: str, key: str) -> DataFrame:
     )
 
 
-def drop_repeats(events: DataFrame, key: list[str]) -> DataFrame:
-    """The first row of each key; repeats are recognised up to the watermark's delay."""
-    return events.dropDuplicatesWithinWatermark(key)
+def drop_repeats(events: DataFrame, key: list[str], salts: int = 8) -> DataFrame:
+    """One row of each key; repeats are recognised up to the watermark's delay.
+
+    The copies of one key can be very many.  They are first thinned out in
+    ``salts`` tasks side by side, so that the task that owns the key sees at
+    most that many of them per spell of the watermark.
+    """
+    salted = events.withColumn("_salt", F.floor(F.rand() * salts).cast("int"))
+    thinned = salted.dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
+    return thinned.dropDuplicatesWithinWatermark(key)

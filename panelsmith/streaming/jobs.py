@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from panelsmith.session import SETTINGS
+from panelsmith.session import ROCKSDB, STATE_STORE
 from panelsmith.storage import new_path
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-
-def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None, own_state: bool = False
+) -> DataFrame:
     """Take in all files present, append to a Parquet table and return that table.
 
     A later call with the same ``path`` and ``checkpoint`` goes on where this
-    one stopped.  State is kept in RocksDB, so it is not bounded by the
-    memory of the executors.
+    one stopped.  State is kept where the session says; ``own_state`` is for
+    processors with state variables, which need the RocksDB store.
     """
     spark = stream.sparkSession
     path = path or new_path(spark, label)
     checkpoint = checkpoint or new_path(spark, f"{label}-progress")
     before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    if own_state:
+        spark.conf.set(STATE_STORE, ROCKSDB)
     try:
         query = (
             stream.writeStream.format("parquet").outputMode("append")
