@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import correlation, ratio, tidy
-from panelsmith.operators.ordering import average_ranks
+from panelsmith.operators.ordering import average_ranks, fits_one_task
 from panelsmith.operators.crosssection import bucket
 from panelsmith.operators.timeseries import past
 
@@ -72,7 +72,13 @@ def ic_summary(ics: DataFrame, ic: str = "rank_ic", by: list[str] = ["signal"])
 def ic_decay(
     df: DataFrame, horizons: list[int], x: str = "x", by: list[str] = SIGNAL_DAY, group_rows: int | None = None
 ) -> DataFrame:
-    """IC summary by signal and horizon, from targets ``fwd_<h>`` in one pass."""
+    """IC summary by signal and horizon, from targets ``fwd_<h>`` in one pass.
+
+    Rows are brought together before they are repeated per horizon, if a
+    cross-section is known to fit one task.
+    """
+    if fits_one_task(group_rows):
+        df = df.repartition(*by)
     targets = F.explode(
         F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
     )

@@ -21,8 +21,8 @@ def _numbered(rows: DataFrame, within: list[str], start: str, end: str, gap: int
 def sessions(events: DataFrame, gap_seconds: int, key: str, bin_seconds: int | None = None) -> DataFrame:
     """Runs of events of a key with pauses of at most ``gap_seconds``.
 
-    Runs are first formed within bins of time, so that a key with very many
-    events spreads over many tasks; then the runs of neighbouring bins are
+    If some key has too many events for a task, runs are first formed within
+    bins of time, over many tasks; then the runs of neighbouring bins are
     joined up.  The second step sees runs, not events.
     """
     if bin_seconds is None:
@@ -30,7 +30,7 @@ def sessions(events: DataFrame, gap_seconds: int, key: str, bin_seconds: int | N
     gap = gap_seconds * 1_000_000
     timed = events.select(
         key, F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), F.lit(1).cast("long").alias("n"),
-        hundredths("value").alias("_total"), time_bin(F.col("ts"), bin_seconds).alias("_bin"),
+        hundredths("value").alias("_total"),
     )
 
     def merge(rows: DataFrame, within: list[str]) -> DataFrame:
@@ -40,5 +40,8 @@ def sessions(events: DataFrame, gap_seconds: int, key: str, bin_seconds: int | N
             F.sum("n").alias("n"), F.sum("_total").alias("_total"),
         ).drop("_run")
 
-    joined = merge(merge(timed, [key, "_bin"]).drop("_bin"), [key])
+    if bin_seconds is not None:
+        binned = timed.withColumn("_bin", time_bin(F.col("first_ts"), bin_seconds))
+        timed = merge(binned, [key, "_bin"]).drop("_bin")
+    joined = merge(timed, [key])
     return joined.select(key, "first_ts", "last_ts", "n", (F.col("_total") / F.lit(100.0)).alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.operators.ordering import ONE_TASK_ROWS
+from panelsmith.operators.ordering import ONE_TASK_ROWS, attach
 
 HOUR = 3600
 
@@ -19,13 +19,19 @@ def time_bin(ts: Column, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
 
 
-def bin_width(moments: DataFrame, key: str, ts: str) -> int:
-    """Seconds per bin such that the busiest key's busiest hour is cut to what fits a task.
+def bin_width(moments: DataFrame, key: str, ts: str) -> int | None:
+    """Seconds per bin such that a key's rows in a bin fit a task; None if every key fits as it is.
 
-    Measured by counts per key and hour; one number comes back to the driver.
+    Measured by counts per key, and per key and hour only if some key is too
+    large; one number comes back to the driver each time.
     """
-    hours = moments.groupBy(key, time_bin(F.col(ts), HOUR)).agg(F.count(F.lit(1)).alias("n"))
-    busiest = hours.agg(F.max("n")).first()[0] or 0
+
+    def most(*by: Column | str) -> int:
+        return moments.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    if most(key) <= ONE_TASK_ROWS:
+        return None
+    busiest = most(key, time_bin(F.col(ts), HOUR))
     return HOUR if busiest <= ONE_TASK_ROWS else max(1, HOUR * ONE_TASK_ROWS // busiest)
 
 
@@ -38,12 +44,16 @@ def asof_join(
     Columns ``take`` of the right side are added, NULL where there is none.
     Equal times on the right side are settled by the largest ``tie``.
 
-    Time is cut into bins, so that a key with very many rows spreads over
-    many tasks.  A row first looks within its bin; failing that it takes the
-    last right row of the earlier bins, which is carried from bin to bin over
-    one row per bin and key.  No pairs are formed.  The width of the bins is
-    measured unless ``bin_seconds`` gives it.
+    Both sides are put in one order of time and the last right row is carried
+    along; no pairs are formed.  If some key has too many rows for a task,
+    time is cut into bins.  A row then first looks within its bin; failing
+    that it takes the last right row of the earlier bins, which is carried
+    over one row per bin and key.  The width of the bins is measured unless
+    ``bin_seconds`` gives it.
     """
+    clash = set(left.columns) & set(take)
+    if clash:
+        raise ValueError(f"both sides have {sorted(clash)}; rename them first")
     if bin_seconds is None:
         times = left.select(F.col(key).alias("key"), F.col(at).alias("ts"))
         bin_seconds = bin_width(times.unionByName(right.select(F.col(key).alias("key"), F.col(since).alias("ts"))), "key", "ts")
@@ -58,24 +68,27 @@ def asof_join(
         F.col(tie).cast("long").alias("_tie"), picked.alias("_right"),
     )
     moments = asks.unionByName(answers, allowMissingColumns=True)
-    moments = moments.withColumn("_bin", time_bin(F.col("_ts"), bin_seconds))
-    last_of_bin = F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_ts", "_tie")))
-    earlier = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        moments.groupBy("_key", "_bin").agg(last_of_bin.alias("_last"))
-        .select("_key", "_bin", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-        .filter(F.col("_carried").isNotNull())
-    )
+    parts = ["_key"]
+    if bin_seconds is not None:
+        moments = moments.withColumn("_bin", time_bin(F.col("_ts"), bin_seconds))
+        parts = ["_key", "_bin"]
     within = (
-        Window.partitionBy("_key", "_bin").orderBy("_ts", "_side", "_tie")
-        .rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*parts).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     )
-    found = moments.withColumn("_near", F.last("_right", ignorenulls=True).over(within)).filter("_side = 1")
-    matched = found.drop("_right").join(carried, ["_key", "_bin"], "left")
-    right_row = F.coalesce(F.col("_near"), F.col("_carried"))
+    matched = moments.withColumn("_found", F.last("_right", ignorenulls=True).over(within)).filter("_side = 1")
+    if bin_seconds is not None:
+        last_of_bin = F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_ts", "_tie")))
+        earlier = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            moments.groupBy("_key", "_bin").agg(last_of_bin.alias("_last"))
+            .select("_key", "_bin", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+            .filter(F.col("_carried").isNotNull())
+        )
+        matched = matched.drop("_right").join(carried, parts, "left")
+        matched = matched.withColumn("_found", F.coalesce("_found", "_carried"))
     return matched.select(
         *[F.col(f).alias(c) for c, f in zip(left.columns, fields)],
-        *[right_row[c].alias(c) for c in take],
+        *[F.col("_found")[c].alias(c) for c in take],
     )
 
 
@@ -95,19 +108,55 @@ def point_in_time_join(
     return joined.select(*facts.columns, *[F.when(holds, F.col(c)).alias(c) for c in take])
 
 
-def spans_from_changes(changes: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    """Turn dated changes into spans [valid_from, valid_to); of changes at one moment the largest ``tie`` counts."""
+def spans_from_changes(
+    changes: DataFrame, key: str, at: str, tie: str, bin_seconds: int | None = None
+) -> DataFrame:
+    """Turn dated changes into spans [valid_from, valid_to); of changes at one moment the largest ``tie`` counts.
+
+    If some key has too many rows for a task, the next change is looked for
+    within a bin of time, and else is the first one of the later bins.
+    """
+    if bin_seconds is None:
+        bin_seconds = bin_width(changes, key, at)
     rest = [c for c in changes.columns if c not in (key, at)]
     one = changes.groupBy(key, at).agg(F.max_by(F.struct(*rest), F.col(tie)).alias("_row"))
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at))
-    return one.select(
-        key, F.col(at).alias("valid_from"), following.alias("valid_to"), *[F.col("_row")[c].alias(c) for c in rest]
+    if bin_seconds is None:
+        dated = one.withColumn("_until", F.lead(at).over(Window.partitionBy(key).orderBy(at)))
+    else:
+        dated = _next_over_bins(one, changes, key, at, bin_seconds)
+    return dated.select(
+        key, F.col(at).alias("valid_from"), F.col("_until").alias("valid_to"),
+        *[F.col("_row")[c].alias(c) for c in rest],
     )
 
 
-def overlapping_spans(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def _next_over_bins(one: DataFrame, changes: DataFrame, key: str, at: str, bin_seconds: int) -> DataFrame:
+    one = one.withColumn("_bin", time_bin(F.col(at), bin_seconds))
+    later = Window.partitionBy(key).orderBy("_bin").rowsBetween(1, Window.unboundedFollowing)
+    firsts = changes.groupBy(key, time_bin(F.col(at), bin_seconds).alias("_bin")).agg(F.min(at).alias("_first"))
+    firsts = firsts.select(key, "_bin", F.min("_first").over(later).alias("_later"))
+    near = F.lead(at).over(Window.partitionBy(key, "_bin").orderBy(at))
+    both = attach(one.withColumn("_near", near), firsts, [key, "_bin"])
+    return both.withColumn("_until", F.coalesce("_near", "_later"))
+
+
+def overlapping_spans(
+    spans: DataFrame, key: str, start: str, end: str, bin_seconds: int | None = None
+) -> DataFrame:
     """Spans that begin before an earlier span of the same key has ended."""
+    if bin_seconds is None:
+        bin_seconds = bin_width(spans, key, start)
     far = F.lit("9999-12-31").cast("timestamp_ntz")
-    before = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    latest_end = F.max(F.coalesce(F.col(end).cast("timestamp_ntz"), far)).over(before)
-    return spans.withColumn("_end", latest_end).filter(F.col(start) < F.col("_end")).drop("_end")
+    ends = spans.withColumn("_until", F.coalesce(F.col(end).cast("timestamp_ntz"), far))
+    if bin_seconds is None:
+        before = Window.partitionBy(key).orderBy(start, "_until").rowsBetween(Window.unboundedPreceding, -1)
+        latest = ends.withColumn("_latest", F.max("_until").over(before))
+        return latest.filter(F.col(start) < F.col("_latest")).select(*spans.columns)
+    ends = ends.withColumn("_bin", time_bin(F.col(start), bin_seconds))
+    earlier = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = ends.groupBy(key, "_bin").agg(F.max("_until").alias("_last"))
+    lasts = lasts.select(key, "_bin", F.max("_last").over(earlier).alias("_before"))
+    inside = Window.partitionBy(key, "_bin").orderBy(start, "_until").rowsBetween(Window.unboundedPreceding, -1)
+    near = ends.withColumn("_near", F.max("_until").over(inside))
+    open_until = F.greatest("_near", "_before")
+    return attach(near, lasts, [key, "_bin"]).filter(F.col(start) < open_until).select(*spans.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelsmith.functions.numeric import ratio
 from panelsmith.operators import timeseries as ts
 from panelsmith.operators.evaluation import forward_returns, long_form
+from panelsmith.operators.ordering import fits_one_task
 from panelsmith.sources.panels import build_panel
 from panelsmith.sources.tables import load
 from panelsmith.storage import Stored, keep_panel
@@ -51,10 +52,19 @@ def signals(spark: SparkSession, folder: str) -> Stored:
 
 
 def long_signals(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    """Signals in long form, and the measured size of the largest signal-day."""
+    """Signals in long form, and the measured size of the largest signal-day.
+
+    When a day fits one task, the wide rows are brought together by day before
+    they are spread over the signals: everything done per signal and day then
+    runs without moving the longer table.
+    """
     stored = signals(spark, folder)
-    keep = ["asset", "grp", "d", *[f"fwd_{h}" for h in HORIZONS]]
-    return long_form(stored.df, SIGNALS, keep), stored.max_day_rows
+    wide = stored.df.repartition("d") if fits_one_task(stored.max_day_rows) else stored.df
+    return spread_signals(wide), stored.max_day_rows
+
+
+def spread_signals(wide: DataFrame) -> DataFrame:
+    return long_form(wide, SIGNALS, ["asset", "grp", "d", *[f"fwd_{h}" for h in HORIZONS]])
 
 
 def r(expression: str, places: int = 6) -> str:

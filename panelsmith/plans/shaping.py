@@ -11,6 +11,7 @@ from panelsmith.operators import calendar, quality, timejoin
 from panelsmith.plans.inputs import PAST, panel, panel_from_tables, panel_sql, r
 from panelsmith.plans.registry import query
 from panelsmith.sources.tables import SCHEMAS, load
+from panelsmith.storage import settle
 
 
 @query("\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in SCHEMAS))
@@ -118,9 +119,10 @@ def priority_at_shipment(spark, folder):
     changes = orders.select(
         "o_custkey", "o_orderdate", F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("change_id")
     )
-    spans = timejoin.spans_from_changes(changes, "o_custkey", "o_orderdate", "change_id")
+    spans = settle(timejoin.spans_from_changes(changes, "o_custkey", "o_orderdate", "change_id"), "spans")
     lines = load(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
     shipped = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("o_custkey", "l_shipdate", "l_quantity")
+    shipped = settle(shipped, "shipped")  # like the spans, read more than once below
     held = timejoin.point_in_time_join(
         shipped, spans, "o_custkey", "l_shipdate", "valid_from", "valid_to", "change_id", ["priority"]
     )

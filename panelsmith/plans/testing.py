@@ -22,6 +22,7 @@ from panelsmith.plans.inputs import (
     panel_sql,
     r,
     signals,
+    spread_signals,
     volume_shock,
 )
 from panelsmith.plans.registry import query
@@ -186,8 +187,8 @@ def book_risk(spark, folder):
       FROM lagged GROUP BY signal)
     SELECT signal, days, {r('m', 9)} AS mean_slope, {r('m / nullif(sqrt(s) / days, 0e0)')} AS t_value FROM sums""")
 def signal_fama_macbeth(spark, folder):
-    df, _ = long_signals(spark, folder)
-    return inference.fama_macbeth(df)
+    # Plain aggregates, partly formed where the rows are read: no placing by day.
+    return inference.fama_macbeth(spread_signals(signals(spark, folder).df))
 
 
 STEPS_SQL = " + ".join(f"CAST(u >= {step!r} AS INTEGER)" for step in inference._poisson_steps())

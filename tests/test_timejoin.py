@@ -43,10 +43,30 @@ def test_asof_join(sides, seconds):
 
 
 def test_bin_width_cuts_a_busy_hour(spark, monkeypatch):
-    df = spark.range(1000).select(F.lit(1).alias("k"), F.lit(START).cast("timestamp_ntz").alias("ts"))
-    assert timejoin.bin_width(df, "k", "ts") == 3600
+    start = F.lit(START).cast("timestamp_ntz")
+    df = spark.range(1000).select("id", F.lit(1).alias("k"), start.alias("ts"))
+    assert timejoin.bin_width(df, "k", "ts") is None
     monkeypatch.setattr(timejoin, "ONE_TASK_ROWS", 10)
     assert timejoin.bin_width(df, "k", "ts") == 36
+    spread = df.withColumn("ts", start + F.make_dt_interval(hours=F.col("id").cast("int")))
+    assert timejoin.bin_width(spread, "k", "ts") == 3600
+
+
+@pytest.mark.parametrize("seconds", [None, 600, 86_400])
+def test_spans_from_changes(sides, seconds):
+    _, right = sides
+    changes = right.filter("k IS NOT NULL").select("k", F.col("since").alias("at"), "id")
+    got = timejoin.spans_from_changes(changes, "k", "at", "id", seconds).toPandas().sort_values(["k", "valid_from"])
+    raw = changes.toPandas().sort_values(["k", "at", "id"]).drop_duplicates(["k", "at"], keep="last")
+    assert got["id"].tolist() == raw["id"].tolist()
+    want = raw.groupby("k")["at"].shift(-1).reset_index(drop=True)
+    pd.testing.assert_series_equal(got["valid_to"].reset_index(drop=True), want, check_names=False)
+
+
+def test_asof_join_refuses_columns_of_one_name(sides):
+    left, right = sides
+    with pytest.raises(ValueError, match="v"):
+        timejoin.asof_join(left, right, "k", "at", "since", "id", ["v"])
 
 
 def test_point_in_time_join(spark):
@@ -62,11 +82,12 @@ def test_point_in_time_join(spark):
     assert [r.grade for r in got.orderBy("at").collect()] == [None, "a", "a", "c", "c", None, None]
 
 
-def test_overlapping_spans(spark):
+@pytest.mark.parametrize("seconds", [None, 86_400, 30 * 86_400])
+def test_overlapping_spans(spark, seconds):
     spans = spark.createDataFrame(
         [(1, 0, 5), (1, 5, 9), (1, 6, 7), (2, 0, None), (2, 3, 4)], "k int, a int, b int"
     ).select("k", *[F.when(F.col(c).isNotNull(), F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(days=F.col(c))).alias(c) for c in ("a", "b")])
-    found = timejoin.overlapping_spans(spans, "k", "a", "b")
+    found = timejoin.overlapping_spans(spans, "k", "a", "b", seconds)
     assert [(r.k, (r.a - START).days) for r in found.orderBy("k").collect()] == [(1, 6), (2, 3)]
 
 
