@@ -40,8 +40,7 @@ def daily_ic(
     pairs = df.filter(F.col(x).isNotNull() & F.col(target).isNotNull()).select(
         *by, tidy(x, RANK_PLACES).alias("_x"), tidy(target, RANK_PLACES).alias("_y")
     )
-    ranked = average_ranks(pairs, by, "_x", "_rank_x", group_rows)
-    ranked = average_ranks(ranked, by, "_y", "_rank_y", group_rows)
+    ranked = average_ranks(pairs, by, {"_x": "_rank_x", "_y": "_rank_y"}, group_rows)
     return (
         ranked.groupBy(*by)
         .agg(

@@ -68,23 +68,26 @@ def bootstrap_mean(
     cores = df.sparkSession.sparkContext.defaultParallelism
     spread = known.repartition(cores, *by, row_id).select(
         *by, F.col(value).alias("_x"), F.col(row_id).cast("string").alias("_id"),
-        F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("_replica"),
+        F.explode(F.sequence(F.lit(0), F.lit(replicas))).alias("_replica"),
     )
     digest = F.md5(F.concat(F.col("_replica").cast("string"), F.lit(":"), F.col("_id")))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    times = sum(((draw >= F.lit(step)).cast("int") for step in _poisson_steps()), F.lit(0))
+    drawn = sum(((F.col("_draw") >= F.lit(step)).cast("int") for step in _poisson_steps()), F.lit(0))
+    # Replica 0 counts every row once and so gives the plain mean.
     means = (
-        spread.withColumn("_times", times)
+        spread.withColumn("_draw", draw)  # a column of its own, so that the hash is taken once
+        .withColumn("_times", F.when(F.col("_replica") == 0, 1).otherwise(drawn))
         .groupBy(*by, "_replica")
         .agg(ratio(F.sum(F.col("_times") * F.col("_x")), F.sum("_times").cast("double")).alias("_m"))
     )
+    resampled = F.when(F.col("_replica") > 0, F.col("_m"))
     tail = (1.0 - level) / 2.0
-    interval = means.groupBy(*by).agg(
-        F.count("_m").alias("replicas"),
-        tidy(F.percentile("_m", F.lit(tail))).alias("low"), tidy(F.percentile("_m", F.lit(1.0 - tail))).alias("high"),
+    return means.groupBy(*by).agg(
+        tidy(F.max(F.when(F.col("_replica") == 0, F.col("_m")))).alias("mean"),
+        F.count(resampled).alias("replicas"),
+        tidy(F.percentile(resampled, F.lit(tail))).alias("low"),
+        tidy(F.percentile(resampled, F.lit(1.0 - tail))).alias("high"),
     )
-    centre = known.groupBy(*by).agg(tidy(F.avg(value)).alias("mean"))
-    return attach(centre, interval, by)
 
 
 def signal_correlations(panel: DataFrame, signals: list[str]) -> DataFrame:

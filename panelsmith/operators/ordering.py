@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelsmith.functions.numeric import ratio
 from panelsmith.storage import settle
@@ -39,58 +40,57 @@ def attach(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(renamed, match, "left").drop(*[f"_key_{k}" for k in keys])
 
 
+def _cuts(x: str, slices: int) -> Column:
+    spots = [i / slices for i in range(1, slices)]
+    return F.array_distinct(F.percentile_approx(x, spots, CUT_ACCURACY))
+
+
 def _below(cuts: str, x: Column) -> Column:
     return F.size(F.filter(F.col(cuts), lambda cut: cut < x))
 
 
-def slice_in_order(df: DataFrame, by: list[str], value: str, tie: str | None, slices: int = SLICES) -> DataFrame:
+def _is_cut(cuts: str, x: Column) -> Column:
+    return F.coalesce(F.array_contains(cuts, x), F.lit(False))
+
+
+def _slice_number(cuts: str, x: Column, slices: int) -> Column:
+    """Odd for a value that is itself a cut, even between cuts, largest for NULL."""
+    number = 2 * _below(cuts, x) + _is_cut(cuts, x).cast("int")
+    return F.when(x.isNull(), F.lit(2 * slices)).otherwise(number)
+
+
+def slice_in_order(df: DataFrame, by: list[str], value: str, tie: str, slices: int = SLICES) -> DataFrame:
     """Add ``_major`` and ``_minor``, whose order within a group follows (value, tie), NULL values last.
 
     A value that is itself a cut, and so may repeat very often, gets a slice
     of its own, which is cut again by ``tie``.  The result is written, because
     several passes must see the same cuts.
     """
-    spots = [i / slices for i in range(1, slices)]
-    cuts = [F.array_distinct(F.percentile_approx(value, spots, CUT_ACCURACY)).alias("_cuts")]
-    if tie:
-        cuts.append(F.array_distinct(F.percentile_approx(tie, spots, CUT_ACCURACY)).alias("_tie_cuts"))
-    marked = attach(df, df.groupBy(*by).agg(*cuts), by)
+    cuts = df.groupBy(*by).agg(_cuts(value, slices).alias("_cuts"), _cuts(tie, slices).alias("_tie_cuts"))
     x = F.col(value)
-    alone = F.coalesce(F.array_contains("_cuts", x), F.lit(False))
-    major = F.when(x.isNull(), F.lit(2 * slices)).otherwise(2 * _below("_cuts", x) + alone.cast("int"))
-    minor = F.lit(0)
-    if tie:
-        minor = F.when(x.isNull() | alone, _below("_tie_cuts", F.col(tie))).otherwise(0)
-    marked = marked.withColumn("_major", major).withColumn("_minor", minor).drop("_cuts", "_tie_cuts")
-    return settle(marked, "slices")
-
-
-def running_total(
-    df: DataFrame, by: list[str], value: str, tie: str | None, weight: Column, out: str, total: str,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Running sum of ``weight`` in the order (value, tie), and its sum over the group.
+    marked = attach(df, cuts, by).withColumn("_major", _slice_number("_cuts", x, slices))
+    alone = x.isNull() | _is_cut("_cuts", x)
+    marked = marked.withColumn("_minor", F.when(alone, _below("_tie_cuts", F.col(tie))).otherwise(0))
+    return settle(marked.drop("_cuts", "_tie_cuts"), "slices")
 
-    Works slice by slice, so that no task holds a whole group.  Only the
-    totals of the slices, a few thousand per group at most, meet in one task.
-    """
+
+def _positions_by_slice(df: DataFrame, by: list[str], value: str, tie: str, out: str, total: str, slices: int) -> DataFrame:
+    """Only the counts of the slices, a few thousand per group at most, meet in one task."""
     marked = slice_in_order(df, by, value, tie, slices)
     keys = [*by, "_major", "_minor"]
-    sums = marked.groupBy(*keys).agg(F.sum(weight).alias("_sum"))
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_major", "_minor").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sums.select(
+    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+    shifts = counts.select(
         *keys,
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_sum").over(group).alias(total),
+        F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_count").over(group).alias(total),
     )
-    inside = Window.partitionBy(*keys).orderBy(value, *([tie] if tie else []))
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ordered = marked.withColumn(out, F.sum(weight).over(inside))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value, tie))
     return (
-        attach(ordered, shifts, keys)
-        .withColumn(out, F.col(out) + F.col("_before"))
-        .drop("_before", "_major", "_minor")
+        attach(marked.withColumn("_place", place), shifts, keys)
+        .withColumn(out, F.col("_place") + F.col("_before"))
+        .drop("_place", "_before", "_major", "_minor")
     )
 
 
@@ -103,7 +103,7 @@ def positions(
     ``tie`` must be numeric and tell the rows of a group apart.
     """
     if not fits_one_task(group_rows):
-        return running_total(df, by, value, tie, F.lit(1), out, total, slices)
+        return _positions_by_slice(df, by, value, tie, out, total, slices)
     group = Window.partitionBy(*by)
     order = group.orderBy(F.col(value).asc_nulls_last(), tie)
     return df.withColumn(out, F.row_number().over(order).cast("long")).withColumn(
@@ -111,22 +111,47 @@ def positions(
     )
 
 
+def _mean_rank(order: WindowSpec) -> Column:
+    """Mean of the first and the last place that equal values take."""
+    through = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    return (F.rank().over(order) + through) / F.lit(2.0)
+
+
 def average_ranks(
-    df: DataFrame, by: list[str], value: str, out: str, group_rows: int | None = None, slices: int = SLICES
+    df: DataFrame, by: list[str], ranks: dict[str, str], group_rows: int | None = None, slices: int = SLICES
 ) -> DataFrame:
-    """Rank within the group, equal values sharing their mean rank; NULL for NULL."""
+    """Rank each column of ``ranks`` within its group into the column it names.
+
+    Equal values share their mean rank; NULL has none.  Equal values always
+    fall into one slice.  A slice of a single value needs no order, as its rank
+    follows from its size alone, so its rows may lie anywhere.
+    """
     if fits_one_task(group_rows):
-        order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-        through = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, 0))
-        mean = (F.rank().over(order) + through) / F.lit(2.0)
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), mean))
-    known = df.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count"))
-    through = running_total(counts, by, value, None, F.col("_count"), "_through", "_n", slices)
-    ranks = through.select(
-        *by, value, ((2 * F.col("_through") - F.col("_count") + 1) / F.lit(2.0)).alias(out)
-    )
-    return attach(df, ranks, [*by, value])
+        for value, out in ranks.items():
+            order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+            df = df.withColumn(out, F.when(F.col(value).isNotNull(), _mean_rank(order)))
+        return df
+    cuts = df.groupBy(*by).agg(*[_cuts(v, slices).alias(f"_cuts_{v}") for v in ranks])
+    marked = attach(df, cuts, by)
+    for value in ranks:
+        x, name = F.col(value), f"_cuts_{value}"
+        anywhere = F.floor(F.rand() * slices).cast("int")
+        marked = marked.withColumn(f"_major_{value}", _slice_number(name, x, slices)).withColumn(
+            f"_minor_{value}", F.when(x.isNull() | _is_cut(name, x), anywhere).otherwise(0)
+        ).drop(name)
+    written = settle(marked, "ranks")
+    ranked = written
+    for value, out in ranks.items():
+        major, minor = f"_major_{value}", f"_minor_{value}"
+        earlier = Window.partitionBy(*by).orderBy(major).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = written.groupBy(*by, major).agg(F.count(F.lit(1)).alias("_size"))
+        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        near = _mean_rank(Window.partitionBy(*by, major, minor).orderBy(value))
+        ranked = attach(ranked.withColumn("_near", near), sizes, [*by, major])
+        inside = F.when(F.col(major) % 2 == 1, (F.col("_size") + 1) / F.lit(2.0)).otherwise(F.col("_near"))
+        ranked = ranked.withColumn(out, F.when(F.col(value).isNotNull(), F.col("_before") + inside))
+        ranked = ranked.drop("_near", "_size", "_before", major, minor)
+    return ranked
 
 
 def group_quantiles(

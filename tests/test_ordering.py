@@ -46,10 +46,11 @@ def test_no_slice_holds_a_large_part_of_a_hot_group(skewed):
 
 
 def test_average_ranks(skewed):
-    plain = as_pandas(average_ranks(skewed, ["g"], "x", "rank", group_rows=6000))
-    sliced = as_pandas(average_ranks(skewed, ["g"], "x", "rank", slices=16))
+    plain = as_pandas(average_ranks(skewed, ["g"], {"x": "rank", "asset": "other"}, group_rows=6000))
+    sliced = as_pandas(average_ranks(skewed, ["g"], {"x": "rank", "asset": "other"}, slices=16))
     pd.testing.assert_frame_equal(plain, sliced[plain.columns])
-    assert np.allclose(plain["rank"], plain.groupby("g")["x"].rank(), equal_nan=True)
+    for column, rank in (("x", "rank"), ("asset", "other")):
+        assert np.allclose(plain[rank], plain.groupby("g")[column].rank(), equal_nan=True)
 
 
 def test_quantiles(skewed):
