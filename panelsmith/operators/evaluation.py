@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import correlation, ratio, tidy
-from panelsmith.operators.ordering import average_ranks, fits_one_task
+from panelsmith.operators.ordering import average_ranks
 from panelsmith.operators.crosssection import bucket
 from panelsmith.operators.timeseries import past
 
@@ -28,8 +28,13 @@ def forward_returns(panel: DataFrame, horizons: list[int], px: str = "px") -> Da
 
 
 def long_form(panel: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
-    """One row per signal, asset and day."""
-    return panel.unpivot(keep, signals, "signal", "x")
+    """One row per signal, asset and day.
+
+    ``stack`` leaves rows where they are, so a placing by day made before it
+    still serves everything done per signal and day; ``unpivot`` would lose it.
+    """
+    pairs = [part for s in signals for part in (F.lit(s), F.col(s))]
+    return panel.select(*keep, F.stack(F.lit(len(signals)), *pairs).alias("signal", "x"))
 
 
 def daily_ic(
@@ -71,13 +76,7 @@ def ic_summary(ics: DataFrame, ic: str = "rank_ic", by: list[str] = ["signal"])
 def ic_decay(
     df: DataFrame, horizons: list[int], x: str = "x", by: list[str] = SIGNAL_DAY, group_rows: int | None = None
 ) -> DataFrame:
-    """IC summary by signal and horizon, from targets ``fwd_<h>`` in one pass.
-
-    Rows are brought together before they are repeated per horizon, if a
-    cross-section is known to fit one task.
-    """
-    if fits_one_task(group_rows):
-        df = df.repartition(*by)
+    """IC summary by signal and horizon, from targets ``fwd_<h>`` in one pass."""
     targets = F.explode(
         F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
     )

@@ -47,6 +47,8 @@ def test_daily_ic_of_known_size_shuffles_once(spark, capsys):
     df, rows = long_signals(spark, FOLDER)
     text = plan(ev.daily_ic(df, group_rows=rows), capsys)
     assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1
+    text = plan(ev.ic_decay(df, [1, 5], group_rows=rows), capsys)
+    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2  # and one for the sums over days
 
 
 def test_schema_mismatch_is_reported(spark, tmp_path):
