@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import linededup
+from panelsmith.llm import linededup, minhash
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -22,6 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by three-word shingles of similarity 0.85 or more."""
+    return minhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85)
+
+
 @query("""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
