@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import linededup, minhash
+from panelsmith.llm import langid, linededup, minhash
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -51,3 +51,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines, those dropped as repeated, and the digest of what stays."""
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    named = langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return named.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
