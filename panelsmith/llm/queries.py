@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import langid, linededup, minhash
+from panelsmith.llm import langid, linededup, minhash, mixing
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -22,6 +22,67 @@ def query(sql: str | None = None):
     return add
 
 
+@query(r"""
+WITH units AS (
+    SELECT DISTINCT doc_id, text, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4, 0) AS domain,
+           coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
+    FROM documents
+), leaves AS (
+    SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM units GROUP BY ALL
+), d AS (
+    SELECT domain, 2 * sum(tokens)::BIGINT AS capacity, CASE domain WHEN 'd0' THEN 2 ELSE 1 END AS weight,
+           (SELECT sum(tokens)::BIGINT * 3 // 5 FROM leaves) AS parent_budget
+    FROM leaves GROUP BY domain
+), d_level AS (
+    SELECT *, (parent_budget - coalesce(sum(capacity) OVER (ORDER BY capacity / weight, capacity
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+              / (sum(weight) OVER (ORDER BY capacity / weight, capacity ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS l
+    FROM d
+), d_budget AS (
+    SELECT domain, least(capacity, floor(max(l) OVER () * weight)::BIGINT) AS budget FROM d_level
+), g AS (
+    SELECT domain, lang, 2 * sum(tokens)::BIGINT AS capacity,
+           CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, any_value(budget) AS parent_budget
+    FROM leaves JOIN d_budget USING (domain) GROUP BY domain, lang
+), g_level AS (
+    SELECT *, (parent_budget - coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / weight, capacity
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+              / (sum(weight) OVER (PARTITION BY domain ORDER BY capacity / weight, capacity
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS l
+    FROM g
+), g_budget AS (
+    SELECT domain, lang, least(capacity, floor(max(l) OVER (PARTITION BY domain) * weight)::BIGINT) AS budget FROM g_level
+), s AS (
+    SELECT domain, lang, source, tokens, 2 * tokens AS capacity, CASE source WHEN 'src0' THEN 3 ELSE 1 END AS weight, budget AS parent_budget
+    FROM leaves JOIN g_budget USING (domain, lang)
+), s_level AS (
+    SELECT *, (parent_budget - coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity / weight, capacity
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+              / (sum(weight) OVER (PARTITION BY domain, lang ORDER BY capacity / weight, capacity
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS l
+    FROM s
+), s_budget AS (
+    SELECT domain, lang, source, tokens, least(capacity, floor(max(l) OVER (PARTITION BY domain, lang) * weight)::BIGINT) AS budget
+    FROM s_level
+), placed AS (
+    SELECT u.*, b.tokens, b.budget, e.epoch, e.epoch * b.tokens + coalesce(sum(u.n_tokens) OVER (
+               PARTITION BY u.domain, u.lang, u.source, e.epoch ORDER BY md5('mix:' || e.epoch || ':' || u.doc_id), u.doc_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tokens_before
+    FROM units u JOIN s_budget b USING (domain, lang, source) CROSS JOIN (SELECT unnest([0, 1])::INTEGER AS epoch) e
+    WHERE u.n_tokens > 0
+)
+SELECT doc_id, epoch, domain, lang, source, n_tokens, budget AS leaf_budget, tokens_before::BIGINT AS tokens_before,
+       least(n_tokens, budget - tokens_before)::BIGINT AS used_tokens
+FROM placed WHERE tokens_before < budget
+""")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken in each epoch so that three fifths of all tokens are mixed to the target weights."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    taken = mixing.choose(mixing.units_of(docs, mixing.LEVELS), list(mixing.LEVELS), mixing.WEIGHTS, share=(3, 5), epochs=2)
+    return taken.withColumnRenamed("doc", "doc_id").drop("version")
+
+
 @query()
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by three-word shingles of similarity 0.85 or more."""
