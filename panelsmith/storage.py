@@ -31,13 +31,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/panelsmith/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
-    return _write(df, new_path(df.sparkSession, label))
+    return _write(df, new_path(df.sparkSession, label), compression)
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
