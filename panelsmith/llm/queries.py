@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import langid, linededup, minhash, mixing
+from panelsmith.llm import langid, linededup, minhash, mixing, packing
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -22,6 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
 @query(r"""
 WITH units AS (
     SELECT DISTINCT doc_id, text, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4, 0) AS domain,
