@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import langid, linededup, minhash, mixing, packing
+from panelsmith.llm import langid, linededup, minhash, mixing, packing, quality
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -89,6 +89,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.withColumnRenamed("doc", "doc_id").drop("version")
 
 
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of two of three folds."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return quality.score(docs, model).select(
+        "row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by three-word shingles of similarity 0.85 or more."""
