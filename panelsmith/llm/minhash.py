@@ -9,10 +9,11 @@
    most buckets with others.  A pair goes on if its packed signatures agree in
    so many places that, corrected for chance agreement, the similarity can
    reach the threshold.  What goes on is confirmed on the full sets.
-4. Buckets whose members are in one group by now are done.  In the others the
-   pairs between different groups are compared by their signatures, in blocks
-   of bounded size, and confirmed the same way.  So every pair that shares a
-   bucket is either confirmed, connected already, or out of reach.
+4. Buckets whose members are in one group by now are done.  In the others
+   members of different groups are compared by their signatures, in blocks of
+   bounded size that return members and not pairs; blocks of those within reach
+   are compared on full sets and return only links that join groups.  So every
+   pair that shares a bucket is confirmed, connected already, or out of reach.
 
 A pair of similarity 0.85 shares no bucket with probability (1 - 0.85^3)^32,
 about 6e-14 (0.8: 1e-10), and the signature test loses it with about 3e-7.
@@ -36,7 +37,7 @@ HASHES = ROWS * BANDS
 PER_LONG = 64 // LOW_BITS
 SIGNATURE_LONGS = HASHES // PER_LONG
 DEVIATIONS = 5.0  # standard deviations that an estimate may fall below the threshold
-BLOCK = 512  # members of a bucket that are compared at once
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000  # members of a bucket, and their shingles, that are compared with as many at once
 
 _DIGEST = "doc long, n_shingles long, f1 long, f2 long, bands array<long>, signature array<long>"
 
@@ -135,76 +136,131 @@ def least_agreements(similarity: float) -> int:
     return int(np.floor(HASHES * p - DEVIATIONS * np.sqrt(HASHES * p * (1 - p))))
 
 
-def _far_pairs(least: int):
-    """Pairs of one block with different groups whose signatures agree in ``least`` places.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The complete blocks (key, i, j) of rows that come sorted by them; a block may span batches."""
+    rest = None
+    for batch in _with_end(batches):
+        if batch is not None and batch.num_rows == 0:
+            continue
+        parts = [t for t in (rest, batch and pa.Table.from_batches([batch])) if t is not None]
+        if not parts:
+            return
+        now = pa.concat_tables(parts).combine_chunks()
+        block = np.stack([now[c].to_numpy() for c in ("key", "i", "j")])
+        starts = np.flatnonzero(np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)]))
+        ends = [*starts[1:], now.num_rows]
+        last = len(starts) if batch is None else len(starts) - 1
+        for lo, hi in zip(starts[:last], ends[:last]):
+            yield now.slice(lo, hi - lo)
+        rest = None if batch is None else now.slice(starts[-1])
 
-    Rows come sorted by block; a block is compared once it is complete and
-    holds at most two times ``BLOCK`` members on average.
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _longs(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, width)
+
+
+def _sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to compare with rows: all with all in a piece of its own, else the first piece with the second."""
+    own = block["own"].to_numpy()
+    return (np.flatnonzero(own == 0),) * 2 if (own == 0).all() else (np.flatnonzero(own == 1), np.flatnonzero(own == 2))
+
+
+def _within_reach(least: int):
+    """Members that may be linked to a member of another group: one row each, not one for each pair.
+
+    A pair counts in the first bucket it shares only.
     """
     ones = np.uint64(sum(1 << (LOW_BITS * i) for i in range(PER_LONG)))
 
-    def compare(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = t["own"]
-        left = np.flatnonzero(own <= 0) if (own == 0).all() else np.flatnonzero(own == 1)
-        right = left if (own == 0).all() else np.flatnonzero(own == 2)
-        found = []
-        for lo in range(0, len(left), 256):
-            rows = left[lo:lo + 256]
-            far = t["group"][rows][:, None] != t["group"][right][None, :]
+    def reached(block: pa.Table) -> np.ndarray:
+        left, right = _sides(block)
+        doc, group = block["doc"].to_numpy(), block["group"].to_numpy()
+        signature, bands = _longs(block["signature"], SIGNATURE_LONGS), _longs(block["bands"], BANDS)
+        key = np.int64(block["key"][0].as_py()).astype(np.uint64)
+        hit = np.zeros(len(doc), bool)
+        for lo in range(0, len(left), 128):
+            rows = left[lo:lo + 128]
+            far = group[rows][:, None] != group[right][None, :]
             if left is right:
-                far &= t["doc"][rows][:, None] < t["doc"][right][None, :]
+                far &= doc[rows][:, None] < doc[right][None, :]
             i, j = np.nonzero(far)
-            if not len(i):
-                continue
-            z = t["signature"][rows[i]] ^ t["signature"][right[j]]
+            i, j = rows[i], right[j]
+            z = signature[i] ^ signature[j]
             folded = z.copy()
             for k in range(1, LOW_BITS):
                 folded |= z >> np.uint64(k)
-            same = HASHES - np.bitwise_count(folded & ones).sum(axis=1)
-            ok = same >= least
-            found.append((t["doc"][rows[i[ok]]], t["doc"][right[j[ok]]]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def table(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        n = batch.num_rows
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        out = {c: get(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "own", "doc", "group")}
-        out["signature"] = get("signature").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, SIGNATURE_LONGS)
-        return out
+            ok = HASHES - np.bitwise_count(folded & ones).sum(axis=1) >= least
+            i, j = i[ok], j[ok]
+            first = np.argmax(bands[i] == bands[j], axis=1)
+            ok = bands[i, first] == key
+            hit[i[ok]] = hit[j[ok]] = True
+        return np.flatnonzero(hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                if batch.num_rows == 0:
-                    continue
-                t = table(batch)
-                if rest is not None:
-                    t = {c: np.concatenate([rest[c], t[c]]) for c in t}
-            else:
-                t = rest
-                if t is None:
-                    return
-            block = np.stack([t["key"], t["i"], t["j"]])
-            starts = np.flatnonzero(np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)]))
-            ends = np.concatenate([starts[1:], [block.shape[1]]])
-            done = len(starts) if batch is None else len(starts) - 1
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi in zip(starts[:done], ends[:done]):
-                x, y = compare({c: v[lo:hi] for c, v in t.items()})
-                a.append(x)
-                b.append(y)
-            rest = None if batch is None else {c: v[starts[-1]:] for c, v in t.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["x", "y"])
+        for block in _blocks(batches):
+            rows = reached(block)
+            if len(rows):
+                yield from block.select(["key", "i", "j", "own", "doc", "group"]).take(pa.array(rows)).combine_chunks().to_batches()
 
     return run
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def _links_between_groups(percent: int):
+    """Links between different groups of a block, found on full sets; those that connect nothing new are left out.
+
+    Shingles that two members share are numbered; a 0-1 matrix of members and
+    shingles times its transpose counts what every two members have in common.
+    """
+
+    def find(parent: dict[int, int], x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def links(block: pa.Table) -> list[tuple[int, int]]:
+        left, right = _sides(block)
+        doc, group = block["doc"].to_numpy(), block["group"].to_numpy()
+        sets = block["shingles"].combine_chunks()
+        ends = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        sizes = np.diff(ends)
+        values = sets.flatten().to_numpy()
+        row = np.repeat(np.arange(len(doc)), sizes)
+        _, number, uses = np.unique(values, return_inverse=True, return_counts=True)
+        common = uses > 1
+        number, row = (np.cumsum(common) - 1)[number][common[number]], row[common[number]]
+        width = int(common.sum())
+        got = np.zeros((len(left), len(right)), np.float64)
+        order = np.argsort(number, kind="stable")
+        number, row = number[order], row[order]
+        for lo in range(0, width, 4096):  # a stretch of shingles at a time
+            a, b = np.searchsorted(number, [lo, lo + 4096])
+            x = np.zeros((len(doc), 4096), np.float32)
+            x[row[a:b], number[a:b] - lo] = 1
+            got += x[left] @ x[right].T
+        united = sizes[left][:, None] + sizes[right][None, :] - got
+        i, j = np.nonzero((100 * got >= percent * united) & (group[left][:, None] != group[right][None, :]))
+        parent: dict[int, int] = {}
+        out = []
+        for a, b in zip(left[i], right[j]):
+            ga, gb = find(parent, int(group[a])), find(parent, int(group[b]))
+            if ga != gb:
+                parent[ga] = gb
+                out.append((int(doc[a]), int(doc[b])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            found = links(block)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["x", "y"])
+
+    return run
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -227,7 +283,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     digests = settle(texts.mapInArrow(_digests(width), _DIGEST), "minhash")
     sets = digests.filter("n_shingles > 0 and doc is not null")
-    classes = sets.groupBy("f1", "f2").agg(F.min("doc").alias("head"))
+    classes = settle(sets.groupBy("f1", "f2").agg(F.min("doc").alias("head")), "minhash-classes")
     heads = settle(
         sets.join(classes.withColumnRenamed("head", "doc"), ["f1", "f2", "doc"], "left_semi")
         .dropDuplicates(["f1", "f2"]).select("doc", "n_shingles", "bands", "signature"), "minhash-heads",
@@ -238,9 +294,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     tied = placed.join(several, "doc", "left_semi").select(F.col("doc").alias("x"), F.col("head").alias("y"))
 
-    in_bands = heads.select("doc", F.explode("bands").alias("key"))
-    keys = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = settle(in_bands.join(keys, "key"), "minhash-buckets")
+    in_bands = heads.select("doc", "n_shingles", F.explode("bands").alias("key"))
+    keys = in_bands.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("held")).filter("members > 1")
+    shared = settle(in_bands.drop("n_shingles").join(keys, "key"), "minhash-buckets")
     signatures = heads.select("doc", "signature")
     least = least_agreements(percent / 100)
 
@@ -258,18 +315,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     groups = components(links, "x", "y")
     grouped = shared.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "key", "doc", "members", F.coalesce("component", "doc").alias("group"))
+        "key", "doc", "members", "held", F.coalesce("component", "doc").alias("group"))
     open_keys = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
-    left_over = grouped.join(open_keys, "key").join(signatures, "doc")
-    pieces = F.ceil(F.col("members") / BLOCK).cast("int")
+    left_over = grouped.join(open_keys, "key")
+    pieces = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     left_over = left_over.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
     left_over = left_over.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
         "key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"),
         F.when(F.col("piece") == F.col("other"), 0).when(F.col("piece") < F.col("other"), 1).otherwise(2).alias("own"),
-        "doc", "group", "signature",
+        "doc", "group",
     )
-    far = left_over.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_far_pairs(least), "x long, y long")
-    more = confirmed(settle(_ordered(far, "x", "y"), "minhash-far-pairs"), texts, width, percent)
+    block = ["key", "i", "j"]
+    reach = left_over.join(heads.select("doc", "signature", "bands"), "doc").repartition(*block).sortWithinPartitions(*block)
+    reach = settle(reach.mapInArrow(_within_reach(least), "key long, i int, j int, own int, doc long, group long"), "minhash-reach")
+    full = reach.join(sets_of(reach.select("doc").distinct(), texts, width), "doc").repartition(*block).sortWithinPartitions(*block)
+    more = settle(full.select(*block, "own", "doc", "group", "shingles").mapInArrow(_links_between_groups(percent), "x long, y long"), "minhash-more-links")
 
     groups = components(links.unionByName(more).unionByName(tied), "x", "y")
     of_class = classes.join(groups.withColumnRenamed("node", "head"), "head", "left").select(
@@ -282,11 +342,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Full shingle sets of the wanted documents.  Their number follows the corpus, so they are never broadcast."""
+    return texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(width), "doc long, shingles array<long>")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough; sets are made anew for documents in a pair only."""
     wanted = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
-    full = texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(width), "doc long, shingles array<long>")
-    full = settle(full, "minhash-sets")
+    full = settle(sets_of(wanted, texts, width), "minhash-sets")
     both = (
         pairs.join(full.select(F.col("doc").alias("x"), F.col("shingles").alias("a")), "x")
         .join(full.select(F.col("doc").alias("y"), F.col("shingles").alias("b")), "y")
