@@ -1,31 +1,73 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed sequences, stage by stage.
+
+Every stage but the last takes documents and returns documents: doc_id, text,
+lang, source and n_chars.  Stages are written as Parquet to the shared folder
+and read again before the next one starts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import linededup
+from panelsmith.llm import langid, linededup, minhash, mixing, packing
 from panelsmith.plans.registry import Query
+from panelsmith.storage import settle
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; those without letters or below the calibrated score go."""
+    docs = docs.select(*COLUMNS)
+    return langid.identify(docs).filter(~F.col("rejected")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds."""
-    kept = linededup.dedup_lines(docs)
+    kept = linededup.dedup_lines(docs.select(*COLUMNS))
     return kept.select(
         "row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source",
         F.length("kept_text").cast("long").alias("n_chars"),
     )
 
 
-STAGES = [("line dedup", line_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8): that of the smallest id.
+
+    Of rows that repeat an id one stays; rows without an id all stay.
+    """
+    docs = docs.select(*COLUMNS)
+    stay = minhash.near_copies(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of all tokens, mixed to the target weights in one epoch."""
+    return mixing.mixed(docs.select(*COLUMNS), mixing.LEVELS, mixing.WEIGHTS, share=(4, 5))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 2,048 tokens."""
+    return packing.pack(docs.select(*COLUMNS)).withColumnRenamed("doc", "doc_id")
+
+
+STAGES = [
+    ("language id", language_id),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None  # predicted languages, confirmed near copies and byte-pair ids are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
 
 
