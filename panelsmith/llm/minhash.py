@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelsmith.llm.blocks import blocks
 from panelsmith.llm.components import components
 from panelsmith.llm.textbytes import mix, shingles, slices
 from panelsmith.storage import settle
@@ -136,30 +137,6 @@ def least_agreements(similarity: float) -> int:
     return int(np.floor(HASHES * p - DEVIATIONS * np.sqrt(HASHES * p * (1 - p))))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The complete blocks (key, i, j) of rows that come sorted by them; a block may span batches."""
-    rest = None
-    for batch in _with_end(batches):
-        if batch is not None and batch.num_rows == 0:
-            continue
-        parts = [t for t in (rest, batch and pa.Table.from_batches([batch])) if t is not None]
-        if not parts:
-            return
-        now = pa.concat_tables(parts).combine_chunks()
-        block = np.stack([now[c].to_numpy() for c in ("key", "i", "j")])
-        starts = np.flatnonzero(np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)]))
-        ends = [*starts[1:], now.num_rows]
-        last = len(starts) if batch is None else len(starts) - 1
-        for lo, hi in zip(starts[:last], ends[:last]):
-            yield now.slice(lo, hi - lo)
-        rest = None if batch is None else now.slice(starts[-1])
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
 def _longs(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, width)
 
@@ -202,7 +179,7 @@ def _within_reach(least: int):
         return np.flatnonzero(hit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
+        for block in blocks(batches):
             rows = reached(block)
             if len(rows):
                 yield from block.select(["key", "i", "j", "own", "doc", "group"]).take(pa.array(rows)).combine_chunks().to_batches()
@@ -255,7 +232,7 @@ def _links_between_groups(percent: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
+        for block in blocks(batches):
             found = links(block)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["x", "y"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import langid, linededup, minhash, mixing, packing, quality
+from panelsmith.llm import embedding_dedup, langid, linededup, minhash, mixing, packing, quality
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -22,6 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked with others of their label at cosine 0.93 or more."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2,048 tokens."""
