@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The complete blocks (key, i, j) of rows that come sorted by them; a block may span batches."""
+def blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("key", "i", "j")) -> Iterator[pa.Table]:
+    """The complete blocks of equal keys of rows that come sorted by them; a block may span batches."""
     rest = None
     for batch in _with_end(batches):
         if batch is not None and batch.num_rows == 0:
@@ -18,7 +18,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if not parts:
             return
         now = pa.concat_tables(parts).combine_chunks()
-        block = np.stack([now[c].to_numpy() for c in ("key", "i", "j")])
+        block = np.stack([now[c].to_numpy() for c in keys])
         starts = np.flatnonzero(np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)]))
         ends = [*starts[1:], now.num_rows]
         last = len(starts) if batch is None else len(starts) - 1

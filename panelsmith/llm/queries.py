@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import embedding_dedup, langid, linededup, minhash, mixing, packing, quality
+from panelsmith.llm import embedding_dedup, hash_search, langid, linededup, minhash, mixing, packing, quality
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -28,6 +28,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
 
 
+@query()
+def op3_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth."""
+    return hash_search.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 2,048 tokens."""
