@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import embedding_dedup, hash_search, langid, linededup, minhash, mixing, packing, quality
+from panelsmith.llm import embedding_dedup, hash_search, langid, linededup, minhash, mixing, packing, quality, tokencounts
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -40,6 +40,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-pair tokens of every line of every document, attributed by their characters."""
+    return tokencounts.section_tokens(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
 @query(r"""
 WITH units AS (
     SELECT DISTINCT doc_id, text, 'd' || coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4, 0) AS domain,
