@@ -290,7 +290,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     links = confirmed(settle(pairs, "minhash-pairs"), texts, width, percent)
 
-    groups = components(links, "x", "y")
+    groups = components(links, "x", "y", rounds=1)
     grouped = shared.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select(
         "key", "doc", "members", "held", F.coalesce("component", "doc").alias("group"))
     open_keys = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
