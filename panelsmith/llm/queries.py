@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import embedding_dedup, hash_search, langid, linededup, minhash, mixing, packing, quality, tokencounts
+from panelsmith.llm import embedding_dedup, hash_search, hidden_markov, langid, linededup, minhash, mixing, packing, quality, tokencounts
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
 
@@ -28,6 +28,15 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
 
 
+@query()
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's likelihood under a model learned from four of five folds."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scores = hidden_markov.scored(docs, hidden_markov.training_rows(F.col("doc_id")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    return scores.withColumnRenamed("doc", "doc_id").withColumn("held_out", held_out).drop("learned")
+
+
 @query()
 def op3_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest other vectors of every hundredth."""
