@@ -100,14 +100,13 @@ def training_rows(doc_id: Column, folds: int = 4, held_out: int = 2) -> Column:
 
 def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_DOCS) -> DataFrame:
     """At most ``most`` documents with a language, chosen by the hash of their id, evenly over the languages."""
-    known = docs.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang")).filter(
-        allowed & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
+    named = docs.filter(allowed & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
+    known = named.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang"))
     n = max(1, known.agg(F.count_distinct("lang")).first()[0])
     by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
     chosen = known.withColumn("place", F.row_number().over(by_lang)).filter(F.col("place") <= max(1, most // n))
     chosen = chosen.orderBy("place", "lang").limit(most).select("doc").distinct()
-    texts = docs.filter(allowed & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN)).select(
-        F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    texts = named.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return texts.join(F.broadcast(chosen), "doc", "left_semi")  # at most SAMPLE_DOCS ids
 
 

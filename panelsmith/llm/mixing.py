@@ -122,7 +122,11 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), F.coalesce(F.regexp_extract(source, r"([0-9]+)$", 1).try_cast("int") % 4, F.lit(0)).cast("string"))
 
 
-LEVELS = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+def levels() -> dict[str, Column]:
+    """The tree of the given documents: domain, language, source."""
+    return {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+
+
 # Target weights of the production mix; what is not named weighs 1.
 WEIGHTS = {"domain": {"d0": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 3}}
 

@@ -112,7 +112,7 @@ FROM placed WHERE tokens_before < budget
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken in each epoch so that three fifths of all tokens are mixed to the target weights."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    taken = mixing.choose(mixing.units_of(docs, mixing.LEVELS), list(mixing.LEVELS), mixing.WEIGHTS, share=(3, 5), epochs=2)
+    taken = mixing.choose(mixing.units_of(docs, mixing.levels()), list(mixing.levels()), mixing.WEIGHTS, share=(3, 5), epochs=2)
     return taken.withColumnRenamed("doc", "doc_id").drop("version")
 
 
