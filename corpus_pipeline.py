@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of all tokens, mixed to the target weights in one epoch."""
-    return mixing.mixed(docs.select(*COLUMNS), mixing.LEVELS, mixing.WEIGHTS, share=(4, 5))
+    return mixing.mixed(docs.select(*COLUMNS), mixing.levels(), mixing.WEIGHTS, share=(4, 5))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
