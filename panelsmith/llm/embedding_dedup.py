@@ -139,7 +139,7 @@ def _visits(index: MultiIndex):
                 key = mix(space + mix(code.astype(np.uint64) + np.uint64(1))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(kind), pa.array(code.astype(np.int32)), *taken.columns],
-                    names=["key", "kind", "code", "head", "space", "weight", "embedding"])
+                    names=["key", "kind", "code", "head", "space", "weight", "embedding", "h1"])
 
     return run
 
@@ -149,7 +149,7 @@ def _compare(index: MultiIndex, cosine: float):
 
     def found(block: pa.Table):
         kind, code = block["kind"].to_numpy(), block["code"].to_numpy()
-        head, space, weight = (block[c].to_numpy() for c in ("head", "space", "weight"))
+        head, h1, space, weight = (block[c].to_numpy() for c in ("head", "h1", "space", "weight"))
         x = unit(matrix(block["embedding"].combine_chunks(), index.width))
         a, b = index.distances(x)
         cell = (a.argmin(axis=1), b.argmin(axis=1))
@@ -163,10 +163,12 @@ def _compare(index: MultiIndex, cosine: float):
                 i, j = np.nonzero(x[some] @ x[there].T >= cosine)
                 i, j = some[i], there[j]
                 back = a[j, cell[0][i]] + b[j, cell[1][i]] <= index.margin
-                own = (space[i] == space[j]) & ((head[i] < head[j]) | (head[i] > head[j]) & ~back)
+                before = (head[i] < head[j]) | (head[i] == head[j]) & (h1[i] < h1[j])
+                after = (head[i] > head[j]) | (head[i] == head[j]) & (h1[i] > h1[j])
+                own = (space[i] == space[j]) & (before | after & ~back)  # a pair seen from both sides counts once
                 pairs.append((i[own], j[own]))
         i, j = (np.concatenate(side) for side in zip(*pairs))
-        return head, weight, i, j
+        return np.stack([head, h1], axis=1), weight, i, j
 
     def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         least = np.arange(n)
@@ -184,20 +186,21 @@ def _compare(index: MultiIndex, cosine: float):
             kinds = block["kind"].to_numpy()
             if kinds.min() == kinds.max():
                 continue
-            head, weight, i, j = found(block)
+            classes, weight, i, j = found(block)
             if not len(i):
                 continue
-            nodes, at = np.unique(head, return_inverse=True)
+            nodes, at = np.unique(classes, axis=0, return_inverse=True)
+            at = at.reshape(-1)
             i, j, w = at[i], at[j], np.zeros(len(nodes), np.int64)
             w[at] = weight
             count = np.bincount(i, w[j], len(nodes)) + np.bincount(j, w[i], len(nodes))
             least = spanning(len(nodes), i, j)
             some, moved = np.flatnonzero(count), np.flatnonzero(least != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([nodes[some], nodes[moved]])),
-                pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(nodes[least[moved]])]),
+                pa.array(np.concatenate([nodes[some, 0], nodes[moved, 0]])), pa.array(np.concatenate([nodes[some, 1], nodes[moved, 1]])),
+                pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(nodes[least[moved], 0])]),
                 pa.array(np.concatenate([count[some].astype(np.int64), np.zeros(len(moved), np.int64)])),
-            ], names=["x", "y", "n"])
+            ], names=["x", "h1", "y", "n"])
 
     return run
 
@@ -229,27 +232,27 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     index = learn(unit(matrix(drawn["embedding"].combine_chunks(), size.width)), size.n, cosine)
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    spread = settle(classes.select("head", "space", "weight", "embedding").mapInArrow(
-        _visits(index), f"key long, kind int, code int, head long, space long, weight long, embedding {kind}"), "vector-visits")
+    spread = settle(classes.select("head", "space", "weight", "embedding", "h1").mapInArrow(
+        _visits(index), f"key long, kind int, code int, head long, space long, weight long, embedding {kind}, h1 long"), "vector-visits")
     counts = spread.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("lying"), F.sum("kind").alias("visiting")).filter("lying > 0 and visiting > 1")
     cut = spread.join(counts, "key")
     cut = cut.withColumn("lying", F.ceil(F.col("lying") / PIECE).cast("int")).withColumn("visiting", F.ceil(F.col("visiting") / PIECE).cast("int"))
-    place = F.xxhash64(F.lit(3), F.col("head"))
+    place = F.xxhash64(F.lit(3), F.col("head"), F.col("h1"))
     cut = cut.withColumn("i", F.explode(F.when(F.col("kind") == 0, F.array(F.pmod(place, F.col("lying")).cast("int"))).otherwise(
         F.sequence(F.lit(0), F.col("lying") - 1))))
     cut = cut.withColumn("j", F.explode(F.when(F.col("kind") == 1, F.array(F.pmod(place, F.col("visiting")).cast("int"))).otherwise(
         F.sequence(F.lit(0), F.col("visiting") - 1))))
     block = ["key", "i", "j"]
-    cut = cut.select(*block, "kind", "code", "head", "space", "weight", "embedding").repartition(*block).sortWithinPartitions(*block)
-    result = settle(cut.mapInArrow(_compare(index, cosine), "x long, y long, n long"), "vector-links")
+    cut = cut.select(*block, "kind", "code", "head", "h1", "space", "weight", "embedding").repartition(*block).sortWithinPartitions(*block)
+    result = settle(cut.mapInArrow(_compare(index, cosine), "x long, h1 long, y long, n long"), "vector-links")
 
-    linked = result.filter("y is null").groupBy(F.col("x").alias("head")).agg(F.sum("n").alias("others"))
+    linked = result.filter("y is null").groupBy(F.col("x").alias("head"), "h1").agg(F.sum("n").alias("others"))
     placed = good.select("vec", "h1", "h2").join(classes.select("h1", "h2", "head"), ["h1", "h2"])
     several = placed.groupBy("vec").agg(F.min("head").alias("lo"), F.max("head").alias("hi")).filter("lo < hi").select("vec")
     tied = placed.join(several, "vec", "left_semi").select(F.col("vec").alias("x"), F.col("head").alias("y"))
     groups = components(result.filter("y is not null").select("x", "y").unionByName(tied), "x", "y").withColumnRenamed("node", "head")
     of_class = (
-        classes.select("h1", "h2", "head", "weight").join(linked, "head", "left").join(groups, "head", "left")
+        classes.select("h1", "h2", "head", "weight").join(linked, ["head", "h1"], "left").join(groups, "head", "left")
         .select("h1", "h2", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "head").alias("component"), F.lit(True).alias("linkable"))
     )
     return rows.join(of_class, ["h1", "h2", "linkable"], "left").select(

@@ -81,7 +81,7 @@ def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         x[:, CLASSES + 2] = distinct / n
         x[:, CLASSES + 3] = capital / n
         x[:, CLASSES + 4] = np.log1p(n_words[text]) / 10
-        x[:, CLASSES + 5] = 1.0
+        x[full, CLASSES + 5] = 1.0
     return x, first
 
 
