@@ -29,19 +29,40 @@ def tidy(x: Column | str, places: int = 6) -> Column:
     return F.rint(as_col(x) * unit) / unit + F.lit(0.0)
 
 
-def hundredths(x: Column | str) -> Column:
-    """A two-place amount as a whole number, so that sums are exact in any order."""
-    return F.rint(as_col(x) * 100).cast("long")
+PLACES = 2
 
 
-def exact_sum(x: Column | str) -> Column:
-    """Sum of a two-place amount: exact, and the same for every partitioning."""
-    return F.sum(hundredths(x)) / F.lit(100.0)
+def as_whole(x: Column | str, places: int = PLACES) -> Column:
+    """An amount of at most ``places`` decimal places as a whole number of its last place.
+
+    Sums of whole numbers are the same in any order.  A value with more places
+    than declared is an error, not rounded away; NaN counts as NULL.
+    """
+    scaled = known(x) * F.lit(10.0**places)
+    whole = F.rint(scaled)
+    fits = F.abs(scaled - whole) <= F.lit(1e-9) + F.abs(scaled) * F.lit(1e-15)
+    wrong = F.raise_error(F.concat(F.lit(f"more than {places} decimal places: "), as_col(x).cast("string")))
+    return F.when(scaled.isNull() | fits, whole).otherwise(wrong.cast("double")).cast("long")
+
+
+def from_whole(total: Column | str, places: int = PLACES) -> Column:
+    return as_col(total) / F.lit(10.0**places)
+
+
+def exact_sum(x: Column | str, places: int = PLACES) -> Column:
+    """Sum of amounts of at most ``places`` decimal places: exact, and the same for every partitioning."""
+    return from_whole(F.sum(as_whole(x, places)), places)
+
+
+def known(x: Column | str) -> Column:
+    """The value, NULL if it is NaN."""
+    x = as_col(x)
+    return F.when(~F.isnan(x), x)
 
 
 def paired(a: Column | str, b: Column | str) -> tuple[Column, Column]:
-    """Both columns, NULL wherever either one is."""
-    a, b = as_col(a), as_col(b)
+    """Both columns, NULL wherever either one is NULL or NaN."""
+    a, b = known(a), known(b)
     both = a.isNotNull() & b.isNotNull()
     return F.when(both, a), F.when(both, b)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.functions.numeric import hundredths
-from panelsmith.operators.timejoin import bin_width, micros, time_bin
+from panelsmith.functions.numeric import as_whole, from_whole
+from panelsmith.operators.timejoin import hot_cuts, micros, with_bin
+from panelsmith.storage import settle
 
 
 def _numbered(rows: DataFrame, within: list[str], start: str, end: str, gap: int) -> DataFrame:
@@ -18,19 +19,23 @@ def _numbered(rows: DataFrame, within: list[str], start: str, end: str, gap: int
     return marked.withColumn("_run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def sessions(events: DataFrame, gap_seconds: int, key: str, bin_seconds: int | None = None) -> DataFrame:
+def sessions(
+    events: DataFrame, gap_seconds: int, key: str, bin_seconds: int | None = None, places: int = 2
+) -> DataFrame:
     """Runs of events of a key with pauses of at most ``gap_seconds``.
 
+    Values have at most ``places`` decimal places; one with more is an error.
+
     If some key has too many events for a task, runs are first formed within
-    bins of time, over many tasks; then the runs of neighbouring bins are
-    joined up.  The second step sees runs, not events.
+    bins of time, over many tasks.  Only the first and the last run of a bin can
+    go on in another; these, at most two per bin, are then joined up, and all
+    others are done.
     """
-    if bin_seconds is None:
-        bin_seconds = bin_width(events, key, "ts")
+    cuts = hot_cuts(events, key, "ts") if bin_seconds is None else None
     gap = gap_seconds * 1_000_000
     timed = events.select(
         key, F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), F.lit(1).cast("long").alias("n"),
-        hundredths("value").alias("_total"),
+        as_whole("value", places).alias("_total"),
     )
 
     def merge(rows: DataFrame, within: list[str]) -> DataFrame:
@@ -38,10 +43,14 @@ def sessions(events: DataFrame, gap_seconds: int, key: str, bin_seconds: int | N
         return numbered.groupBy(*within, "_run").agg(
             F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
             F.sum("n").alias("n"), F.sum("_total").alias("_total"),
-        ).drop("_run")
-
-    if bin_seconds is not None:
-        binned = timed.withColumn("_bin", time_bin(F.col("first_ts"), bin_seconds))
-        timed = merge(binned, [key, "_bin"]).drop("_bin")
-    joined = merge(timed, [key])
-    return joined.select(key, "first_ts", "last_ts", "n", (F.col("_total") / F.lit(100.0)).alias("total"))
+        )
+
+    columns = [key, "first_ts", "last_ts", "n", "_total"]
+    if bin_seconds is None and cuts is None:
+        joined = merge(timed, [key]).select(*columns)
+    else:
+        runs = merge(with_bin(timed, key, "first_ts", bin_seconds, cuts), [key, "_bin"])
+        edge = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(key, "_bin")))
+        runs = settle(runs.withColumn("_edge", edge), "runs")
+        joined = merge(runs.filter("_edge").select(*columns), [key]).select(*columns).unionByName(runs.filter("NOT _edge").select(*columns))
+    return joined.select(key, "first_ts", "last_ts", "n", from_whole("_total", places).alias("total"))

@@ -87,22 +87,35 @@ def weekly_bars(spark, folder):
     return calendar.resample(panel(spark, folder).df, "week")
 
 
-@query("""SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts, v.value AS view_value
+VIEWS_SQL = """SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts, v.value AS view_value
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
-    ON p.user_id = v.user_id AND p.ts >= v.ts""")
-def purchase_after_view(spark, folder):
-    """Each purchase with the user's latest view at or before it."""
+    ON p.user_id = v.user_id AND p.ts >= v.ts"""
+
+
+def _views(spark, folder, bin_seconds=None):
     events = load(spark, folder, "events")
     purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = events.filter("event_type = 'view'").select(
         "user_id", F.col("ts").alias("view_ts"), F.col("value").alias("view_value"), F.col("event_id").alias("view_id")
     )
     return timejoin.asof_join(
-        purchases, views, "user_id", "ts", "view_ts", "view_id", ["view_ts", "view_value"]
+        purchases, views, "user_id", "ts", "view_ts", "view_id", ["view_ts", "view_value"], bin_seconds
     )
 
 
+@query(VIEWS_SQL)
+def purchase_after_view(spark, folder):
+    """Each purchase with the user's latest view at or before it."""
+    return _views(spark, folder)
+
+
+@query(VIEWS_SQL)
+def purchase_after_view_binned(spark, folder):
+    """The same by the way that keys too large for a task take."""
+    return _views(spark, folder, bin_seconds=6 * 3600)
+
+
 @query("""WITH changes AS (
       SELECT o_custkey, o_orderdate, arg_max(o_orderpriority, o_orderkey) AS priority
       FROM orders GROUP BY 1, 2),

@@ -11,7 +11,8 @@ from panelsmith.plans.registry import query
 from panelsmith.sources.tables import load, load_stream
 from panelsmith.streaming import bars as live
 from panelsmith.streaming.features import running_features
-from panelsmith.streaming.jobs import run_to_table
+from panelsmith.storage import new_path
+from panelsmith.streaming.jobs import run_to_table, state_session
 
 TOTAL = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
 WATERMARK = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
@@ -32,6 +33,41 @@ def event_bars(spark, folder):
     return live.bars(live.with_event_time(load(spark, folder, "events")), "1 day", "event_type")
 
 
+FEED_FILES = 5
+
+
+def disordered_feed(spark, folder) -> str:
+    """A folder with the events in several files, in which events come up to half an hour late, also across files.
+
+    The files are written one after another, since the file source takes them by their age.
+    """
+    late = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(1800)))
+    events = load(spark, folder, "events").withColumn("_seen", F.col("ts") + late)
+    ends = events.agg(F.min("_seen").alias("lo"), F.max("_seen").alias("hi")).first()
+    step = (ends.hi - ends.lo) / FEED_FILES
+    feed = new_path(spark, "feed")
+    for k in range(FEED_FILES):
+        part = events.filter(F.col("_seen") >= F.lit(ends.lo + k * step))
+        if k + 1 < FEED_FILES:
+            part = part.filter(F.col("_seen") < F.lit(ends.lo + (k + 1) * step))
+        part.drop("_seen").coalesce(1).write.mode("append").parquet(f"{feed}/events.parquet")
+    return feed
+
+
+@query(f"SELECT * FROM ({BARS_SQL}) WHERE bar_start + INTERVAL 1 DAY <= {WATERMARK}")
+def stream_event_bars_disordered(spark, folder):
+    """The same bars when events come late and in several batches."""
+    late = load_stream(spark, disordered_feed(spark, folder), "events", files_per_trigger=1)
+    return run_to_table(live.bars(live.with_event_time(late), "1 day", "event_type"), "late-event-bars")
+
+
+@query(f"SELECT * FROM ({SESSIONS_SQL}) WHERE last_ts + INTERVAL 6 HOURS <= {WATERMARK}")
+def stream_user_sessions_disordered(spark, folder):
+    """The same sessions when events come late and in several batches."""
+    late = load_stream(spark, disordered_feed(spark, folder), "events", files_per_trigger=1)
+    return run_to_table(live.sessions(live.with_event_time(late), "6 hours", "user_id"), "late-user-sessions")
+
+
 @query(f"SELECT * FROM ({BARS_SQL}) WHERE bar_start + INTERVAL 1 DAY <= {WATERMARK}")
 def stream_event_bars(spark, folder):
     """The bars whose day the watermark has passed."""
@@ -44,6 +80,12 @@ def user_sessions(spark, folder):
     return sessions(load(spark, folder, "events"), 6 * 3600, "user_id")
 
 
+@query(SESSIONS_SQL)
+def user_sessions_binned(spark, folder):
+    """The same sessions by the way that keys too large for a task take."""
+    return sessions(load(spark, folder, "events"), 6 * 3600, "user_id", bin_seconds=6 * 3600)
+
+
 @query(f"SELECT * FROM ({SESSIONS_SQL}) WHERE last_ts + INTERVAL 6 HOURS <= {WATERMARK}")
 def stream_user_sessions(spark, folder):
     """The sessions that can no longer grow."""
@@ -51,12 +93,12 @@ def stream_user_sessions(spark, folder):
     return run_to_table(stream, "user-sessions")
 
 
-@query("SELECT event_id, user_id, event_type, ts, value FROM events")
+@query("SELECT event_id, user_id, event_type, ts, value, props FROM events")
 def stream_without_repeats(spark, folder):
     """Every event delivered twice, taken in once."""
     twice = load_stream(spark, folder, "events").unionByName(load_stream(spark, folder, "events"))
     once = live.drop_repeats(live.with_event_time(twice), ["event_id"])
-    return run_to_table(once.select("event_id", "user_id", "event_type", "ts", "value"), "without-repeats")
+    return run_to_table(once.select("event_id", "user_id", "event_type", "ts", "value", "props"), "without-repeats")
 
 
 @query(f"""WITH RECURSIVE daily AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS bar_end, {TOTAL} AS total
@@ -69,8 +111,9 @@ def stream_without_repeats(spark, folder):
       JOIN closed c ON c.user_id = run.user_id AND c.seen = run.seen + 1)
     SELECT user_id, bar_end, seen, total, {r('e', 4)} AS mean, {r('change', 4)} AS change FROM run""")
 def stream_running_features(spark, folder):
+    own = state_session(spark)
     stream = running_features(
-        live.with_event_time(load_stream(spark, folder, "events")), "1 day", "user_id", "bigint", 0.2
+        live.with_event_time(load_stream(own, folder, "events")), "1 day", "user_id", "bigint", 0.2
     )
     table = run_to_table(stream, "running-features", own_state=True)
     return table.select(

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.functions.numeric import hundredths, ratio
+from panelsmith.functions.numeric import as_whole, from_whole, ratio
 
 PANEL_COLUMNS = ["asset", "grp", "d", "px", "vol"]
 
 
-def build_panel(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, asset: str = "supplier") -> DataFrame:
+def build_panel(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, asset: str = "supplier", places: int = 2) -> DataFrame:
     """Volume-weighted price and volume per asset and day.
 
     ``asset`` is "supplier" or "nation"; the group is the region.
 
-    Sums run over whole hundredths and do not depend on the order of the rows.
+    Amounts have at most ``places`` decimal places; one with more is an error.
+    Sums run over whole numbers and do not depend on the order of the rows.
     They are partly formed where the lines are read and then meet by asset and
     day, so that an asset with a large share of all lines spreads over its days.
     """
     lines = lineitem.select(
         "l_suppkey",
         F.to_date("l_shipdate").alias("d"),
-        hundredths("l_extendedprice").alias("amount"),
-        hundredths("l_quantity").alias("quantity"),
+        as_whole("l_extendedprice", places).alias("amount"),
+        as_whole("l_quantity", places).alias("quantity"),
     )
     totals = [F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity")]
     places = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
@@ -41,7 +42,7 @@ def build_panel(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, ass
         sums = placed.groupBy(F.col("n_nationkey").cast("long").alias("asset"), "grp", "d").agg(*totals)
     else:
         raise ValueError(f"asset must be 'supplier' or 'nation', not {asset!r}")
-    vol = F.col("quantity") / F.lit(100.0)
+    vol = from_whole("quantity", places)
     return sums.select(
-        "asset", "grp", "d", ratio(F.col("amount") / F.lit(100.0), vol).alias("px"), vol.alias("vol")
+        "asset", "grp", "d", ratio(from_whole("amount", places), vol).alias("px"), vol.alias("vol")
     )

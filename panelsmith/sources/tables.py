@@ -58,13 +58,19 @@ def load(spark: SparkSession, folder: str, name: str, check: bool = True) -> Dat
     return spark.read.schema(wanted).parquet(path)
 
 
-def load_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The table as an unbounded stream of files.
+FILES_PER_TRIGGER = 64
+
+
+def load_stream(
+    spark: SparkSession, folder: str, name: str, files_per_trigger: int = FILES_PER_TRIGGER, check: bool = True
+) -> DataFrame:
+    """The table as an unbounded stream of files, so many of them in a batch at most.
 
     The path is written as a pattern because the file source takes a folder of
-    files or a pattern, but not the bare name of one file.
+    files or a pattern, but not the bare name of one file.  With ``check`` the
+    schema of what is there already is compared first, as in ``load``.
     """
-    reader = spark.readStream.schema(schema_of(name))
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{folder}/{name}.[p]arquet")
+    wanted, path = schema_of(name), f"{folder}/{name}.[p]arquet"
+    if check:
+        check_schema(spark.read.parquet(path).schema, wanted, name)
+    return spark.readStream.schema(wanted).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from panelsmith.functions.numeric import hundredths
+from panelsmith.functions.numeric import as_whole, from_whole
 
 
 # The processor travels to the workers as code, so that they need no copy of this package.
@@ -48,12 +48,12 @@ class RunningMean(StatefulProcessor):
         pass
 
 
-def running_features(events: DataFrame, width: str, key: str, key_type: str, alpha: float) -> DataFrame:
+def running_features(events: DataFrame, width: str, key: str, key_type: str, alpha: float, places: int = 2) -> DataFrame:
     """Running mean and change of ``value`` totals per key and closed window of a stream."""
     closed = events.groupBy(F.window("event_time", width).alias("w"), key).agg(
-        F.sum(hundredths("value")).alias("_total")
+        F.sum(as_whole("value", places)).alias("_total")
     )
-    rows = closed.select(key, F.col("w.end").alias("bar_end"), (F.col("_total") / F.lit(100.0)).alias("total"))
+    rows = closed.select(key, F.col("w.end").alias("bar_end"), from_whole("_total", places).alias("total"))
     return rows.groupBy(key).transformWithStateInPandas(
         RunningMean(key, alpha),
         outputStructType=f"{key} {key_type}, bar_end timestamp, seen long, total double, mean double, change double",

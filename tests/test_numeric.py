@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -40,3 +41,19 @@ def test_two_sided_p(spark):
     for t in (0.0, 0.5, 1.96, 4.0):
         got = one(spark.range(1).select(two_sided_p(F.lit(-t))))
         assert abs(got - math.erfc(t / math.sqrt(2))) < 2e-7
+
+
+def test_more_places_than_declared_are_an_error(spark):
+    df = spark.createDataFrame([(0.004,), (0.004,), (0.004,), (0.125,), (None,), (float("nan"),)], "x double")
+    with pytest.raises(Exception, match="more than 2 decimal places: 0.0"):
+        df.agg(exact_sum("x")).collect()
+    assert df.agg(exact_sum("x", 3)).first()[0] == 0.137
+    large = spark.createDataFrame([(123456789012.29,), (0.01,)], "x double")
+    assert large.agg(exact_sum("x")).first()[0] == 123456789012.3
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.5), (3.0, 5.0), (float("nan"), 9.0), (4.0, float("nan"))], "a double, b double")
+    clean = df.filter("NOT isnan(a) AND NOT isnan(b)")
+    assert df.select(correlation("a", "b")).first() == clean.select(correlation("a", "b")).first()
+    assert df.select(slope("a", "b")).first() == clean.select(slope("a", "b")).first()

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from panelsmith.plans import REGISTRY
 from panelsmith.plans.inputs import long_signals, panel, panel_from_tables
 from panelsmith.operators import evaluation as ev
 from panelsmith.sources.tables import SchemaMismatch, load, schema_of
@@ -13,7 +13,7 @@ from panelsmith.storage import settle, shared_folder
 
 FOLDER = "/root/testdata/sf0.01"
 PYTHON_ALLOWED = {"section_regression_residual"}
-STREAMS = {n for n in contract.queries() if n.startswith("stream_")}
+STREAMS = {n for n in REGISTRY if n.startswith("stream_")}
 
 
 def plan(df, capsys):
@@ -22,9 +22,9 @@ def plan(df, capsys):
     return capsys.readouterr().out
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - STREAMS))
 def test_no_cross_join_and_no_python_in_the_hot_path(spark, capsys, name):
-    text = plan(contract.queries()[name](spark, FOLDER), capsys)
+    text = plan(REGISTRY[name].build(spark, FOLDER), capsys)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON_ALLOWED:
         assert "EvalPython" not in text and "InPandas" not in text

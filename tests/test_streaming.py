@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelsmith.sources.tables import load_stream, schema_of
+from panelsmith.session import STATE_STORE
 from panelsmith.streaming import bars as live
 from panelsmith.streaming.features import running_features
-from panelsmith.streaming.jobs import run_to_table
+from panelsmith.streaming.jobs import run_to_table, state_session
 
 START = dt.datetime(2024, 1, 1)
 
@@ -105,7 +106,8 @@ def test_repeats_within_and_across_batches(spark, feed, tmp_path):
 
 def test_running_features_keep_state_over_restarts(spark, feed, tmp_path):
     where = paths(tmp_path)
-    make = lambda: running_features(stream(spark, feed), "1 hour", "user_id", "bigint", 0.5)
+    own = state_session(spark)
+    make = lambda: running_features(stream(own, feed), "1 hour", "user_id", "bigint", 0.5)
     feed([event(1, 5, value=2.0), event(2, 70, value=4.0), event(3, 200, value=1.0)])
     run_to_table(make(), "f1", own_state=True, **where)
     feed([event(4, 210, value=7.0), event(5, 500, value=9.0), event(6, 505, user=2, value=3.0)])
@@ -115,6 +117,35 @@ def test_running_features_keep_state_over_restarts(spark, feed, tmp_path):
     ]
 
 
+def test_own_state_leaves_the_settings_alone(spark, feed, tmp_path):
+    before = spark.conf.get(STATE_STORE)
+    feed([event(1, 5)])
+    with pytest.raises(ValueError, match="state_session"):
+        run_to_table(running_features(stream(spark, feed), "1 hour", "user_id", "bigint", 0.5), "f3", own_state=True, **paths(tmp_path))
+    assert state_session(spark) is not spark and spark.conf.get(STATE_STORE) == before
+
+
+def test_values_are_not_rounded(spark):
+    rows = [event(i, i, value=v) for i, v in enumerate([0.004, 0.004, 0.004, 0.125])]
+    df = live.with_event_time(spark.createDataFrame(rows, schema_of("events")))
+    with pytest.raises(Exception, match="more than 2 decimal places"):
+        live.bars(df, "1 day", "user_id").collect()
+    assert live.bars(df, "1 day", "user_id", places=3).first().total == 0.137
+
+
+def test_a_zone_with_daylight_saving_is_refused(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "America/New_York")
+    with pytest.raises(ValueError, match="New_York"):
+        live.with_event_time(own.createDataFrame([event(1, 0)], schema_of("events")))
+
+
+def test_repeats_thinned_by_salts(spark, feed, tmp_path):
+    feed([event(1, 0)] * 50 + [event(2, 1)])
+    once = live.drop_repeats(stream(spark, feed), ["event_id"], salts=4).drop("event_time")
+    assert sorted(r.event_id for r in run_to_table(once, "r3", **paths(tmp_path)).collect()) == [1, 2]
+
+
 def test_one_file_is_a_stream_too(spark, tmp_path):
     df = load_stream(spark, "/root/testdata/sf0.001", "events").select("event_id")
     assert run_to_table(df, "one", **paths(tmp_path)).count() == 1000

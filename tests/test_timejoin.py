@@ -42,14 +42,52 @@ def test_asof_join(sides, seconds):
             assert pd.isna(row.since) and pd.isna(row.rv)
 
 
-def test_bin_width_cuts_a_busy_hour(spark, monkeypatch):
-    start = F.lit(START).cast("timestamp_ntz")
-    df = spark.range(1000).select("id", F.lit(1).alias("k"), start.alias("ts"))
-    assert timejoin.bin_width(df, "k", "ts") is None
-    monkeypatch.setattr(timejoin, "ONE_TASK_ROWS", 10)
-    assert timejoin.bin_width(df, "k", "ts") == 36
-    spread = df.withColumn("ts", start + F.make_dt_interval(hours=F.col("id").cast("int")))
-    assert timejoin.bin_width(spread, "k", "ts") == 3600
+def burst(spark, n=10_000):
+    """All rows of one key within a minute, and one row of it a year before."""
+    at = F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 60.0 / n)
+    far = F.lit(START - dt.timedelta(days=365)).cast("timestamp_ntz")
+    return spark.range(n).select("id", F.lit(1).cast("long").alias("k"), F.when(F.col("id") == 0, far).otherwise(at).alias("at"), (F.col("id") % 7).cast("double").alias("v"))
+
+
+def test_cuts_follow_a_burst(spark, monkeypatch):
+    df = burst(spark)
+    assert timejoin.hot_cuts(df, "k", "at") is None
+    monkeypatch.setattr(timejoin, "ONE_TASK_ROWS", 1_000)
+    cuts = timejoin.hot_cuts(df, "k", "at")
+    binned = timejoin.with_bin(df, "k", "at", None, cuts)
+    largest, least = binned.groupBy("k", "_bin").count().agg(F.max("count"), F.min("count")).first()
+    assert largest <= 1_000 and least >= 100
+    quiet = timejoin.with_bin(df.withColumn("k", F.lit(2).cast("long")), "k", "at", None, cuts)
+    assert quiet.select("_bin").distinct().count() == 1
+
+
+def test_large_keys_give_the_same_rows(spark, sides, monkeypatch):
+    left, right = sides
+    right = right.select("k", "since", F.col("v").alias("rv"), F.col("id").alias("rid"))
+    changes = right.filter("k IS NOT NULL").select("k", F.col("since").alias("at"), "rid")
+    events = left.filter("k IS NOT NULL").select(F.col("k").alias("user"), F.col("at").alias("ts"), F.col("v").alias("value"))
+    lengthy = burst(spark, 500).select("k", "at", F.col("id").alias("rid"))
+
+    def results():
+        joined = timejoin.asof_join(left, right, "k", "at", "since", "rid", ["since", "rv"])
+        spans = timejoin.spans_from_changes(changes, "k", "at", "rid")
+        ends = spans.withColumn("valid_to", F.col("valid_from") + F.expr("interval 90 minutes"))
+        frames = [joined, spans, timejoin.overlapping_spans(ends, "k", "valid_from", "valid_to"), sessions(events, 900, "user"),
+                  sessions(lengthy.select(F.col("k").alias("user"), F.col("at").alias("ts"), F.lit(1.5).alias("value")), 0, "user")]
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    whole = results()
+    monkeypatch.setattr(timejoin, "ONE_TASK_ROWS", 40)
+    assert results() == whole
+
+
+def test_ties_keep_their_type_and_null_times_find_nothing(spark):
+    left = spark.createDataFrame([(1, START), (1, None), (None, START)], "k long, at timestamp_ntz")
+    right = spark.createDataFrame([(1, START, 1.9, "hi"), (1, START, 1.2, "lo")], "k long, since timestamp_ntz, tie double, what string")
+    got = timejoin.asof_join(left, right, "k", "at", "since", "tie", ["what"]).collect()
+    assert sorted((str(r.k), str(r.at), r.what) for r in got) == [("1", "2024-01-01 00:00:00", "hi"), ("1", "None", None), ("None", "2024-01-01 00:00:00", None)]
+    words = right.withColumn("tie", F.col("what"))
+    assert timejoin.asof_join(left.limit(1), words, "k", "at", "since", "tie", ["what"]).first().what == "lo"
 
 
 @pytest.mark.parametrize("seconds", [None, 600, 86_400])
