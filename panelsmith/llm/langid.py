@@ -26,7 +26,8 @@ SHIFT = 20  # bits of a 32-bit hash that are not used
 BUCKETS = 1 << (32 - SHIFT)
 DIMENSIONS = 16
 RUNS = (3, 4)  # lengths of the subwords in bytes
-SAMPLE_DOCS = 6000  # most documents that training sees, shared evenly by the languages
+SAMPLE_DOCS = 3000  # most documents that training sees, shared evenly by the languages
+SLICES = 64
 EPOCHS, BATCH, RATE = 40, 32, 20.0
 CALIBRATION_SHARE = 5  # one in so many sample documents is held back
 UNKNOWN = "und"
@@ -103,8 +104,12 @@ def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_co
     named = docs.filter(allowed & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
     known = named.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang"))
     n = max(1, known.agg(F.count_distinct("lang")).first()[0])
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
-    chosen = known.withColumn("place", F.row_number().over(by_lang)).filter(F.col("place") <= max(1, most // n))
+    each = max(1, most // n)
+    known = known.withColumn("order", F.xxhash64("doc")).withColumn("slice", F.pmod("order", F.lit(SLICES)))
+    for by in (["lang", "slice"], ["lang"]):  # first in slices, as a language may hold most documents
+        first = Window.partitionBy(*by).orderBy("order", "doc")
+        known = known.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= each)
+    chosen = known
     chosen = chosen.orderBy("place", "lang").limit(most).select("doc").distinct()
     texts = named.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return texts.join(F.broadcast(chosen), "doc", "left_semi")  # at most SAMPLE_DOCS ids
@@ -131,21 +136,27 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     table = rows.orderBy("doc", F.xxhash64("counts")).limit(SAMPLE_DOCS).toArrow()
     if table.num_rows == 0:
         return None
-    x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.float32).reshape(-1, BUCKETS).copy()
-    names = table["lang"].to_pylist()
-    full = x.sum(axis=1) > 0
-    if not full.any():
+    names, counts = table["lang"].to_pylist(), table["counts"]
+    x = np.empty((table.num_rows, BUCKETS), np.float32)
+    for i, row in enumerate(counts):
+        x[i] = np.frombuffer(row.as_buffer(), np.float32)
+    del table, counts
+    total = x.sum(axis=1, keepdims=True)
+    full = np.flatnonzero(total)
+    if not len(full):
         return None
+    x /= np.maximum(total, 1)
     languages = sorted(set(names))
-    y = np.array([languages.index(v) for v in names])[full]
-    return fit(x[full] / x[full].sum(axis=1, keepdims=True), y, languages)
+    y = np.array([languages.index(v) for v in names])
+    return fit(x, y, languages, full)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> LanguageModel:
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rows: np.ndarray) -> LanguageModel:
+    """Learn from the given rows of ``x``, shares of subwords; small samples are calibrated on themselves."""
     rng = np.random.default_rng(10)
-    order = rng.permutation(len(x))
-    held = order[: len(x) // CALIBRATION_SHARE] if len(x) >= 10 * CALIBRATION_SHARE else order
-    learn = order[len(x) // CALIBRATION_SHARE:] if len(x) >= 10 * CALIBRATION_SHARE else order
+    order = rng.permutation(rows)
+    part = len(order) // CALIBRATION_SHARE if len(order) >= 10 * CALIBRATION_SHARE else 0
+    held, learn = (order[:part], order[part:]) if part else (order, order)
     embedding = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = np.zeros((DIMENSIONS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
