@@ -13,6 +13,7 @@ from panelsmith.sources.panels import build_panel
 from panelsmith.sources.tables import load
 from panelsmith.storage import Stored, keep_panel
 
+PANEL_TABLES = ["lineitem", "supplier", "nation"]
 SIGNALS = ["volume_shock", "reversal", "momentum", "calm", "placebo"]
 HORIZONS = [1, 5, 20]
 
@@ -25,7 +26,7 @@ def panel_from_tables(spark: SparkSession, folder: str, asset: str) -> DataFrame
 
 def panel(spark: SparkSession, folder: str) -> Stored:
     """The supplier panel, written once per application."""
-    return keep_panel(spark, "panel", folder, lambda: panel_from_tables(spark, folder, "supplier"))
+    return keep_panel(spark, "panel", folder, lambda: panel_from_tables(spark, folder, "supplier"), PANEL_TABLES)
 
 
 def volume_shock() -> Column:
@@ -48,7 +49,7 @@ def add_signals(df: DataFrame) -> DataFrame:
 
 
 def signals(spark: SparkSession, folder: str) -> Stored:
-    return keep_panel(spark, "signals", folder, lambda: add_signals(panel(spark, folder).df))
+    return keep_panel(spark, "signals", folder, lambda: add_signals(panel(spark, folder).df), PANEL_TABLES)
 
 
 def long_signals(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:

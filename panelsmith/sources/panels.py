@@ -27,18 +27,18 @@ def build_panel(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, ass
         as_whole("l_quantity", places).alias("quantity"),
     )
     totals = [F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity")]
-    places = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
+    homes = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
         "s_suppkey", "n_nationkey", F.col("n_regionkey").alias("grp")
     )
     same_supplier = F.col("l_suppkey") == F.col("s_suppkey")
     if asset == "supplier":
         # Summed before the join: after it, the join's own partitioning by
         # supplier would be kept and hold a large supplier in one task.
-        sums = lines.groupBy("l_suppkey", "d").agg(*totals).join(places, same_supplier)
+        sums = lines.groupBy("l_suppkey", "d").agg(*totals).join(homes, same_supplier)
         sums = sums.withColumn("asset", F.col("l_suppkey"))
     elif asset == "nation":
         # Joined first: few nations, so the sums leave each task as few rows.
-        placed = lines.join(places, same_supplier)
+        placed = lines.join(homes, same_supplier)
         sums = placed.groupBy(F.col("n_nationkey").cast("long").alias("asset"), "grp", "d").agg(*totals)
     else:
         raise ValueError(f"asset must be 'supplier' or 'nation', not {asset!r}")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,9 +28,46 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where everything of this application lies."""
+    return f"{shared_folder(spark)}/panelsmith/{spark.sparkContext.applicationId}"
+
+
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/panelsmith/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever store its path names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; take or write the results before.
+
+    Kept panels stay, since they serve later queries too.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove all that this application has written to the shared folder, kept panels too."""
+    _kept.clear()
+    delete(spark, own_folder(spark))
 
 
 def settle(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
@@ -54,7 +93,7 @@ class Stored:
 
 def settle_panel(df: DataFrame, label: str) -> Stored:
     """Write a panel and measure it: one small row comes back to the driver."""
-    path = new_path(df.sparkSession, label)
+    path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"  # outlives any scope
     table = _write(df, path)
     size = (
         table.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
@@ -64,19 +103,30 @@ def settle_panel(df: DataFrame, label: str) -> Stored:
     return Stored(table, path, size.rows or 0, size.days, size.top or 0)
 
 
-_kept: dict[tuple, Stored] = {}
+def state_of(spark: SparkSession, paths: list[str]) -> tuple:
+    """What tells one state of some files from another: their names, lengths and times.  Their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    digest = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+    return tuple(files.select("path", "length", "modificationTime").agg(F.count(F.lit(1)), digest).first())
+
+
+_kept: dict[tuple, tuple[tuple, Stored]] = {}
 
 
-def keep_panel(spark: SparkSession, label: str, source: str, build) -> Stored:
+def keep_panel(spark: SparkSession, label: str, source: str, build, tables: list[str]) -> Stored:
     """Build and write a panel at its first use in an application, then reuse it.
 
-    ``source`` is the folder the panel is built from; it must not change while
-    the application runs.
+    ``tables`` of the folder ``source`` are what it is built from.  When their
+    files have changed, the panel is built anew and the old one removed.
     """
     key = (spark.sparkContext.applicationId, label, source)
-    if key not in _kept or not _readable(spark, _kept[key].path):
-        _kept[key] = settle_panel(build(), label)
-    return _kept[key]
+    state = state_of(spark, [f"{source}/{t}.parquet" for t in tables])
+    was, panel = _kept.get(key, (None, None))
+    if was != state or not _readable(spark, panel.path):
+        _kept[key] = (state, settle_panel(build(), label))
+        if panel is not None:
+            delete(spark, panel.path)
+    return _kept[key][1]
 
 
 def _readable(spark: SparkSession, path: str) -> bool:
