@@ -24,6 +24,7 @@ from panelsmith.operators.ordering import (
 
 DAY = ["d"]
 SINGULAR = 1e-9
+PRUNED_K = 1000  # fixed value: spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def percent_rank(df: DataFrame, x: str, out: str, by: list[str] = DAY, group_rows: int | None = None) -> DataFrame:
@@ -71,20 +72,26 @@ def bucket(
     return placed.withColumn(out, bucket_from(F.col("_pos"), F.col("_n"), buckets)).drop("_pos", "_n")
 
 
-def top_and_bottom(df: DataFrame, x: str, k: int, by: list[str] = DAY) -> DataFrame:
+def top_and_bottom(df: DataFrame, x: str, k: int, by: list[str] = DAY, group_rows: int | None = None) -> DataFrame:
     """The k largest and the k smallest per cross-section, with ``side`` and ``place``.
 
-    The filter on the row number lets every task drop all but its own k before
-    the shuffle, so a large day needs no slicing.
+    For a small k the filter on the row number lets every task drop all but
+    its own k before the shuffle, so a large day needs no slicing.  Spark does
+    so up to ``PRUNED_K``; beyond that places are found as for ranks.
     """
     known = df.filter(F.col(x).isNotNull())
 
-    def first_k(side, order):
-        window = Window.partitionBy(*by).orderBy(order, "asset")
-        placed = known.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= k)
-        return placed.withColumn("side", F.lit(side))
+    def first_k(side, value):
+        made = known.withColumn("_value", value)
+        if k <= PRUNED_K:
+            window = Window.partitionBy(*by).orderBy("_value", "asset")
+            placed = made.withColumn("place", F.row_number().over(window))
+        else:
+            placed = positions(made, by, "_value", "asset", group_rows, "place", "_n").drop("_n")
+            placed = placed.withColumn("place", F.col("place").cast("int"))
+        return placed.filter(F.col("place") <= k).drop("_value").withColumn("side", F.lit(side))
 
-    return first_k("top", F.col(x).desc()).unionByName(first_k("bottom", F.col(x).asc()))
+    return first_k("top", -F.col(x)).unionByName(first_k("bottom", F.col(x)))
 
 
 def regression_residual(df: DataFrame, y: str, factors: list[str], out: str, by: list[str] = DAY) -> DataFrame:
@@ -111,18 +118,20 @@ def regression_residual(df: DataFrame, y: str, factors: list[str], out: str, by:
 
     @F.pandas_udf("array<double>")
     def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        betas = []
-        for a, b in zip(xx, xy):
-            if a is None or b is None:
-                betas.append(None)
-                continue
-            a = np.asarray(a, dtype=float).reshape(k, k)
-            sd = np.sqrt(np.diag(a))
-            if not np.all(sd > 0) or np.linalg.det(a / np.outer(sd, sd)) <= SINGULAR:
-                betas.append(None)
-                continue
-            betas.append(np.linalg.solve(a, np.asarray(b, dtype=float)))
-        return pd.Series(betas)
+        betas = pd.Series([None] * len(xx), dtype=object)
+        given = np.flatnonzero(xx.notna() & xy.notna())
+        if not len(given):
+            return betas
+        a = np.stack(xx.to_numpy()[given]).astype(float).reshape(-1, k, k)
+        b = np.stack(xy.to_numpy()[given]).astype(float)
+        var = np.diagonal(a, axis1=1, axis2=2)
+        usable = (var > 0).all(axis=1)
+        given, a, b, sd = given[usable], a[usable], b[usable], np.sqrt(var[usable])
+        usable = np.linalg.det(a / (sd[:, :, None] * sd[:, None, :])) > SINGULAR
+        found = np.linalg.solve(a[usable], b[usable][:, :, None])[:, :, 0]
+        for at, beta in zip(given[usable], found):
+            betas[at] = beta
+        return betas
 
     solved = moments.withColumn("_beta", solve(F.when(enough, F.col("_xx")), F.col("_xy"))).drop("_xx", "_xy", "_n")
     fitted = F.lit(0.0)

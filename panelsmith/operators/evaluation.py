@@ -6,11 +6,11 @@ that many are tested in one pass; see ``long_form``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.functions.numeric import correlation, ratio, tidy
-from panelsmith.operators.ordering import average_ranks
+from panelsmith.functions.numeric import correlation, known, ratio, tidy
+from panelsmith.operators.ordering import attach, average_ranks
 from panelsmith.operators.crosssection import bucket
 from panelsmith.operators.timeseries import past
 
@@ -41,8 +41,8 @@ def daily_ic(
     df: DataFrame, x: str = "x", target: str = "fwd_1", by: list[str] = SIGNAL_DAY,
     min_assets: int = MIN_ASSETS, group_rows: int | None = None,
 ) -> DataFrame:
-    """Rank IC and Pearson IC of each day with enough complete pairs."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(target).isNotNull()).select(
+    """Rank IC and Pearson IC of each day with enough complete pairs; NaN counts as missing."""
+    pairs = df.filter(known(x).isNotNull() & known(target).isNotNull()).select(
         *by, tidy(x, RANK_PLACES).alias("_x"), tidy(target, RANK_PLACES).alias("_y")
     )
     ranked = average_ranks(pairs, by, {"_x": "_rank_x", "_y": "_rank_y"}, group_rows)
@@ -73,16 +73,40 @@ def ic_summary(ics: DataFrame, ic: str = "rank_ic", by: list[str] = ["signal"])
     )
 
 
+def overlap_t_value(ics: DataFrame, span: str, most: int, ic: str = "rank_ic", by: list[str] = ["signal", "horizon"]) -> DataFrame:
+    """``t_overlap`` of a daily series whose values look ``span`` rows ahead and so overlap.
+
+    Newey-West with ``span - 1`` lags; ``most`` is the largest span.  NULL
+    where the estimated variance is not positive.
+    """
+    series = Window.partitionBy(*by)
+    errors = ics.filter(F.col(ic).isNotNull()).withColumn("_e", F.col(ic) - F.avg(ic).over(series))
+    past = series.orderBy("d")
+    errors = errors.select(*by, ic, "_e", *[F.lag("_e", k).over(past).alias(f"_e{k}") for k in range(1, most)])
+    spread = F.sum(F.col("_e") * F.col("_e"))
+    for k in range(1, most):
+        weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(float(k)) / F.col(span))
+        spread = spread + F.lit(2.0) * F.coalesce(F.sum(weight * F.col("_e") * F.col(f"_e{k}")), F.lit(0.0))
+    found = errors.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(ic).alias("_mean"), spread.alias("_spread"))
+    error = F.sqrt(F.when(F.col("_spread") > 0, F.col("_spread"))) / F.col("_n")
+    return found.select(*by, tidy(ratio("_mean", error)).alias("t_overlap"))
+
+
 def ic_decay(
     df: DataFrame, horizons: list[int], x: str = "x", by: list[str] = SIGNAL_DAY, group_rows: int | None = None
 ) -> DataFrame:
-    """IC summary by signal and horizon, from targets ``fwd_<h>`` in one pass."""
+    """IC summary by horizon and the columns of ``by`` other than the day, from targets ``fwd_<h>`` in one pass.
+
+    Targets of several rows overlap from day to day; ``t_overlap`` allows for that, ``t_value`` does not.
+    """
     targets = F.explode(
         F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
     )
     spread = df.select(*by, x, targets.alias("_t")).select(*by, x, "_t.horizon", "_t.fwd")
     ics = daily_ic(spread, x, "fwd", [*by, "horizon"], group_rows=group_rows)
-    return ic_summary(ics, by=["signal", "horizon"])
+    series = [*[c for c in by if c != "d"], "horizon"]
+    summary = ic_summary(ics, by=series)
+    return attach(summary, overlap_t_value(ics, "horizon", max(horizons), by=series), series)
 
 
 def quantile_returns(
@@ -90,8 +114,8 @@ def quantile_returns(
     by: list[str] = SIGNAL_DAY, group_rows: int | None = None,
 ) -> DataFrame:
     """Mean forward return per day and bucket of the signal, one column per bucket."""
-    known = df.filter(F.col(target).isNotNull()).withColumn(x, tidy(x, RANK_PLACES))
-    placed = bucket(known, x, "_bucket", buckets, by, group_rows)
+    complete = df.filter(known(target).isNotNull()).withColumn(x, tidy(known(x), RANK_PLACES))
+    placed = bucket(complete, x, "_bucket", buckets, by, group_rows)
     return placed.groupBy(*by).agg(
         *[F.avg(F.when(F.col("_bucket") == b, F.col(target))).alias(f"q{b}") for b in range(1, buckets + 1)]
     )

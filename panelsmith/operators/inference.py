@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import correlation, ratio, slope, tidy
 from panelsmith.operators.evaluation import SIGNAL_DAY
-from panelsmith.operators.ordering import attach, fits_one_task, positions, slice_in_order
+from panelsmith.operators.ordering import attach, fits_one_task, positions, slice_count, slice_in_order
 
 
 def fama_macbeth(
@@ -46,7 +47,10 @@ def fama_macbeth(
 
 
 def _poisson_steps(upto: int = 12) -> list[float]:
-    """Distribution function of the Poisson law with mean 1 at 0, 1, ..., upto - 1."""
+    """Distribution function of the Poisson law with mean 1 at 0, 1, ..., upto - 1.
+
+    A draw of 32 bits is above the last step with probability 6e-11; it then counts ``upto`` times.
+    """
     total, steps = 0.0, []
     for k in range(upto):
         total += math.exp(-1.0) / math.factorial(k)
@@ -64,9 +68,9 @@ def bootstrap_mean(
     formed where the rows are read and only replicas reach the shuffle.
     """
     known = df.filter(F.col(value).isNotNull())
-    # Few rows become many draws: place them on all cores before they multiply.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    spread = known.repartition(cores, *by, row_id).select(
+    # Few rows become many draws: place them in as many tasks as a shuffle has before they multiply.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = known.repartition(tasks, *by, row_id).select(
         *by, F.col(value).alias("_x"), F.col(row_id).cast("string").alias("_id"),
         F.explode(F.sequence(F.lit(0), F.lit(replicas))).alias("_replica"),
     )
@@ -90,22 +94,30 @@ def bootstrap_mean(
     )
 
 
-def signal_correlations(panel: DataFrame, signals: list[str]) -> DataFrame:
+PAIRS_AT_ONCE = 100
+
+
+def signal_correlations(panel: DataFrame, signals: list[str], at_once: int = PAIRS_AT_ONCE) -> DataFrame:
     """Correlation of every two signal columns over all assets and days.
 
-    One aggregation with a term per pair of columns; no rows are paired.
+    No rows are paired: one aggregation has the terms of ``at_once`` pairs, so
+    that neither its code nor its row grows with the square of the signals.
     """
     pairs = list(combinations(signals, 2))
-    terms = panel.agg(*[correlation(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), tidy(f"_c{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return terms.select(F.explode(rows).alias("_r")).select("_r.*")
+
+    def some(part: list[tuple[str, str]]) -> DataFrame:
+        terms = panel.agg(*[correlation(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(part)])
+        rows = F.array(*[
+            F.struct(F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), tidy(f"_c{i}").alias("correlation"))
+            for i, (a, b) in enumerate(part)
+        ])
+        return terms.select(F.explode(rows).alias("_r")).select("_r.*")
+
+    return reduce(DataFrame.unionByName, [some(pairs[lo:lo + at_once]) for lo in range(0, len(pairs), at_once)])
 
 
 def benjamini_hochberg(
-    tests: DataFrame, p: str, tie: str, level: float = 0.1, rows: int | None = None, slices: int = 64
+    tests: DataFrame, p: str, tie: str, level: float = 0.1, rows: int | None = None, slices: int | None = None
 ) -> DataFrame:
     """Adjusted p value ``q`` of each test and whether it is ``kept`` at the false discovery rate ``level``.
 
@@ -114,6 +126,8 @@ def benjamini_hochberg(
     found slice by slice.  Tests with a NULL p are left out.
     """
     one = tests.filter(F.col(p).isNotNull()).withColumn("_all", F.lit(0))
+    if not fits_one_task(rows):
+        slices = slices or slice_count(one, ["_all"], rows)
     placed = positions(one, ["_all"], p, tie, rows, "_pos", "_n", slices)
     placed = placed.withColumn("_q", F.col(p) * F.col("_n") / F.col("_pos"))
     if fits_one_task(rows):

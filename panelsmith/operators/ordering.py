@@ -18,7 +18,7 @@ from panelsmith.functions.numeric import ratio
 from panelsmith.storage import settle
 
 ONE_TASK_ROWS = 1_000_000
-SLICES = 64
+SLICES = 64  # at least; more where the largest group needs them
 CUT_ACCURACY = 2_000
 
 
@@ -28,12 +28,23 @@ def fits_one_task(group_rows: int | None) -> bool:
 
 
 
-def attach(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+def slice_count(df: DataFrame, by: list[str], group_rows: int | None) -> int:
+    """Slices such that a slice of the largest group fits a task four times over; measured if its size is unknown."""
+    if group_rows is None:
+        group_rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return max(SLICES, -(-4 * group_rows // ONE_TASK_ROWS))
+
+
+def attach(df: DataFrame, facts: DataFrame, keys: list[str], null_keys: bool = True) -> DataFrame:
     """Add the columns of ``facts``, which has one row per key, NULL keys included.
 
+    Where no key is NULL, ``null_keys=False`` lets the join use a placing by key that is there already.
+
     No hint is given: adaptive execution broadcasts ``facts`` when it is
     measured to be small, and otherwise splits the hot keys of ``df``.
     """
+    if not null_keys:
+        return df.join(facts, keys, "left")
     new = [c for c in facts.columns if c not in keys]
     renamed = facts.select([F.col(k).alias(f"_key_{k}") for k in keys] + new)
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
@@ -42,7 +53,7 @@ def attach(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
 
 def _cuts(x: str, slices: int) -> Column:
     spots = [i / slices for i in range(1, slices)]
-    return F.array_distinct(F.percentile_approx(x, spots, CUT_ACCURACY))
+    return F.array_distinct(F.percentile_approx(x, spots, max(CUT_ACCURACY, 20 * slices)))
 
 
 def _below(cuts: str, x: Column) -> Column:
@@ -59,7 +70,7 @@ def _slice_number(cuts: str, x: Column, slices: int) -> Column:
     return F.when(x.isNull(), F.lit(2 * slices)).otherwise(number)
 
 
-def slice_in_order(df: DataFrame, by: list[str], value: str, tie: str, slices: int = SLICES) -> DataFrame:
+def slice_in_order(df: DataFrame, by: list[str], value: str, tie: str, slices: int) -> DataFrame:
     """Add ``_major`` and ``_minor``, whose order within a group follows (value, tie), NULL values last.
 
     A value that is itself a cut, and so may repeat very often, gets a slice
@@ -96,14 +107,14 @@ def _positions_by_slice(df: DataFrame, by: list[str], value: str, tie: str, out:
 
 def positions(
     df: DataFrame, by: list[str], value: str, tie: str, group_rows: int | None = None,
-    out: str = "pos", total: str = "n", slices: int = SLICES,
+    out: str = "pos", total: str = "n", slices: int | None = None,
 ) -> DataFrame:
     """Place 1..n of each row in its group by (value, tie), NULL values last.
 
     ``tie`` must be numeric and tell the rows of a group apart.
     """
     if not fits_one_task(group_rows):
-        return _positions_by_slice(df, by, value, tie, out, total, slices)
+        return _positions_by_slice(df, by, value, tie, out, total, slices or slice_count(df, by, group_rows))
     group = Window.partitionBy(*by)
     order = group.orderBy(F.col(value).asc_nulls_last(), tie)
     return df.withColumn(out, F.row_number().over(order).cast("long")).withColumn(
@@ -118,7 +129,7 @@ def _mean_rank(order: WindowSpec) -> Column:
 
 
 def average_ranks(
-    df: DataFrame, by: list[str], ranks: dict[str, str], group_rows: int | None = None, slices: int = SLICES
+    df: DataFrame, by: list[str], ranks: dict[str, str], group_rows: int | None = None, slices: int | None = None
 ) -> DataFrame:
     """Rank each column of ``ranks`` within its group into the column it names.
 
@@ -131,6 +142,7 @@ def average_ranks(
             order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
             df = df.withColumn(out, F.when(F.col(value).isNotNull(), _mean_rank(order)))
         return df
+    slices = slices or slice_count(df, by, group_rows)
     cuts = df.groupBy(*by).agg(*[_cuts(v, slices).alias(f"_cuts_{v}") for v in ranks])
     marked = attach(df, cuts, by)
     for value in ranks:
@@ -156,12 +168,13 @@ def average_ranks(
 
 def group_quantiles(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-    tie: str, group_rows: int | None = None, slices: int = SLICES,
+    tie: str, group_rows: int | None = None, slices: int | None = None,
 ) -> DataFrame:
     """Exact quantiles of each group, linear between neighbours: one row per group."""
     known = df.filter(F.col(value).isNotNull())
     if fits_one_task(group_rows):
         return known.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()])
+    slices = slices or slice_count(known, by, group_rows)
     placed = positions(known.select(*by, value, tie), by, value, tie, None, "_pos", "_n", slices)
     picks = []
     for name, p in probs.items():

@@ -11,18 +11,23 @@ from panelsmith.operators.timeseries import past
 
 
 def column_report(df: DataFrame) -> DataFrame:
-    """Rows, NULLs, least and greatest value of every column, in one scan."""
+    """Rows, NULLs, NaNs, least and greatest value of every column, in one scan."""
     counts = []
-    for i, name in enumerate(df.columns):
+    for i, (name, kind) in enumerate(df.dtypes):
+        floating = kind in ("double", "float")
+        nan = F.isnan(name) if floating else F.lit(False)
+        least, greatest = (f(name) + F.lit(0.0) if floating else f(name) for f in (F.min, F.max))  # no -0.0
         counts += [
             F.count(name).alias(f"_n{i}"),
-            F.min(name).cast("string").alias(f"_min{i}"),
-            F.max(name).cast("string").alias(f"_max{i}"),
+            F.count_if(nan).alias(f"_nan{i}"),
+            least.cast("string").alias(f"_min{i}"),
+            greatest.cast("string").alias(f"_max{i}"),
         ]
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
     rows = F.array(*[
         F.struct(
             F.lit(name).alias("column"), F.col("rows"), (F.col("rows") - F.col(f"_n{i}")).alias("nulls"),
+            F.col(f"_nan{i}").alias("nans"),
             F.col(f"_min{i}").alias("least"), F.col(f"_max{i}").alias("greatest"),
         )
         for i, name in enumerate(df.columns)
@@ -51,6 +56,6 @@ def outliers(panel: DataFrame, x: str, k: float) -> DataFrame:
     stats = panel.groupBy("asset").agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_std"))
     score = ratio(F.col(x) - F.col("_mean"), "_std")
     return (
-        attach(panel, stats, ["asset"]).withColumn("score", score)
+        attach(panel, stats, ["asset"], null_keys=False).withColumn("score", score)
         .filter(F.abs("score") > k).drop("_mean", "_std")
     )

@@ -52,15 +52,17 @@ def signals(spark: SparkSession, folder: str) -> Stored:
     return keep_panel(spark, "signals", folder, lambda: add_signals(panel(spark, folder).df), PANEL_TABLES)
 
 
-def long_signals(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+def long_signals(spark: SparkSession, folder: str, copies: int = 1) -> tuple[DataFrame, int]:
     """Signals in long form, and the measured size of the largest signal-day.
 
-    When a day fits one task, the wide rows are brought together by day before
-    they are spread over the signals: everything done per signal and day then
-    runs without moving the longer table.
+    When a day fits one task even after it is spread over the signals, and
+    over ``copies`` of those later, the wide rows are brought together by day
+    first: everything done per signal and day then runs without moving the
+    longer table.
     """
     stored = signals(spark, folder)
-    wide = stored.df.repartition("d") if fits_one_task(stored.max_day_rows) else stored.df
+    spread_rows = stored.max_day_rows * len(SIGNALS) * copies
+    wide = stored.df.repartition("d") if fits_one_task(spread_rows) else stored.df
     return spread_signals(wide), stored.max_day_rows
 
 

@@ -10,11 +10,25 @@ from panelsmith.plans.registry import query
 KEY = ["asset", "d"]
 
 
-@query(f"""WITH {panel_sql()} SELECT asset, d,
-    {r('percent_rank() OVER (PARTITION BY d ORDER BY vol NULLS LAST, asset)')} AS vol_rank FROM panel""")
-def section_percent_rank(spark, folder):
+RANK_SQL = f"""WITH {panel_sql()} SELECT asset, d,
+    {r('percent_rank() OVER (PARTITION BY d ORDER BY vol NULLS LAST, asset)')} AS vol_rank FROM panel"""
+
+
+def _percent_rank(spark, folder, sliced):
     p = panel(spark, folder)
-    return xs.percent_rank(p.df, "vol", "vol_rank", group_rows=p.max_day_rows).select(*KEY, tidy("vol_rank").alias("vol_rank"))
+    ranked = xs.percent_rank(p.df, "vol", "vol_rank", group_rows=None if sliced else p.max_day_rows)
+    return ranked.select(*KEY, tidy("vol_rank").alias("vol_rank"))
+
+
+@query(RANK_SQL)
+def section_percent_rank(spark, folder):
+    return _percent_rank(spark, folder, sliced=False)
+
+
+@query(RANK_SQL)
+def section_percent_rank_sliced(spark, folder):
+    """The same by the way that days too large for a task take."""
+    return _percent_rank(spark, folder, sliced=True)
 
 
 @query(f"""WITH {panel_sql()} SELECT asset, d, {r('''CASE WHEN max(vol) OVER (PARTITION BY d) > min(vol) OVER (PARTITION BY d)
@@ -25,16 +39,29 @@ def section_zscore(spark, folder):
     return xs.zscore(p.df, "vol", "vol_score", group_rows=p.max_day_rows).select(*KEY, tidy("vol_score").alias("vol_score"))
 
 
-@query(f"""WITH {SIGNALS_SQL},
+WINSORISED_SQL = f"""WITH {SIGNALS_SQL},
     marks AS (SELECT d, quantile_cont(ret, 0.05) AS lo, quantile_cont(ret, 0.95) AS hi FROM signals GROUP BY d)
     SELECT asset, d, {r('CASE WHEN ret IS NOT NULL THEN greatest(least(ret, hi), lo) END')} AS ret_inside
-    FROM signals JOIN marks USING (d)""")
-def section_winsorised(spark, folder):
+    FROM signals JOIN marks USING (d)"""
+
+
+def _winsorised(spark, folder, sliced):
     s = signals(spark, folder)
-    inside = xs.winsorise(s.df, "ret", "ret_inside", group_rows=s.max_day_rows)
+    inside = xs.winsorise(s.df, "ret", "ret_inside", group_rows=None if sliced else s.max_day_rows)
     return inside.select(*KEY, tidy("ret_inside").alias("ret_inside"))
 
 
+@query(WINSORISED_SQL)
+def section_winsorised(spark, folder):
+    return _winsorised(spark, folder, sliced=False)
+
+
+@query(WINSORISED_SQL)
+def section_winsorised_sliced(spark, folder):
+    """The same by the way that days too large for a task take."""
+    return _winsorised(spark, folder, sliced=True)
+
+
 @query(f"""WITH {panel_sql()} SELECT asset, d,
     {r('vol / nullif(sum(abs(vol)) OVER (PARTITION BY d), 0e0)')} AS vol_share FROM panel""")
 def section_scaled(spark, folder):

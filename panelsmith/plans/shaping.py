@@ -34,15 +34,16 @@ def panel_by_supplier(spark, folder):
     return panel_from_tables(spark, folder, "supplier")
 
 
-LINE_COLUMNS = [part.split()[0] for part in SCHEMAS["lineitem"].split(", ")]
+LINE_COLUMNS = dict(part.split() for part in SCHEMAS["lineitem"].split(", "))
 
 
 @query("\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS nulls FROM lineitem"
-    for c in LINE_COLUMNS
+    f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS nulls, CAST(0 AS BIGINT) AS nans,
+      CAST(min({c}){zero} AS VARCHAR) AS least, CAST(max({c}){zero} AS VARCHAR) AS greatest FROM lineitem"""
+    for c, kind in LINE_COLUMNS.items() for zero in [" + 0e0" if kind == "double" else ""]
 ))
 def quality_columns(spark, folder):
-    return quality.column_report(load(spark, folder, "lineitem")).select("column", "rows", "nulls")
+    return quality.column_report(load(spark, folder, "lineitem"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem

@@ -60,8 +60,18 @@ def nation_rank_ic(spark, folder):
     return ics.select("d", "assets", tidy("rank_ic").alias("rank_ic"), tidy("ic").alias("ic"))
 
 
-@query(f"""WITH {LONG_SQL}, {ic_sql('long', 'signal, d')}
-    SELECT signal, d, assets, {r('rank_ic')} AS rank_ic, {r('ic')} AS ic FROM ics""")
+DAILY_IC_SQL = f"""WITH {LONG_SQL}, {ic_sql('long', 'signal, d')}
+    SELECT signal, d, assets, {r('rank_ic')} AS rank_ic, {r('ic')} AS ic FROM ics"""
+
+
+@query(DAILY_IC_SQL)
+def signal_daily_ic_sliced(spark, folder):
+    """The same by the way that days too large for a task take."""
+    ics = ev.daily_ic(spread_signals(signals(spark, folder).df))
+    return ics.select("signal", "d", "assets", tidy("rank_ic").alias("rank_ic"), tidy("ic").alias("ic"))
+
+
+@query(DAILY_IC_SQL)
 def signal_daily_ic(spark, folder):
     df, rows = long_signals(spark, folder)
     ics = ev.daily_ic(df, group_rows=rows)
@@ -83,11 +93,20 @@ def signal_ic_summary(spark, folder):
 
 @query(f"""WITH {LONG_SQL},
     {', '.join(ic_sql('long', 'signal, d', f'fwd_{h}', f'ics_{h}') for h in HORIZONS)},
-    every AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, * FROM ics_{h}' for h in HORIZONS)})
-    SELECT signal, CAST(horizon AS INTEGER) AS horizon, {SUMMARY_SQL}
-    FROM every WHERE rank_ic IS NOT NULL GROUP BY signal, horizon""")
+    every AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, * FROM ics_{h}' for h in HORIZONS)}),
+    known_ics AS (SELECT * FROM every WHERE rank_ic IS NOT NULL),
+    ic_errors AS (SELECT *, rank_ic - avg(rank_ic) OVER (PARTITION BY signal, horizon) AS e FROM known_ics),
+    ic_lags AS (SELECT *, {', '.join(f'lag(e, {k}) OVER (PARTITION BY signal, horizon ORDER BY d) AS e{k}' for k in range(1, max(HORIZONS)))}
+      FROM ic_errors),
+    overlap AS (SELECT signal, horizon, avg(rank_ic) AS m, count(*) AS n, sum(e * e) + {' + '.join(
+        f'2e0 * coalesce(sum(greatest(0e0, 1e0 - {k}e0 / horizon) * e * e{k}), 0e0)' for k in range(1, max(HORIZONS)))} AS s
+      FROM ic_lags GROUP BY signal, horizon),
+    summary AS (SELECT signal, horizon, {SUMMARY_SQL} FROM known_ics GROUP BY signal, horizon)
+    SELECT signal, CAST(horizon AS INTEGER) AS horizon, days, mean_ic, std_ic, ic_ratio, t_value, hit_rate,
+      {r('m / nullif(sqrt(CASE WHEN s > 0 THEN s END) / n, 0e0)')} AS t_overlap
+    FROM summary JOIN overlap USING (signal, horizon)""")
 def signal_ic_decay(spark, folder):
-    df, rows = long_signals(spark, folder)
+    df, rows = long_signals(spark, folder, copies=len(HORIZONS))
     return ev.ic_decay(df, HORIZONS, group_rows=rows)
 
 
@@ -221,29 +240,41 @@ def signal_correlation_pairs(spark, folder):
     return inference.signal_correlations(signals(spark, folder).df, SIGNALS)
 
 
-@query(f"""WITH {SIGNALS_SQL},
+TEST_DAYS = 10
+TESTS_SQL = f"""WITH {SIGNALS_SQL},
     raw AS (SELECT asset, count(*) AS n, {guarded_corr_sql('volume_shock', 'fwd_1')} AS c FROM signals
-      WHERE volume_shock IS NOT NULL AND fwd_1 IS NOT NULL GROUP BY asset HAVING count(*) >= 10),
+      WHERE volume_shock IS NOT NULL AND fwd_1 IS NOT NULL GROUP BY asset HAVING count(*) >= {TEST_DAYS}),
     scored AS (SELECT asset, abs(c) * sqrt((n - 2) / nullif(1e0 - c * c, 0e0)) / sqrt(2e0) AS z FROM raw),
     steps AS (SELECT asset, z, 1e0 / (1e0 + 0.3275911e0 * z) AS u FROM scored),
     tests AS (SELECT asset, u * (0.254829592e0 + u * (-0.284496736e0 + u * (1.421413741e0 + u * (-1.453152027e0
       + u * 1.061405429e0)))) * exp(-z * z) AS p FROM steps WHERE z IS NOT NULL),
     placed AS (SELECT *, row_number() OVER (ORDER BY p, asset) AS pos, count(*) OVER () AS n FROM tests),
     adjusted AS (SELECT asset, p, least(min(p * n / pos) OVER (ORDER BY pos DESC), 1e0) AS q FROM placed)
-    SELECT asset, {r('p')} AS p, {r('q')} AS q, q <= 0.1e0 AS kept FROM adjusted""")
-def asset_tests_corrected(spark, folder):
-    """One test per asset: does its volume shock go with its next return?"""
+    SELECT asset, {r('p')} AS p, {r('q')} AS q, q <= 0.1e0 AS kept FROM adjusted"""
+
+
+def _asset_tests(spark, folder, rows):
+    """One test per asset with at least ``TEST_DAYS`` complete days: does its volume shock go with its next return?"""
     complete = signals(spark, folder).df.filter("volume_shock IS NOT NULL AND fwd_1 IS NOT NULL")
     raw = complete.groupBy("asset").agg(
         F.count(F.lit(1)).alias("n"), correlation("volume_shock", "fwd_1").alias("c")
-    ).filter("n >= 10")
+    ).filter(F.col("n") >= TEST_DAYS)
     t = F.abs("c") * F.sqrt(ratio((F.col("n") - 2).cast("double"), 1 - F.col("c") * F.col("c")))
-    tests = raw.select("asset", two_sided_p(t).alias("p"))
-    assets = load(spark, folder, "supplier").count()  # no more tests than suppliers
-    found = inference.benjamini_hochberg(tests, "p", "asset", 0.1, rows=assets)
+    found = inference.benjamini_hochberg(raw.select("asset", two_sided_p(t).alias("p")), "p", "asset", 0.1, rows=rows)
     return found.select("asset", tidy("p").alias("p"), tidy("q").alias("q"), "kept")
 
 
+@query(TESTS_SQL)
+def asset_tests_corrected(spark, folder):
+    return _asset_tests(spark, folder, load(spark, folder, "supplier").count())  # no more tests than suppliers
+
+
+@query(TESTS_SQL)
+def asset_tests_corrected_sliced(spark, folder):
+    """The same by the way that more tests than fit a task take."""
+    return _asset_tests(spark, folder, None)
+
+
 DIMS_SQL = """SELECT grp, CAST(year(d) AS INTEGER) AS year, CASE WHEN volume_shock > 0 THEN 'up' ELSE 'down' END AS side,
       fwd_1 FROM signals WHERE volume_shock IS NOT NULL AND fwd_1 IS NOT NULL"""
 
