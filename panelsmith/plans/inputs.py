@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import ratio
 from panelsmith.operators import timeseries as ts
+from panelsmith.operators.calendar import fill_calendar
 from panelsmith.operators.evaluation import forward_returns, long_form
 from panelsmith.operators.ordering import fits_one_task
 from panelsmith.sources.panels import build_panel
@@ -66,6 +67,32 @@ def long_signals(spark: SparkSession, folder: str, copies: int = 1) -> tuple[Dat
     return spread_signals(wide), stored.max_day_rows
 
 
+def daily_signals(spark: SparkSession, folder: str) -> Stored:
+    """Signals on every calendar day of an asset's life, the last known ones on days without a row (``filled``).
+
+    ``fwd_1`` reaches to the next calendar day, so books earn and compound by the day.
+    """
+
+    def build() -> DataFrame:
+        wide = signals(spark, folder).df.select("asset", "grp", "d", "px", *SIGNALS)
+        return forward_returns(fill_calendar(wide, ["px", *SIGNALS]), [1])
+
+    return keep_panel(spark, "daily-signals", folder, build, PANEL_TABLES)
+
+
+def daily_long(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """Daily signals in long form, and the measured size of the largest signal-day."""
+    stored = daily_signals(spark, folder)
+    wide = stored.df.repartition("d") if fits_one_task(stored.max_day_rows * len(SIGNALS)) else stored.df
+    return long_form(wide, SIGNALS, ["asset", "grp", "d", "filled", "fwd_1"]), stored.max_day_rows
+
+
+def book_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The days on which each signal is known for some asset, from one small aggregate of the stored table."""
+    by_day = daily_signals(spark, folder).df.groupBy("d").agg(*[F.max(F.col(s).isNotNull()).alias(s) for s in SIGNALS])
+    return long_form(by_day, SIGNALS, ["d"]).filter("x").select("signal", "d")
+
+
 def spread_signals(wide: DataFrame) -> DataFrame:
     return long_form(wide, SIGNALS, ["asset", "grp", "d", *[f"fwd_{h}" for h in HORIZONS]])
 
@@ -108,6 +135,16 @@ LONG_SQL = SIGNALS_SQL + ",\n    long AS (" + " UNION ALL ".join(
 ) + ")"
 
 
+DAILY_SQL = f"""{SIGNALS_SQL},
+    known AS (SELECT asset, grp, d, lead(d) OVER ({PAST}) AS next_d, {', '.join(
+        f'last_value({c} IGNORE NULLS) OVER ({PAST} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}' for c in ['px', *SIGNALS])}
+      FROM signals),
+    every_day AS (SELECT *, unnest(generate_series(d, coalesce(next_d - 1, d), INTERVAL 1 DAY)) AS day FROM known),
+    daily AS (SELECT asset, grp, CAST(day AS DATE) AS d, {', '.join(SIGNALS)},
+      lead(px) OVER (PARTITION BY asset ORDER BY day) / nullif(px, 0e0) - 1 AS fwd_1 FROM every_day),
+    long AS ({' UNION ALL '.join(f"SELECT '{s}' AS signal, asset, grp, d, fwd_1, {s} AS x FROM daily" for s in SIGNALS)})"""
+
+
 def guarded_corr_sql(a: str, b: str) -> str:
     """Correlation of two columns without NULLs, NULL where one is constant."""
     return (

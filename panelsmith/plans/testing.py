@@ -9,11 +9,14 @@ from panelsmith.operators import evaluation as ev
 from panelsmith.operators import grouping, inference, portfolio
 from panelsmith.operators.crosssection import demean
 from panelsmith.plans.inputs import (
+    DAILY_SQL,
     HORIZONS,
     LONG_SQL,
     PAST,
     SIGNALS,
     SIGNALS_SQL,
+    book_days,
+    daily_long,
     guarded_corr_sql,
     ic_sql,
     long_signals,
@@ -125,24 +128,24 @@ def signal_quantile_spread(spark, folder):
     return ev.quantile_spread(ev.quantile_returns(df, 5, group_rows=rows))
 
 
-BOOK_SQL = f"""{LONG_SQL},
+BOOK_SQL = f"""{DAILY_SQL},
     centred AS (SELECT *, x - avg(x) OVER (PARTITION BY signal, d) AS c FROM long WHERE x IS NOT NULL),
     held AS (SELECT *, c / nullif(sum(abs(c)) OVER (PARTITION BY signal, d), 0e0) AS w FROM centred)"""
 
 
 def books(spark, folder):
-    df, rows = long_signals(spark, folder)
+    df, rows = daily_long(spark, folder)
     return portfolio.weights(df, group_rows=rows)
 
 
-@query(f"""WITH {BOOK_SQL} SELECT signal, asset, count(w) AS days, {r('avg(w)', 9)} AS mean_weight,
-    {r('avg(abs(w))', 9)} AS mean_size FROM held GROUP BY signal, asset""")
+# Weights are often small fractions; on a grid of one over a prime none of these lies half way between two points.
+GRID = 999_983
+
+
+@query(f"""WITH {BOOK_SQL} SELECT signal, asset, d, round_even(w * {GRID}e0, 0) / {GRID}e0 + 0e0 AS w FROM held""")
 def book_weights(spark, folder):
-    """How much of each asset the books hold, over all days."""
-    return books(spark, folder).groupBy("signal", "asset").agg(
-        F.count("w").alias("days"), tidy(F.avg("w"), 9).alias("mean_weight"),
-        tidy(F.avg(F.abs("w")), 9).alias("mean_size"),
-    )
+    """What each book holds of each asset on each day."""
+    return books(spark, folder).select("signal", "asset", "d", (F.rint(F.col("w") * F.lit(float(GRID))) / F.lit(float(GRID)) + F.lit(0.0)).alias("w"))
 
 
 @query(f"""WITH {BOOK_SQL},
@@ -158,7 +161,7 @@ def book_weights(spark, folder):
     SELECT signal, d, {r('sum(size)')} AS turnover, {r('sum(size) * 1e-3', 9)} AS cost
     FROM (SELECT * FROM bought UNION ALL SELECT * FROM sold) GROUP BY signal, d""")
 def book_turnover(spark, folder):
-    traded = portfolio.turnover(books(spark, folder))
+    traded = portfolio.turnover(books(spark, folder), days=book_days(spark, folder))
     return traded.select("signal", "d", tidy("turnover").alias("turnover"), tidy("cost", 9).alias("cost"))
 
 
@@ -184,14 +187,15 @@ def book_performance(spark, folder):
 
 @query(f"""WITH {PATH_SQL},
     centred_path AS (SELECT *, r - avg(r) OVER (PARTITION BY signal) AS e FROM path)
-    SELECT signal, count(r) AS days, {r('avg(r)')} AS mean_return, {r('stddev_samp(r) * sqrt(252e0)')} AS volatility,
-      {r('avg(r) / nullif(stddev_samp(r), 0e0) * sqrt(252e0)')} AS sharpe,
+    SELECT signal, count(r) AS days, {r('avg(r)')} AS mean_return, {r('stddev_samp(r) * sqrt(365e0)')} AS volatility,
+      {r('avg(r) / nullif(stddev_samp(r), 0e0) * sqrt(365e0)')} AS sharpe,
       {r('avg(e * e * e) / nullif(pow(avg(e * e), 1.5e0), 0e0)')} AS skew,
       {r('avg(e * e * e * e) / nullif(pow(avg(e * e), 2e0), 0e0) - 3')} AS kurtosis,
       {r('min(drawdown)')} AS max_drawdown
     FROM centred_path GROUP BY signal""")
 def book_risk(spark, folder):
-    return portfolio.risk_summary(portfolio.performance(portfolio.daily_returns(books(spark, folder))))
+    path = portfolio.performance(portfolio.daily_returns(books(spark, folder)))
+    return portfolio.risk_summary(path, periods=portfolio.CALENDAR_DAYS)
 
 
 @query(f"""WITH {LONG_SQL},

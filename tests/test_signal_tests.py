@@ -174,3 +174,21 @@ def test_summaries(long, how, levels):
     total = [r for r in got if r.level == 3][0]
     known = long.toPandas()["fwd_1"].dropna()
     assert total.n == len(known) and total["mean"] == pytest.approx(known.mean())
+
+
+def test_a_gap_in_the_data_is_no_trade(spark):
+    """Asset 2 has no row on two days: it is held meanwhile, earns its move when it is seen, and is sold at its end."""
+    from panelsmith.operators.calendar import fill_calendar
+    from panelsmith.operators.evaluation import forward_returns, long_form
+
+    day = lambda n: dt.date(2024, 1, 1 + n)
+    rows = [(1, 0, day(n), 10.0 + n, 1.0) for n in range(6)] + [(2, 0, day(0), 20.0, -1.0), (2, 0, day(3), 30.0, -1.0)]
+    panel = spark.createDataFrame(rows, "asset int, grp int, d date, px double, x1 double")
+    made = forward_returns(fill_calendar(panel, ["px", "x1"]), [1])
+    held = portfolio.weights(long_form(made, ["x1"], ["asset", "d", "fwd_1"]), group_rows=2)
+    traded = {r.d: r.turnover for r in portfolio.turnover(held).collect()}
+    assert [round(traded[day(n)], 9) for n in range(5)] == [1.0, 0.0, 0.0, 0.0, 1.0]
+    earned = {r.d: r.r for r in portfolio.daily_returns(held).collect()}
+    assert earned[day(0)] == pytest.approx(0.5 * 0.1) and earned[day(2)] == pytest.approx(0.5 * (13 / 12 - 1) - 0.5 * 0.5)
+    days = spark.createDataFrame([("x1", day(n)) for n in range(6)], "signal string, d date")
+    assert {r.d: r.turnover for r in portfolio.turnover(held, days=days).collect()} == traded
