@@ -10,23 +10,20 @@ import pyarrow as pa
 
 def blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("key", "i", "j")) -> Iterator[pa.Table]:
     """The complete blocks of equal keys of rows that come sorted by them; a block may span batches."""
-    rest = None
-    for batch in _with_end(batches):
-        if batch is not None and batch.num_rows == 0:
+    held: list[pa.Table] = []
+    held_key = None
+    for batch in batches:
+        if batch.num_rows == 0:
             continue
-        parts = [t for t in (rest, batch and pa.Table.from_batches([batch])) if t is not None]
-        if not parts:
-            return
-        now = pa.concat_tables(parts).combine_chunks()
+        now = pa.Table.from_batches([batch])
         block = np.stack([now[c].to_numpy() for c in keys])
         starts = np.flatnonzero(np.concatenate([[True], (block[:, 1:] != block[:, :-1]).any(axis=0)]))
-        ends = [*starts[1:], now.num_rows]
-        last = len(starts) if batch is None else len(starts) - 1
-        for lo, hi in zip(starts[:last], ends[:last]):
-            yield now.slice(lo, hi - lo)
-        rest = None if batch is None else now.slice(starts[-1])
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
+        for lo, hi in zip(starts, [*starts[1:], now.num_rows]):
+            key = tuple(block[:, lo])
+            if held and key != held_key:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(now.slice(lo, hi - lo))
+            held_key = key
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
