@@ -205,13 +205,18 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
     if model is None:
         return lettered.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def guess(texts):
-        import pandas as pd
-
-        parts = [model.scores(p) for p in slices(pa.array(texts, pa.string(), from_pandas=True))]
-        p = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
-        return pd.DataFrame({"lang_pred": np.array(model.languages, object)[p.argmax(axis=1)], "score": p.max(axis=1)})
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def guess(texts: pa.Array) -> pa.Array:
+        names, best = [], []
+        for part in slices(texts):
+            p = model.scores(part)
+            names.append(p.argmax(axis=1))
+            best.append(p.max(axis=1))
+        pa.default_memory_pool().release_unused()
+        if not names:
+            return pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+        named = pa.array(model.languages, pa.string()).take(pa.array(np.concatenate(names)))
+        return pa.StructArray.from_arrays([named, pa.array(np.concatenate(best))], names=["lang_pred", "score"])
 
     named = lettered.withColumn("guess", guess(F.col("row")[text_col]))
     return named.select(

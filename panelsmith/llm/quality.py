@@ -205,11 +205,10 @@ def score(docs: DataFrame, model: AttentionModel | None, text_col: str = "text")
     if model is None:
         return held.withColumn("score", F.lit(0.5))
 
-    @F.pandas_udf("double")
-    def rate(texts):
-        import pandas as pd
-
-        parts = [model.scores(p) for p in slices(pa.array(texts, pa.string(), from_pandas=True))]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def rate(texts: pa.Array) -> pa.Array:
+        parts = [model.scores(p) for p in slices(texts)]
+        pa.default_memory_pool().release_unused()
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return held.withColumn("score", rate(F.col("row")[text_col]))

@@ -41,9 +41,10 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give back what is remembered; workers outlive their tasks."""
         self.words: dict[bytes, int] = {}
         self.parts: dict[str, list[int]] = {}
         self.pool, self.begin, self.size = array("I"), array("q"), array("q")
@@ -79,7 +80,7 @@ class WordTokenizer:
         if not words:
             return np.zeros(0, np.uint32)
         if len(self.words) > MOST_WORDS:
-            self._forget()
+            self.forget()
         known = self.words
         for word in words:
             if word not in known:
