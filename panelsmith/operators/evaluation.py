@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import correlation, known, ratio, tidy
-from panelsmith.operators.ordering import attach, average_ranks
+from panelsmith.operators.ordering import average_ranks
 from panelsmith.operators.crosssection import bucket
 from panelsmith.operators.timeseries import past
 
@@ -57,56 +57,54 @@ def daily_ic(
     )
 
 
-def ic_summary(ics: DataFrame, ic: str = "rank_ic", by: list[str] = ["signal"]) -> DataFrame:
-    """Mean, deviation, ratio, t value and hit rate of a daily IC series."""
-    stats = ics.filter(F.col(ic).isNotNull()).groupBy(*by).agg(
+def ic_summary(
+    ics: DataFrame, ic: str = "rank_ic", by: list[str] = ["signal"], span: str | None = None, longest: int = 1
+) -> DataFrame:
+    """Mean, deviation, ratio, t value and hit rate of a daily IC series.
+
+    ``span`` names a column with the number of rows that targets look ahead,
+    ``longest`` at most.  Such values overlap from day to day; ``t_overlap``
+    allows for that by Newey-West with ``span - 1`` lags, ``t_value`` does not.
+    It is NULL where the estimated variance is not positive.
+    """
+    known_ics, spread = ics.filter(F.col(ic).isNotNull()), F.count(F.lit(1))
+    if span is not None:
+        series = Window.partitionBy(*by)
+        known_ics = known_ics.withColumn("_e", F.col(ic) - F.avg(ic).over(series))
+        lags = range(1, longest)
+        known_ics = known_ics.select("*", *[F.lag("_e", k).over(series.orderBy("d")).alias(f"_e{k}") for k in lags])
+        spread = F.sum(F.col("_e") * F.col("_e"))
+        for k in lags:
+            weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(float(k)) / F.col(span))
+            spread = spread + F.lit(2.0) * F.coalesce(F.sum(weight * F.col("_e") * F.col(f"_e{k}")), F.lit(0.0))
+    stats = known_ics.groupBy(*by).agg(
         F.count(F.lit(1)).alias("days"),
         F.avg(ic).alias("_mean"),
         F.stddev_samp(ic).alias("_std"),
         F.avg((tidy(ic, RANK_PLACES) > 0).cast("double")).alias("_hits"),
+        spread.alias("_spread"),
     )
     per_day = ratio("_mean", "_std")
+    error = F.sqrt(F.when(F.col("_spread") > 0, F.col("_spread"))) / F.col("days")
     return stats.select(
         *by, "days",
         tidy("_mean").alias("mean_ic"), tidy("_std").alias("std_ic"), tidy(per_day).alias("ic_ratio"),
         tidy(per_day * F.sqrt(F.col("days").cast("double"))).alias("t_value"), tidy("_hits").alias("hit_rate"),
+        *([] if span is None else [tidy(ratio("_mean", error)).alias("t_overlap")]),
     )
 
 
-def overlap_t_value(ics: DataFrame, span: str, most: int, ic: str = "rank_ic", by: list[str] = ["signal", "horizon"]) -> DataFrame:
-    """``t_overlap`` of a daily series whose values look ``span`` rows ahead and so overlap.
-
-    Newey-West with ``span - 1`` lags; ``most`` is the largest span.  NULL
-    where the estimated variance is not positive.
-    """
-    series = Window.partitionBy(*by)
-    errors = ics.filter(F.col(ic).isNotNull()).withColumn("_e", F.col(ic) - F.avg(ic).over(series))
-    past = series.orderBy("d")
-    errors = errors.select(*by, ic, "_e", *[F.lag("_e", k).over(past).alias(f"_e{k}") for k in range(1, most)])
-    spread = F.sum(F.col("_e") * F.col("_e"))
-    for k in range(1, most):
-        weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(float(k)) / F.col(span))
-        spread = spread + F.lit(2.0) * F.coalesce(F.sum(weight * F.col("_e") * F.col(f"_e{k}")), F.lit(0.0))
-    found = errors.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(ic).alias("_mean"), spread.alias("_spread"))
-    error = F.sqrt(F.when(F.col("_spread") > 0, F.col("_spread"))) / F.col("_n")
-    return found.select(*by, tidy(ratio("_mean", error)).alias("t_overlap"))
-
-
 def ic_decay(
     df: DataFrame, horizons: list[int], x: str = "x", by: list[str] = SIGNAL_DAY, group_rows: int | None = None
 ) -> DataFrame:
-    """IC summary by horizon and the columns of ``by`` other than the day, from targets ``fwd_<h>`` in one pass.
-
-    Targets of several rows overlap from day to day; ``t_overlap`` allows for that, ``t_value`` does not.
-    """
+    """IC summary by horizon and the columns of ``by`` other than the day, from targets ``fwd_<h>`` in one pass."""
     targets = F.explode(
         F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
     )
     spread = df.select(*by, x, targets.alias("_t")).select(*by, x, "_t.horizon", "_t.fwd")
     ics = daily_ic(spread, x, "fwd", [*by, "horizon"], group_rows=group_rows)
     series = [*[c for c in by if c != "d"], "horizon"]
-    summary = ic_summary(ics, by=series)
-    return attach(summary, overlap_t_value(ics, "horizon", max(horizons), by=series), series)
+    return ic_summary(ics, by=series, span="horizon", longest=max(horizons))
 
 
 def quantile_returns(

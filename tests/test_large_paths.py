@@ -49,7 +49,7 @@ def test_overlapping_series_get_wider_errors(spark):
     noise = rng.normal(size=n + h)
     series = np.array([noise[i:i + h].mean() for i in range(n)]) + 0.05
     frame = spark.createDataFrame([("s", h, DAY + dt.timedelta(days=i), float(v)) for i, v in enumerate(series)], "signal string, horizon int, d date, rank_ic double")
-    got = ev.overlap_t_value(frame, "horizon", 9).first().t_overlap
+    got = ev.ic_summary(frame, by=["signal", "horizon"], span="horizon", longest=9).first().t_overlap
     e = series - series.mean()
     spread = e @ e + 2 * sum((1 - k / h) * (e[k:] @ e[:-k]) for k in range(1, h))
     assert got == pytest.approx(series.mean() / (np.sqrt(spread) / n), abs=1e-5)
