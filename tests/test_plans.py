@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelsmith.plans import REGISTRY
 from panelsmith.plans.inputs import long_signals, panel, panel_from_tables
 from panelsmith.operators import evaluation as ev
+from panelsmith.operators import quality
 from panelsmith.sources.tables import SchemaMismatch, load, schema_of
 from panelsmith.storage import settle, shared_folder
 
@@ -51,6 +52,16 @@ def test_daily_ic_of_known_size_shuffles_once(spark, capsys):
     assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2  # and one for the sums over days
 
 
+def test_joins_by_keys_that_are_never_null_keep_the_placing(spark, capsys):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(quality.outliers(panel(spark, FOLDER).df, "px", 3.0), capsys)
+        assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_schema_mismatch_is_reported(spark, tmp_path):
     spark.range(3).select(F.col("id").cast("int").alias("r_regionkey")).write.parquet(str(tmp_path / "region.parquet"))
     with pytest.raises(SchemaMismatch, match="r_name: wanted string, found nothing"):
