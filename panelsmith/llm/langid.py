@@ -30,6 +30,7 @@ SAMPLE_DOCS = 3000  # most documents that training sees, shared evenly by the la
 SLICES = 64
 EPOCHS, BATCH, RATE = 40, 32, 20.0
 CALIBRATION_SHARE = 5  # one in so many sample documents is held back
+LEAST_ABOVE_CHANCE = 1.2  # scores below this many times an even guess are the most that is ever rejected
 UNKNOWN = "und"
 
 
@@ -179,8 +180,8 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rows: np.ndarray) ->
     temperature = _temperature(raw.astype(float), y[held])
     best = softmax(raw / temperature)
     right = best.argmax(axis=1) == y[held]
-    # Half the lowest score of a rightly named text: none of those held back would be rejected.
-    floor = 0.5 * float(best.max(axis=1)[right].min()) if right.any() else 0.0
+    # Half the lowest score of a rightly named text, and not far above chance: short but clean texts stay.
+    floor = min(0.5 * float(best.max(axis=1)[right].min()), LEAST_ABOVE_CHANCE / len(languages)) if right.any() else 0.0
     return LanguageModel(languages, (embedding @ weights).astype(np.float32), bias.astype(float), temperature, floor)
 
 

@@ -58,7 +58,6 @@ def _tokens(path: str, end_id: int):
                     pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_ids(x) for x in ids], pa.binary()),
                 ], names=["row", "doc", "n", "ids"])
                 row += some
-        tokenizer.forget()
         pa.default_memory_pool().release_unused()
 
     return run

@@ -44,19 +44,18 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        """Give back what is remembered; workers outlive their tasks."""
         self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}  # ids of four bytes each
         self.pool, self.begin, self.size = array("I"), array("q"), array("q")
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(letters)]
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return ids
 
-    def _ids(self, word: bytes) -> list[int]:
+    def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
             low = text.lower()
@@ -64,15 +63,15 @@ class WordTokenizer:
                 return self._part(low)
             if low[:-1].isalpha():
                 return self._part(low[:-1]) + self._part(low[-1])
-            return [i for part in PARTS.findall(low) for i in self._part(part)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return b"".join(map(self._part, PARTS.findall(low)))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, word: bytes) -> None:
         ids = self._ids(word)
         self.words[word] = len(self.begin)
         self.begin.append(len(self.pool))
-        self.size.append(len(ids))
-        self.pool.extend(ids)
+        self.size.append(len(ids) // 4)
+        self.pool.frombytes(ids)
 
     def encode(self, text: str | bytes | None) -> np.ndarray:
         """Ids of one whole text as unsigned 32-bit integers; a null text has none."""
