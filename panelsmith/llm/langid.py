@@ -3,11 +3,19 @@
 A text is the average of the embeddings of its subwords, byte runs of three and
 four, hashed into a fixed number of rows.  Embeddings and softmax are trained
 by stochastic gradient descent in numpy on a bounded sample; a part of the
-sample is held back to calibrate the scores and the score below which a text
-is rejected.
+sample is held back to calibrate the scores and the rejection.
+
+The largest share of a softmax says which language is likeliest, not that it is
+one of them.  So a text is also rejected if its subwords are unfamiliar: the
+mean of log(share of the subword in texts of the named language / even share).
+Scores and familiarity have floors that fall with the number of subwords.  They
+are set by the held-back texts, whole and cut to several lengths, that are
+named rightly; there is no other limit.  A text without a subword, that is of
+fewer than three bytes, cannot be told and is not rejected if it has a letter.
 
 Since the softmax is linear, embedding row times weights is one small table of
-logits for each subword, which is all a task needs to score whole texts.
+logits for each subword, which is all a task needs to score whole texts; the
+familiarity of subwords stands beside it.
 """
 
 from __future__ import annotations
@@ -30,7 +38,12 @@ SAMPLE_DOCS = 3000  # most documents that training sees, shared evenly by the la
 SLICES = 64
 EPOCHS, BATCH, RATE = 40, 32, 20.0
 CALIBRATION_SHARE = 5  # one in so many sample documents is held back
-LEAST_ABOVE_CHANCE = 1.2  # scores below this many times an even guess are the most that is ever rejected
+EVEN = 0.1  # weight of even shares beside those of a language's subwords
+STRETCH = 256  # bytes in the middle of a text that are cut to shorter ones
+CUTS = (3, 4, 6, 8, 16, 32, 64, 128, 256)  # their lengths
+CUT_AWAY = 0.01  # share of the cuts of a length below its floor: some hold only numbers or signs
+STEPS = 11  # floors for up to 1, 2, 4, ... subwords; the last one for all longer texts
+TOWARDS_EVEN = 0.25  # how far the floor of familiarity lies from the lowest one towards that of even shares
 UNKNOWN = "und"
 
 
@@ -80,14 +93,28 @@ class LanguageModel:
     logits: np.ndarray  # (BUCKETS, languages): embedding times weights
     bias: np.ndarray
     temperature: float
-    reject_below: float
-
-    def scores(self, texts: Texts) -> np.ndarray:
-        total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+    familiar: np.ndarray  # (BUCKETS, languages): log(share / even share)
+    floors: np.ndarray  # (STEPS, 2): of score and familiarity by number of subwords
+
+    def judge(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the likeliest language, its score, and whether the text is rejected."""
+        k = len(self.languages)
+        table = np.concatenate([self.logits, self.familiar], axis=1)
+        total, n = np.zeros((len(texts), 2 * k)), np.zeros(len(texts))
         for found, starts in zip(*subwords(texts)):
-            total += _sums(self.logits[found], starts)
+            total += _sums(table[found], starts)
             n += np.diff(starts)
-        return softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
+        total /= np.maximum(n, 1)[:, None]
+        p = softmax((total[:, :k] + self.bias) / self.temperature)
+        best = p.argmax(axis=1)
+        score, familiar = p.max(axis=1), total[np.arange(len(texts)), k + best]
+        floor = self.floors[step_of(n)]
+        return best, score, (n > 0) & ((score < floor[:, 0]) | (familiar < floor[:, 1]))
+
+
+def step_of(n: np.ndarray) -> np.ndarray:
+    """The place of the floors for so many subwords."""
+    return np.minimum(np.ceil(np.log2(np.maximum(n, 1))).astype(int), STEPS - 1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -119,25 +146,29 @@ def sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_co
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch.column(1)):
-            rows, (found, starts) = [], subwords(part)
+            rows, middles, (found, starts) = [], [], subwords(part)
             for i in range(len(part)):
-                counts = sum(np.bincount(f[s[i]:s[i + 1]], minlength=BUCKETS) for f, s in zip(found, starts))
-                rows.append(counts.astype(np.float32).tobytes())
+                runs = [f[s[i]:s[i + 1]] for f, s in zip(found, starts)]
+                rows.append(sum(np.bincount(f, minlength=BUCKETS) for f in runs).astype(np.float32).tobytes())
+                held = min(len(runs[0]), STRETCH - RUNS[0] + 1)
+                lo = (len(runs[0]) - held) // 2
+                middles.append(np.concatenate([runs[0][lo:lo + held], runs[1][lo:lo + max(held - 1, 0)]]).astype(np.int16).tobytes())
             n = len(part)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.first, n), batch.column(2).slice(part.first, n), pa.array(rows, pa.binary())],
-                names=["doc", "lang", "counts"])
+                [batch.column(0).slice(part.first, n), batch.column(2).slice(part.first, n), pa.array(rows, pa.binary()), pa.array(middles, pa.binary())],
+                names=["doc", "lang", "counts", "middle"])
 
 
 def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """Fit on a bounded sample; None when no document may be learned from."""
     chosen = sample(docs, allowed, id_col, text_col, lang_col)
     kind = chosen.schema["doc"].dataType.simpleString()
-    rows = chosen.mapInArrow(_histograms, f"doc {kind}, lang string, counts binary").filter(F.length("counts") > 0)
+    rows = chosen.mapInArrow(_histograms, f"doc {kind}, lang string, counts binary, middle binary").filter(F.length("counts") > 0)
     table = rows.orderBy("doc", F.xxhash64("counts")).limit(SAMPLE_DOCS).toArrow()
     if table.num_rows == 0:
         return None
     names, counts = table["lang"].to_pylist(), table["counts"]
+    middles = [np.frombuffer(v, np.int16) for v in table["middle"].to_pylist()]
     x = np.empty((table.num_rows, BUCKETS), np.float32)
     for i, row in enumerate(counts):
         x[i] = np.frombuffer(row.as_buffer(), np.float32)
@@ -149,11 +180,23 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     x /= np.maximum(total, 1)
     languages = sorted(set(names))
     y = np.array([languages.index(v) for v in names])
-    return fit(x, y, languages, full)
+    return fit(x, y, languages, full, total[:, 0], middles)
+
+
+def cuts(middle: np.ndarray) -> Iterator[np.ndarray]:
+    """The subwords of the pieces of each length of ``CUTS`` in a text's middle."""
+    held = (len(middle) + 1) // 2
+    threes, fours = middle[:held], middle[held:]
+    for size in CUTS:
+        for lo in range(0, held - (size - RUNS[0]), size):
+            yield np.concatenate([threes[lo:lo + size - RUNS[0] + 1], fours[lo:lo + size - RUNS[1] + 1]])
+
 
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rows: np.ndarray, sizes: np.ndarray, middles: list[np.ndarray]) -> LanguageModel:
+    """Learn from the given rows of ``x``, shares of subwords; small samples are calibrated on themselves.
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rows: np.ndarray) -> LanguageModel:
-    """Learn from the given rows of ``x``, shares of subwords; small samples are calibrated on themselves."""
+    ``sizes`` are the numbers of subwords, ``middles`` those in the middle of each text, in order.
+    """
     rng = np.random.default_rng(10)
     order = rng.permutation(rows)
     part = len(order) // CALIBRATION_SHARE if len(order) >= 10 * CALIBRATION_SHARE else 0
@@ -178,11 +221,49 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rows: np.ndarray) ->
             step += 1
     raw = x[held] @ embedding @ weights + bias
     temperature = _temperature(raw.astype(float), y[held])
-    best = softmax(raw / temperature)
-    right = best.argmax(axis=1) == y[held]
-    # Half the lowest score of a rightly named text, and not far above chance: short but clean texts stay.
-    floor = min(0.5 * float(best.max(axis=1)[right].min()), LEAST_ABOVE_CHANCE / len(languages)) if right.any() else 0.0
-    return LanguageModel(languages, (embedding @ weights).astype(np.float32), bias.astype(float), temperature, floor)
+    logits = (embedding @ weights).astype(np.float32)
+    share = np.stack([x[learn[y[learn] == k]].sum(axis=0, dtype=float) for k in range(len(languages))], axis=1)
+    share /= np.maximum(share.sum(axis=0), 1e-12)
+    familiar = np.log((share * BUCKETS + EVEN) / (1 + EVEN)).astype(np.float32)
+    parts = [(i, c) for i in held for c in cuts(middles[i])]
+    named = np.array([y[i] for i, _ in parts], int)
+    n = np.array([len(c) for _, c in parts])
+    means = np.array([[logits[c].mean(axis=0, dtype=float), familiar[c].mean(axis=0, dtype=float)] for _, c in parts]).reshape(-1, 2, len(languages))
+    whole = _measures(raw, x[held] @ familiar, temperature, y[held])
+    pieces = _measures(means[:, 0] + bias, means[:, 1], temperature, named)
+    floors = _floors(sizes[held], whole, n, pieces, float(familiar.mean()))
+    return LanguageModel(languages, logits, bias.astype(float), temperature, familiar, floors)
+
+
+def _measures(raw: np.ndarray, familiar: np.ndarray, temperature: float, y: np.ndarray) -> np.ndarray:
+    """Score and familiarity of each text; NaN where it is not named rightly."""
+    p = softmax(raw.astype(float) / temperature)
+    best = p.argmax(axis=1)
+    out = np.stack([p.max(axis=1), familiar[np.arange(len(best)), best]], axis=1)
+    out[best != y] = np.nan
+    return out
+
+
+def _floors(sizes: np.ndarray, whole: np.ndarray, cut_sizes: np.ndarray, pieces: np.ndarray, even: float) -> np.ndarray:
+    """Below all whole texts and nearly all cuts of so many subwords or more.
+
+    The score's floor is half the lowest one.  That of familiarity goes from the
+    lowest a part of the way towards that of evenly drawn subwords.
+    """
+    low = np.full((STEPS, 2), np.inf)
+    for n, values, away in ((sizes, whole, 0.0), (cut_sizes, pieces, CUT_AWAY)):
+        known = ~np.isnan(values[:, 0])
+        n, values = step_of(n[known]), values[known]
+        for k in np.unique(n):
+            low[k] = np.minimum(low[k], np.quantile(values[n == k], away, axis=0, method="lower"))
+    low = np.minimum.accumulate(low[::-1])[::-1]  # fewer subwords vary more
+    seen = np.isfinite(low[:, 0])
+    if not seen.any():
+        return np.full((STEPS, 2), -np.inf)
+    low[~seen] = low[seen][-1]  # longer than any held back
+    low[:, 0] *= 0.5
+    low[:, 1] -= TOWARDS_EVEN * np.maximum(low[:, 1] - even, 0)
+    return low
 
 
 def _temperature(raw: np.ndarray, y: np.ndarray) -> float:
@@ -199,32 +280,31 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
 
     A text that is null or has no letter is ``und`` with score 0 and rejected,
     as is every text when there was nothing to learn from.  ``rejected`` also
-    holds for texts whose score is below the calibrated one.
+    holds for texts whose score or familiarity is below its calibrated floor.
     """
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     lettered = held.withColumn("lettered", F.coalesce(F.col("row")[text_col].rlike(r"\p{L}"), F.lit(False)))
     if model is None:
         return lettered.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
 
-    @F.arrow_udf("struct<lang_pred string, score double>")
+    kind = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
+
+    @F.arrow_udf("struct<lang_pred string, score double, rejected boolean>")
     def guess(texts: pa.Array) -> pa.Array:
-        names, best = [], []
-        for part in slices(texts):
-            p = model.scores(part)
-            names.append(p.argmax(axis=1))
-            best.append(p.max(axis=1))
+        judged = [model.judge(part) for part in slices(texts)]
         pa.default_memory_pool().release_unused()
-        if not names:
-            return pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
-        named = pa.array(model.languages, pa.string()).take(pa.array(np.concatenate(names)))
-        return pa.StructArray.from_arrays([named, pa.array(np.concatenate(best))], names=["lang_pred", "score"])
+        if not judged:
+            return pa.array([], pa.struct(kind))
+        names, scores, rejected = (np.concatenate(column) for column in zip(*judged))
+        named = pa.array(model.languages, pa.string()).take(pa.array(names))
+        return pa.StructArray.from_arrays([named, pa.array(scores), pa.array(rejected)], names=[name for name, _ in kind])
 
     named = lettered.withColumn("guess", guess(F.col("row")[text_col]))
     return named.select(
         "row",
         F.when(F.col("lettered"), F.col("guess.lang_pred")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
         F.when(F.col("lettered"), F.col("guess.score")).otherwise(F.lit(0.0)).alias("score"),
-        (~F.col("lettered") | (F.col("guess.score") < F.lit(model.reject_below))).alias("rejected"),
+        (~F.col("lettered") | F.col("guess.rejected")).alias("rejected"),
     )
 
 

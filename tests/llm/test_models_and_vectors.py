@@ -283,3 +283,19 @@ def test_quality(spark):
     assert quality.train(frame, labels.limit(0)) is None
     assert quality.score(frame, None).first().score == 0.5
     assert quality.score(frame.limit(0), model).count() == 0
+
+
+def test_lettered_texts_of_no_learned_language_are_rejected(spark):
+    """An unlearned language and gibberish go whatever their softmax says; clean texts stay, short ones too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs, langid.training_rows(F.col("doc_id")))
+    rng = np.random.default_rng(3)
+    gibberish = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(20)) for _ in range(40)]
+    polish = "w tym roku nie było już żadnego powodu aby przejść obok tego domu bez słowa ponieważ wszyscy mieszkańcy wyjechali nad morze"
+    finnish = "tänä vuonna ei ollut enää mitään syytä kulkea talon ohi sanomatta sanaakaan koska kaikki asukkaat olivat lähteneet meren rannalle"
+    russian = "в этом году уже не было причин проходить мимо дома не сказав ни слова потому что все жители уехали к морю"
+    strange = spark.createDataFrame([(t,) for t in [*gibberish, polish, finnish, russian]], "text string")
+    assert langid.predict(strange, model).filter("not rejected").count() == 0
+    held_out = docs.filter("crc32(cast(doc_id as string)) % 4 = 2")
+    short = held_out.select(F.substring("text", 1, 40).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    assert langid.predict(short, model).filter("rejected").count() <= 0.02 * short.count()
