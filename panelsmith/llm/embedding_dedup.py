@@ -2,11 +2,14 @@
 
 Each half of the unit vectors has a codebook of its own; pairs of codewords are
 the cells of a grid.  A vector lies in the cell of its two nearest codewords.
-From there it visits cells in the order of the summed squared distances of both
-halves, until the sum exceeds the nearest cell's by a margin.  The margin is
-learned: partners at exactly the wanted cosine are made for a sample of
-vectors, and the smallest margin is taken at which all but one in ten thousand
-are visited from either side.  What is found is verified in double precision.
+A vector that lies with another codeword is at least as far away as the plane
+that halves the way between both codewords.  So a cell is left out only if the
+distances to the planes of both halves, as the root of their summed squares,
+exceed the distance of two unit vectors at the wanted cosine: no pair is lost,
+whatever the vectors are like.  What is found is verified in double precision.
+
+The learned margin tells how much farther than the nearest the cells of nearly
+all made partners lie; it is a figure of the codebooks and limits nothing.
 
 Rows are brought together by label and first codeword, cut into pieces where
 many vectors share them, so that a task compares one piece of indexed vectors
@@ -32,7 +35,8 @@ from panelsmith.storage import settle
 
 COSINE = 0.93
 SAMPLE = 8192  # most vectors that codebooks and margin are learned from
-MISSED = 1e-4  # share of partners at the threshold that may stay unvisited
+MISSED = 1e-4  # share of made partners beyond the margin
+SLACK = 1e-9  # for rounding, in squared distance
 PIECE = 2048  # vectors of a piece
 ROUNDS = 12
 
@@ -91,6 +95,20 @@ class MultiIndex:
         a, b = squares(x[:, :self.half], self.first), squares(x[:, self.half:], self.second)
         return a - a.min(axis=1, keepdims=True), b - b.min(axis=1, keepdims=True)
 
+    def planes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance of each half from where each codeword of it becomes the nearest; the nearest one's is 0."""
+        return tuple(_planes(away, centres) for away, centres in zip(self.distances(x), (self.first, self.second)))
+
+
+def _planes(away: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    gaps = squares(centres, centres)[away.argmin(axis=1)]
+    return np.divide(away * away, 4 * gaps, out=np.zeros_like(away), where=gaps > 0)
+
+
+def reach(cosine: float) -> float:
+    """Squared distance of unit vectors at the cosine."""
+    return 2 - 2 * cosine + SLACK
+
 
 def codebook_size(vectors: int) -> int:
     """Cells grow with the number of vectors: about one eighth of its square root codewords on either side."""
@@ -122,16 +140,20 @@ def learn(sample: np.ndarray, vectors: int, cosine: float = COSINE, missed: floa
     return MultiIndex(width, half, first, second, max(margins))
 
 
-def _visits(index: MultiIndex):
-    """One row where a vector lies (kind 0) and one for each first codeword with a cell that it visits (kind 1)."""
+def _visits(index: MultiIndex, cosine: float):
+    """One row where a vector lies (kind 0) and one for each first codeword with a cell that it visits (kind 1).
+
+    Of two vectors with different first codewords the one with the lower visits the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                a, _ = index.distances(unit(matrix(batch.column(3), index.width)))
+                x = unit(matrix(batch.column(3), index.width))
+                a, _ = index.planes(x)
                 at = a.argmin(axis=1)
-                row, code = np.nonzero(a <= index.margin)
+                row, code = np.nonzero((a <= reach(cosine)) & (np.arange(len(index.first)) >= at[:, None]))
                 kind = np.repeat(np.array([0, 1], np.int32), [len(at), len(row)])
                 row, code = np.concatenate([np.arange(len(at)), row]), np.concatenate([at, code])
                 taken = batch.take(pa.array(row))
@@ -151,21 +173,19 @@ def _compare(index: MultiIndex, cosine: float):
         kind, code = block["kind"].to_numpy(), block["code"].to_numpy()
         head, h1, space, weight = (block[c].to_numpy() for c in ("head", "h1", "space", "weight"))
         x = unit(matrix(block["embedding"].combine_chunks(), index.width))
-        a, b = index.distances(x)
+        a, b = index.planes(x)
         cell = (a.argmin(axis=1), b.argmin(axis=1))
         lies, visits = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         pairs = []
         for second in np.unique(cell[1][lies]):
             there = lies[cell[1][lies] == second]
-            come = visits[a[visits, code[visits]] + b[visits, second] <= index.margin]
+            come = visits[a[visits, code[visits]] + b[visits, second] <= reach(cosine)]
             for lo in range(0, len(come), 1024):
                 some = come[lo:lo + 1024]
                 i, j = np.nonzero(x[some] @ x[there].T >= cosine)
                 i, j = some[i], there[j]
-                back = a[j, cell[0][i]] + b[j, cell[1][i]] <= index.margin
                 before = (head[i] < head[j]) | (head[i] == head[j]) & (h1[i] < h1[j])
-                after = (head[i] > head[j]) | (head[i] == head[j]) & (h1[i] > h1[j])
-                own = (space[i] == space[j]) & (before | after & ~back)  # a pair seen from both sides counts once
+                own = (space[i] == space[j]) & (before | (cell[0][i] != cell[0][j]))  # seen from both sides in one first codeword
                 pairs.append((i[own], j[own]))
         i, j = (np.concatenate(side) for side in zip(*pairs))
         return np.stack([head, h1], axis=1), weight, i, j
@@ -233,7 +253,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     kind = classes.schema["embedding"].dataType.simpleString()
     spread = settle(classes.select("head", "space", "weight", "embedding", "h1").mapInArrow(
-        _visits(index), f"key long, kind int, code int, head long, space long, weight long, embedding {kind}, h1 long"), "vector-visits")
+        _visits(index, cosine), f"key long, kind int, code int, head long, space long, weight long, embedding {kind}, h1 long"), "vector-visits")
     counts = spread.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("lying"), F.sum("kind").alias("visiting")).filter("lying > 0 and visiting > 1")
     cut = spread.join(counts, "key")
     cut = cut.withColumn("lying", F.ceil(F.col("lying") / PIECE).cast("int")).withColumn("visiting", F.ceil(F.col("visiting") / PIECE).cast("int"))

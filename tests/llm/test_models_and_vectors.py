@@ -89,6 +89,18 @@ def test_margin_reaches_partners_at_the_threshold():
     assert visited < 0.25
 
 
+def test_pairs_across_a_border_of_codewords_are_linked(spark):
+    """Near copies that differ along the line between two clusters, halfway between them."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(2, 16), 300, axis=0) + 0.02 * rng.normal(size=(600, 16))
+    turn = np.radians([45 - 10.4, 45 + 10.4])
+    between = np.stack([np.cos(turn), np.sin(turn)], axis=1) @ np.eye(2, 16)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, between]))]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got.collect()), key=str) == brute_links(rows, 0.93)
+    assert {r.vec_id: r.n_links for r in got.collect()}[601] == 1
+
+
 @pytest.mark.parametrize("piece", [4096, 32])
 def test_search_against_brute_force(spark, table, monkeypatch, piece):
     monkeypatch.setattr(hash_search, "PIECE", piece)
