@@ -187,7 +187,8 @@ def _compare(index: MultiIndex, cosine: float):
                 before = (head[i] < head[j]) | (head[i] == head[j]) & (h1[i] < h1[j])
                 own = (space[i] == space[j]) & (before | (cell[0][i] != cell[0][j]))  # seen from both sides in one first codeword
                 pairs.append((i[own], j[own]))
-        i, j = (np.concatenate(side) for side in zip(*pairs))
+        none = np.zeros(0, np.int64)  # as when no visitor reaches a cell in which a vector lies
+        i, j = (np.concatenate(side) for side in zip((none, none), *pairs))
         return np.stack([head, h1], axis=1), weight, i, j
 
     def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

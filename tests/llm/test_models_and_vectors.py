@@ -311,3 +311,13 @@ def test_lettered_texts_of_no_learned_language_are_rejected(spark):
     held_out = docs.filter("crc32(cast(doc_id as string)) % 4 = 2")
     short = held_out.select(F.substring("text", 1, 40).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
     assert langid.predict(short, model).filter("rejected").count() <= 0.02 * short.count()
+
+
+def test_a_block_whose_visitors_reach_no_cell_has_no_links():
+    index = embedding_dedup.MultiIndex(4, 2, np.array([[0.5, 0], [0.8, 0]]), np.array([[0, 0.8], [0.6, 0]]), 1.0)
+    x = [[0.8, 0, 0.6, 0], [0.6, 0, 0, 0.8], [0.6, 0, 0, 0.8]]  # the first lies, the others visit its first codeword
+    n = lambda *v: pa.array(v, pa.int64())
+    block = pa.RecordBatch.from_arrays(
+        [n(1, 1, 1), n(0, 0, 0), n(0, 0, 0), pa.array([0, 1, 1], pa.int32()), pa.array([1, 1, 1], pa.int32()), n(7, 8, 9), n(7, 8, 9), n(5, 5, 5), n(1, 1, 1), pa.array(x)],
+        names=["key", "i", "j", "kind", "code", "head", "h1", "space", "weight", "embedding"])
+    assert list(embedding_dedup._compare(index, 0.93)(iter([block]))) == []
