@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.llm import embedding_dedup, hash_search, hidden_markov, langid, linededup, minhash, mixing, packing, quality, tokencounts
+from panelsmith.llm import embedding_dedup, hash_search, hidden_markov, langid, linededup, minhash, mixing, packing, quality, tokencounts, tokenfiles
 from panelsmith.llm.tables import table
 from panelsmith.plans.registry import Build, Query
+from panelsmith.storage import new_path
 
 LLM_REGISTRY: dict[str, Query] = {}
 
@@ -163,3 +164,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False))
     return named.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written compressed and read back."""
+    folder = new_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents", "doc_id", "text"), folder)
+    return tokenfiles.read(spark, folder).withColumnRenamed("doc", "doc_id")
