@@ -30,17 +30,22 @@ def tidy(x: Column | str, places: int = 6) -> Column:
 
 
 PLACES = 2
+NOISE_BELOW = 2.0**43  # last places; up to there noise stays below a hundredth of one
 
 
 def as_whole(x: Column | str, places: int = PLACES) -> Column:
     """An amount of at most ``places`` decimal places as a whole number of its last place.
 
     Sums of whole numbers are the same in any order.  A value with more places
-    than declared is an error, not rounded away; NaN counts as NULL.
+    than declared is an error, not rounded away; NaN counts as NULL.  Noise in
+    the last digits is allowed for as long as it is small beside the last place;
+    a larger amount must be the very double that stands for a number of so many
+    places.
     """
     scaled = known(x) * F.lit(10.0**places)
     whole = F.rint(scaled)
-    fits = F.abs(scaled - whole) <= F.lit(1e-9) + F.abs(scaled) * F.lit(1e-15)
+    noise = F.abs(scaled - whole) <= F.lit(1e-9) + F.abs(scaled) * F.lit(1e-15)
+    fits = F.when(F.abs(scaled) < F.lit(NOISE_BELOW), noise).otherwise(whole / F.lit(10.0**places) == as_col(x))
     wrong = F.raise_error(F.concat(F.lit(f"more than {places} decimal places: "), as_col(x).cast("string")))
     return F.when(scaled.isNull() | fits, whole).otherwise(wrong.cast("double")).cast("long")
 

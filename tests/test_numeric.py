@@ -52,6 +52,25 @@ def test_more_places_than_declared_are_an_error(spark):
     assert large.agg(exact_sum("x")).first()[0] == 123456789012.3
 
 
+@pytest.mark.parametrize("amount", [6000000000000.004, -6000000000000.004, 2e13 + 0.0040, 3e13 + 0.00390625, 90071992547.127])
+def test_more_places_of_a_large_amount_are_an_error(spark, amount):
+    df = spark.createDataFrame([(amount,)], "x double")
+    with pytest.raises(Exception, match="more than 2 decimal places"):
+        df.agg(exact_sum("x")).collect()
+
+
+def test_large_amounts_of_two_places_are_exact(spark):
+    from decimal import Decimal
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    whole = [int(v) for top in (10**12, 10**14, 10**15, 2 * 10**15) for v in rng.integers(-top, top, 200)]
+    df = spark.createDataFrame([(w / 100,) for w in whole], "x double").repartition(5)
+    assert df.agg(exact_sum("x")).first()[0] == float(Decimal(sum(whole)) / 100)
+    assert spark.createDataFrame([(5e13,), (4e15,)], "x double").agg(exact_sum("x")).first()[0] == 4.05e15
+
+
 def test_nan_counts_as_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.5), (3.0, 5.0), (float("nan"), 9.0), (4.0, float("nan"))], "a double, b double")
     clean = df.filter("NOT isnan(a) AND NOT isnan(b)")
