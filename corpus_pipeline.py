@@ -18,13 +18,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without letters or below the calibrated score go."""
+    """Documents in a language that was learned; those without letters or below the calibrated floors go.
+
+    So null and empty texts go, and nothing stays if no row has a language to
+    learn from.  Rows that repeat id or text are judged each by itself and alike.
+    """
     docs = docs.select(*COLUMNS)
     return langid.identify(docs).filter(~F.col("rejected")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one holds."""
+    """Documents without the lines that an earlier one holds.
+
+    Every row stays, with an empty text if its text is null or nothing is left
+    of it.  Rows that repeat an id are one document: they do not take lines from
+    each other.  A row without an id keeps all its lines.
+    """
     kept = linededup.dedup_lines(docs.select(*COLUMNS))
     return kept.select(
         "row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source",
@@ -35,21 +44,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): that of the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id all stay.
+    Rows that repeat an id with different texts are documents of their own, as
+    are rows without an id, which come last.  Of rows that repeat id and text
+    one stays.  Texts without words are near copies of nothing.
     """
-    docs = docs.select(*COLUMNS)
-    stay = minhash.near_copies(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    return minhash.one_of_each(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of all tokens, mixed to the target weights in one epoch."""
+    """Four fifths of all tokens, mixed to the target weights in one epoch.
+
+    Null languages and sources are leaves of their own; texts without tokens are
+    not taken.  Rows that repeat id and text count with all their tokens, and as
+    many of them are taken as the budget reaches.  Documents stay whole.
+    """
     return mixing.mixed(docs.select(*COLUMNS), mixing.levels(), mixing.WEIGHTS, share=(4, 5))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 2,048 tokens."""
+    """The documents' pieces in sequences of 2,048 tokens.
+
+    Every row is a document of its own, whether its id is null or repeated; a
+    null or empty text is one end id.
+    """
     return packing.pack(docs.select(*COLUMNS)).withColumnRenamed("doc", "doc_id")
 
 

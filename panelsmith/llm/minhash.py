@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.llm.blocks import blocks
@@ -319,6 +319,41 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one for each group of near copies: that of the smallest id, rows without an id last.
+
+    Texts are compared, not ids: rows that repeat an id with different texts
+    are documents of their own, as are rows without an id.  Of rows that repeat
+    id and text one stays, of one id the text of the smallest hash.  Texts
+    without words are linked with nothing; they all stay but for such repeats.
+    """
+    version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), version.alias("version"))
+    repeated = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id")
+    several = ids.join(repeated, ids["id"].eqNullSafe(repeated["id"]), "left_semi").distinct()
+    # Numbers below all ids, in ranges that each task counts by itself.
+    parts = settle(several.repartitionByRange("id", "version").sortWithinPartitions("id", "version").withColumn("part", F.spark_partition_id())
+                   .withColumn("place", F.monotonically_increasing_id() % (1 << 33)), "repeated-ids")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    least = min(0, ids.agg(F.min("id")).first()[0] or 0)
+    numbers = settle(parts.join(sizes, "part").select("id", "version", (F.lit(least - 1) - F.col("start") - F.col("place")).alias("number")), "repeated-numbers")
+
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    held = held.withColumn("id", F.col("row")[id_col].cast("long")).withColumn("version", F.xxhash64(F.coalesce(F.col("row")[text_col], F.lit(""))))
+    same = held["id"].eqNullSafe(numbers["id"]) & (held["version"] == numbers["version"])
+    keyed = held.join(numbers, same, "left").select(
+        "row", F.coalesce("number", held["id"]).alias("key"), F.col("number").isNotNull().alias("repeats"), F.col("row")[text_col].alias("text"))
+    groups = near_copies(keyed, "key", "text", width, percent).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    named = groups.join(numbers.withColumnRenamed("number", "key"), "key", "left")
+    order = F.struct((F.col("version").isNotNull() & F.col("id").isNull()).alias("without"), F.when(F.col("version").isNull(), F.col("key")).otherwise(F.col("id")).alias("id"), "version", "key")
+    heads = named.groupBy("component_id").agg(F.min(order).alias("head")).select(F.col("head.key").alias("key"))
+    kept = settle(keyed.join(heads.hint("merge"), "key", "left_semi").select("row", "key", "repeats"), "one-of-each")
+    first = kept.filter("repeats").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    return kept.filter("not repeats").select("row.*").unionByName(first)
+
+
 def sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Full shingle sets of the wanted documents.  Their number follows the corpus, so they are never broadcast."""
     return texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(width), "doc long, shingles array<long>")

@@ -109,12 +109,16 @@ def choose(units: DataFrame, levels: list[str], weights: dict[str, dict[str, int
 
 def units_of(docs: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is mixed: one row per id and text; a null level value is a value of its own, a null text holds no tokens."""
+    return _unit_rows(docs, levels, id_col, text_col).dropDuplicates(["doc", "version", *levels])
+
+
+def _unit_rows(docs: DataFrame, levels: dict[str, Column], id_col: str, text_col: str, *more: Column) -> DataFrame:
     named = {name: F.coalesce(column, F.lit(NONE)) for name, column in levels.items()}
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc"), F.xxhash64(text).alias("version"), n_tokens(text).alias("n_tokens"),
-        *[c.alias(name) for name, c in named.items()],
-    ).dropDuplicates(["doc", "version", *levels])
+        *[c.alias(name) for name, c in named.items()], *more,
+    )
 
 
 def domain_of(source: Column) -> Column:
@@ -133,10 +137,30 @@ WEIGHTS = {"domain": {"d0": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {
 
 def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: tuple[int, int],
           id_col: str = "doc_id", text_col: str = "text", seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` taken in one epoch, whole: a leaf's last document is not cut."""
-    taken = choose(units_of(docs, levels, id_col, text_col), list(levels), weights, share, 1, seed)
-    taken = taken.select("doc", "version").distinct()
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    held = held.withColumn("doc", F.col("row")[id_col]).withColumn("version", F.xxhash64(F.coalesce(F.col("row")[text_col], F.lit(""))))
-    same = held["doc"].eqNullSafe(taken["doc"]) & (held["version"] == taken["version"])
-    return held.join(taken, same, "left_semi").select("row.*")
+    """The rows of ``docs`` taken in one epoch, whole: a leaf's last document is not cut.
+
+    Rows that repeat id and text are one unit of as many tokens as all of them
+    hold; of the last unit of a leaf only as many rows are returned as its budget
+    reaches, the same ones each time.  Rows of null or empty texts are not taken.
+    """
+    keys = ["doc", "version", *levels]
+    units = _unit_rows(docs, levels, id_col, text_col).groupBy(*keys).agg(
+        F.first("n_tokens").alias("each"), F.count(F.lit(1)).alias("copies"))
+    units = settle(units.withColumn("n_tokens", F.col("each") * F.col("copies")), "mix-copies")
+    taken = choose(units.drop("each", "copies"), list(levels), weights, share, 1, seed).select(*keys, "used_tokens")
+    named = {name: units[name].eqNullSafe(taken[name]) for name in keys}
+    taken = settle(units.join(taken, list(named.values())).select(
+        *[units[name] for name in keys], "copies", F.ceil(F.col("used_tokens") / F.col("each")).cast("long").alias("wanted")), "mix-taken")
+
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[
+        c.alias(name) for name, c in {"doc": docs[id_col], "version": F.xxhash64(F.coalesce(docs[text_col], F.lit(""))),
+                                      **{name: F.coalesce(column, F.lit(NONE)) for name, column in levels.items()}}.items()])
+    met = held.join(taken, [held[name].eqNullSafe(taken[name]) for name in keys]).select(*[held[c] for c in held.columns], "copies", "wanted")
+    one = met.filter("copies = 1").select("row")
+    # Copies are counted before they meet: what remains are the variants that other columns make.
+    variants = met.filter("copies > 1").groupBy("row", *keys, "wanted").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*keys).orderBy(F.to_json("row")).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("wanted") - F.coalesce(F.sum("n").over(before), F.lit(0))
+    variants = variants.withColumn("n", F.least(F.col("n"), left)).filter("n > 0")
+    several = variants.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_")).select("row")
+    return one.unionByName(several).select("row.*")

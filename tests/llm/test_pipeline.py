@@ -18,6 +18,7 @@ COLUMNS = {  # fixed values: the columns that each query must return
     "op4_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
     "op7_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op8_minhash": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op13_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
 }
 
@@ -55,15 +56,78 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n != 2048").count() <= 1
 
 
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()), key=str)
+
+
 def test_stages_on_awkward_rows(spark):
-    docs = spark.createDataFrame(awkward(), SCHEMA)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, FOLDER).cache()
-    assert docs.count() > 0
+    """Every stage against plain Python, row by row."""
+    rows = [(i, t, lang, source, n) for i, t, lang, source, n, *_ in awkward()]
+    docs = spark.createDataFrame([r + ("r", "d", 1, 2, "k") for r in rows], SCHEMA)
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    named = corpus_pipeline.language_id(spark, docs, FOLDER)
+    judged = langid.identify(plain).filter("not rejected").select("row.*")
+    assert rows_of(named) == rows_of(judged)
+    assert {r[1] for r in rows_of(named)} <= {r[1] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+
+    lines = corpus_pipeline.line_dedup(spark, docs, FOLDER)
+    assert lines.count() == len(rows) and lines.filter("text is null").count() == 0
+
+    near = corpus_pipeline.near_dedup(spark, plain, FOLDER)
+    groups = [{5, 6}, {7, 8, 9, 10}]  # of ids; nine's other text is no near copy
+    want = []
+    for i, t, lang, source, _ in {r for r in rows}:
+        if t and t.split()[:2] == ["word0", "word1"]:  # the base text, repeated with and without an id
+            keep = i == 7
+        elif i in groups[0]:
+            keep = i == 5
+        elif i is None or (t and t.startswith("WORD0")):
+            keep = not t
+        elif t == "TWO  words":
+            keep = False
+        else:
+            keep = True
+        if keep:
+            want.append((i, t, lang, source))
+    assert rows_of(near) == sorted(want, key=str)
+
+    mixed = corpus_pipeline.mixing_stage(spark, plain, FOLDER)
+    given = [r[:4] for r in rows]
+    for r in rows_of(mixed):
+        given.remove(r)  # each row at most as often as it was given
+        assert r[1] and r[1].split()
+    packed = corpus_pipeline.packing_stage(spark, plain, FOLDER)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in packed.filter("start = 0").collect()) == sorted((r[0] is None, r[0] or 0) for r in rows)
+
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
-        none = stage(spark, none, FOLDER)
-    assert none.count() == 0
+        assert stage(spark, none, FOLDER).count() == 0
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    """An id with two texts, one of which another id repeats: both texts stay, once each."""
+    alpha, beta = " ".join(f"alpha{i}" for i in range(30)), " ".join(f"beta{i}" for i in range(30))
+    docs = spark.createDataFrame(
+        [(1, alpha, "en", "s", 1), (1, beta, "en", "s", 1), (2, beta + " x", "en", "s", 1), (None, alpha, "en", "s", 1), (1, alpha, "en", "s", 1),
+         (None, "one more text here", "en", "s", 1), (3, None, "en", "s", 1), (4, "", "en", "s", 1), (None, None, "en", "s", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows_of(corpus_pipeline.near_dedup(spark, docs, FOLDER))
+    want = [(1, alpha), (1, beta), (3, None), (4, ""), (None, "one more text here"), (None, None)]
+    assert [(r[0], r[1]) for r in got] == sorted(want, key=str)
+
+
+def test_copies_count_in_the_mix(spark):
+    """Equal rows hold as many tokens as there are rows, and no more of them come back than were budgeted."""
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text, "en", "src0", 1)] * 50 + [(i, text + f" {i}", "en", "src0", 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mixing_stage(spark, docs, FOLDER).collect()
+    tokens = sum(len(r.text.split()) for r in out)
+    total = sum(len(r[1].split()) for r in rows)
+    assert total * 4 // 5 <= tokens < total * 4 // 5 + 101 and 78 <= len(out) <= 82
+    first = corpus_pipeline.mixing_stage(spark, docs.repartition(5), FOLDER)
+    assert sorted(map(str, first.collect())) == sorted(map(str, out))
 
 
 def test_held_out_language_accuracy(spark):
