@@ -2,7 +2,8 @@
 
 ``by`` names the columns of the cross-section, ``["d"]`` by default; add "grp"
 or "signal" for finer ones.  ``group_rows`` is the measured size of the largest
-cross-section; leave it out when it is unknown.
+cross-section; left out, it is counted where it matters.  ``slices`` asks for
+the way that cross-sections too large for a task take.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ SINGULAR = 1e-9
 PRUNED_K = 1000  # fixed value: spark.sql.optimizer.windowGroupLimitThreshold
 
 
-def percent_rank(df: DataFrame, x: str, out: str, by: list[str] = DAY, group_rows: int | None = None) -> DataFrame:
+def percent_rank(
+    df: DataFrame, x: str, out: str, by: list[str] = DAY, group_rows: int | None = None, slices: int | None = None
+) -> DataFrame:
     """Rank from 0 to 1; equal values in asset order, NULLs last."""
-    placed = positions(df, by, x, "asset", group_rows, "_pos", "_n")
+    placed = positions(df, by, x, "asset", group_rows, "_pos", "_n", slices)
     return placed.withColumn(out, percent_rank_from(F.col("_pos"), F.col("_n"))).drop("_pos", "_n")
 
 
@@ -55,10 +58,10 @@ def scale_to_gross(
 
 def winsorise(
     df: DataFrame, x: str, out: str, low: float = 0.05, high: float = 0.95,
-    by: list[str] = DAY, group_rows: int | None = None,
+    by: list[str] = DAY, group_rows: int | None = None, slices: int | None = None,
 ) -> DataFrame:
     """Pull values outside two quantiles of the day back to those quantiles."""
-    marks = group_quantiles(df, by, x, {"_low": low, "_high": high}, "asset", group_rows)
+    marks = group_quantiles(df, by, x, {"_low": low, "_high": high}, "asset", group_rows, slices)
     inside = F.greatest(F.least(F.col(x), F.col("_high")), F.col("_low"))
     both = attach(df, marks, by)
     return both.withColumn(out, F.when(F.col(x).isNotNull(), inside)).drop("_low", "_high")

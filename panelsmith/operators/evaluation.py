@@ -39,13 +39,13 @@ def long_form(panel: DataFrame, signals: list[str], keep: list[str]) -> DataFram
 
 def daily_ic(
     df: DataFrame, x: str = "x", target: str = "fwd_1", by: list[str] = SIGNAL_DAY,
-    min_assets: int = MIN_ASSETS, group_rows: int | None = None,
+    min_assets: int = MIN_ASSETS, group_rows: int | None = None, slices: int | None = None,
 ) -> DataFrame:
     """Rank IC and Pearson IC of each day with enough complete pairs; NaN counts as missing."""
     pairs = df.filter(known(x).isNotNull() & known(target).isNotNull()).select(
         *by, tidy(x, RANK_PLACES).alias("_x"), tidy(target, RANK_PLACES).alias("_y")
     )
-    ranked = average_ranks(pairs, by, {"_x": "_rank_x", "_y": "_rank_y"}, group_rows)
+    ranked = average_ranks(pairs, by, {"_x": "_rank_x", "_y": "_rank_y"}, group_rows, slices)
     return (
         ranked.groupBy(*by)
         .agg(

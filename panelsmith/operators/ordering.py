@@ -1,13 +1,15 @@
 """Positions, ranks and quantiles within groups of any size.
 
-A group known to fit one task is ordered by a plain window.  A larger one, or
-one of unknown size, is cut into slices that are contiguous in the order; each
-slice is ordered by itself and shifted by the total of the slices before it.
-Both ways give the same numbers.
+A group that fits one task is ordered by a plain window; its size is measured
+by one count if the caller does not know it.  A larger one is cut into slices
+that are contiguous in the order; each slice is ordered by itself and shifted by
+the total of the slices before it.  Both ways give the same numbers, and
+``slices`` asks for the second whatever the size.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,12 +29,24 @@ def fits_one_task(group_rows: int | None) -> bool:
     return group_rows is not None and group_rows <= ONE_TASK_ROWS
 
 
+def measured(df: DataFrame, by: list[str], group_rows: int | None) -> int:
+    """The rows of the largest group: as given, else counted, partly where the rows are read."""
+    if group_rows is not None:
+        return group_rows
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
 
 def slice_count(df: DataFrame, by: list[str], group_rows: int | None) -> int:
     """Slices such that a slice of the largest group fits a task four times over; measured if its size is unknown."""
-    if group_rows is None:
-        group_rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    return max(SLICES, -(-4 * group_rows // ONE_TASK_ROWS))
+    return max(SLICES, -(-4 * measured(df, by, group_rows) // ONE_TASK_ROWS))
+
+
+def slices_for(df: DataFrame, by: list[str], group_rows: int | None, slices: int | None) -> int | None:
+    """How many slices to cut groups into: those asked for, None if the largest group fits one task."""
+    if slices is not None:
+        return slices
+    group_rows = measured(df, by, group_rows)
+    return None if fits_one_task(group_rows) else slice_count(df, by, group_rows)
 
 
 def attach(df: DataFrame, facts: DataFrame, keys: list[str], null_keys: bool = True) -> DataFrame:
@@ -53,20 +67,42 @@ def attach(df: DataFrame, facts: DataFrame, keys: list[str], null_keys: bool = T
 
 def _cuts(x: str, slices: int) -> Column:
     spots = [i / slices for i in range(1, slices)]
-    return F.array_distinct(F.percentile_approx(x, spots, max(CUT_ACCURACY, 20 * slices)))
+    return F.coalesce(F.array_distinct(F.percentile_approx(x, spots, max(CUT_ACCURACY, 20 * slices))), F.expr("array()"))
+
+
+def _with_cuts(df: DataFrame, by: list[str], values: dict[str, str], slices: int) -> DataFrame:
+    """The cuts of each group for columns, under the names given."""
+    found = df.groupBy(*by).agg(*[_cuts(v, slices).alias(name) for name, v in values.items()])
+    return found.select(*by, *[chunked(F.col(name), cut_width(slices)).alias(name) for name in values])
+
+
+def cut_width(cuts: int) -> int:
+    """Cuts are looked up in two steps, in chunks of about the square root of their number."""
+    return max(1, math.isqrt(cuts))
 
 
-def _below(cuts: str, x: Column) -> Column:
-    return F.size(F.filter(F.col(cuts), lambda cut: cut < x))
+def chunked(cuts: Column, width: int) -> Column:
+    """Sorted cuts as chunks of ``width``, so that a lookup need not look at all of them."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(cuts) / width).cast("int") - 1))
+    chunks = F.transform(starts, lambda i: F.slice(cuts, i * width + 1, width))
+    return F.struct(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)).alias("lasts"), chunks.alias("chunks"))
+
+
+def cuts_below(cuts: str, x: Column, width: int) -> Column:
+    """How many cuts are smaller than ``x``: whole chunks first, then within one chunk."""
+    whole = F.size(F.filter(F.col(cuts)["lasts"], lambda cut: cut < x))
+    chunk = F.coalesce(F.get(F.col(cuts)["chunks"], whole), F.expr("array()"))
+    return whole * width + F.size(F.filter(chunk, lambda cut: cut < x))
 
 
 def _is_cut(cuts: str, x: Column) -> Column:
-    return F.coalesce(F.array_contains(cuts, x), F.lit(False))
+    whole = F.size(F.filter(F.col(cuts)["lasts"], lambda cut: cut < x))
+    return F.coalesce(F.array_contains(F.get(F.col(cuts)["chunks"], whole), x), F.lit(False))
 
 
 def _slice_number(cuts: str, x: Column, slices: int) -> Column:
     """Odd for a value that is itself a cut, even between cuts, largest for NULL."""
-    number = 2 * _below(cuts, x) + _is_cut(cuts, x).cast("int")
+    number = 2 * cuts_below(cuts, x, cut_width(slices)) + _is_cut(cuts, x).cast("int")
     return F.when(x.isNull(), F.lit(2 * slices)).otherwise(number)
 
 
@@ -77,11 +113,11 @@ def slice_in_order(df: DataFrame, by: list[str], value: str, tie: str, slices: i
     of its own, which is cut again by ``tie``.  The result is written, because
     several passes must see the same cuts.
     """
-    cuts = df.groupBy(*by).agg(_cuts(value, slices).alias("_cuts"), _cuts(tie, slices).alias("_tie_cuts"))
+    cuts = _with_cuts(df, by, {"_cuts": value, "_tie_cuts": tie}, slices)
     x = F.col(value)
     marked = attach(df, cuts, by).withColumn("_major", _slice_number("_cuts", x, slices))
     alone = x.isNull() | _is_cut("_cuts", x)
-    marked = marked.withColumn("_minor", F.when(alone, _below("_tie_cuts", F.col(tie))).otherwise(0))
+    marked = marked.withColumn("_minor", F.when(alone, cuts_below("_tie_cuts", F.col(tie), cut_width(slices))).otherwise(0))
     return settle(marked.drop("_cuts", "_tie_cuts"), "slices")
 
 
@@ -113,8 +149,9 @@ def positions(
 
     ``tie`` must be numeric and tell the rows of a group apart.
     """
-    if not fits_one_task(group_rows):
-        return _positions_by_slice(df, by, value, tie, out, total, slices or slice_count(df, by, group_rows))
+    slices = slices_for(df, by, group_rows, slices)
+    if slices is not None:
+        return _positions_by_slice(df, by, value, tie, out, total, slices)
     group = Window.partitionBy(*by)
     order = group.orderBy(F.col(value).asc_nulls_last(), tie)
     return df.withColumn(out, F.row_number().over(order).cast("long")).withColumn(
@@ -137,13 +174,13 @@ def average_ranks(
     fall into one slice.  A slice of a single value needs no order, as its rank
     follows from its size alone, so its rows may lie anywhere.
     """
-    if fits_one_task(group_rows):
+    slices = slices_for(df, by, group_rows, slices)
+    if slices is None:
         for value, out in ranks.items():
             order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
             df = df.withColumn(out, F.when(F.col(value).isNotNull(), _mean_rank(order)))
         return df
-    slices = slices or slice_count(df, by, group_rows)
-    cuts = df.groupBy(*by).agg(*[_cuts(v, slices).alias(f"_cuts_{v}") for v in ranks])
+    cuts = _with_cuts(df, by, {f"_cuts_{v}": v for v in ranks}, slices)
     marked = attach(df, cuts, by)
     for value in ranks:
         x, name = F.col(value), f"_cuts_{value}"
@@ -172,9 +209,9 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact quantiles of each group, linear between neighbours: one row per group."""
     known = df.filter(F.col(value).isNotNull())
-    if fits_one_task(group_rows):
+    slices = slices_for(known, by, group_rows, slices)
+    if slices is None:
         return known.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()])
-    slices = slices or slice_count(known, by, group_rows)
     placed = positions(known.select(*by, value, tie), by, value, tie, None, "_pos", "_n", slices)
     picks = []
     for name, p in probs.items():
@@ -197,7 +234,10 @@ def group_quantiles(
 def attach_group_stats(
     df: DataFrame, by: list[str], stats: dict[str, Column], group_rows: int | None = None
 ) -> DataFrame:
-    """Add aggregates of the group to each of its rows."""
+    """Add aggregates of the group to each of its rows: by a window if its known size fits one task, else by a join.
+
+    An unknown size is not measured here, since the join costs little more than the count.
+    """
     if fits_one_task(group_rows):
         group = Window.partitionBy(*by)
         return df.select("*", *[agg.over(group).alias(name) for name, agg in stats.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelsmith.functions.numeric import ratio, tidy
 from panelsmith.operators.crosssection import demean, scale_to_gross
 from panelsmith.operators.evaluation import SIGNAL_DAY
-from panelsmith.operators.ordering import attach
+from panelsmith.operators.ordering import attach, attach_group_stats
 
 TRADING_DAYS, CALENDAR_DAYS = 252, 365
 
@@ -49,6 +49,45 @@ def turnover(held: DataFrame, book: str = "signal", rate: float = 0.001, days: D
     )
 
 
+def turnover_of_books(wide: DataFrame, books: list[str], rate: float = 0.001, group_rows: int | None = None, tie: str = "asset") -> DataFrame:
+    """Turnover and cost per book and day, as ``turnover(weights(...))`` gives them, for many books at once.
+
+    ``wide`` has one row per asset and day and a signal column for each book.
+    Rows stay wide: weights are formed across each day, the asset's last weights
+    are carried along once for all books, and only sums by day are spread over
+    the books.  What is sold off is what was held on the book's day before less
+    what of it is still held.
+    """
+    held = attach_group_stats(wide.select(tie, "d", *books), ["d"], {f"_mean_{b}": F.avg(b) for b in books}, group_rows)
+    held = held.select(tie, "d", *[(F.col(b) - F.col(f"_mean_{b}")).alias(b) for b in books])
+    held = attach_group_stats(held, ["d"], {f"_gross_{b}": F.sum(F.abs(b)) for b in books}, group_rows)
+    weight = lambda b: F.when(F.col(b).isNotNull(), F.coalesce(ratio(b, f"_gross_{b}"), F.lit(0.0)))
+    held = held.select(tie, "d", *[weight(b).alias(b) for b in books])
+
+    # A row for each date: the last day before on which each book holds something.
+    earlier = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    days = wide.groupBy("d").agg(*[F.max(F.col(b).isNotNull()).alias(b) for b in books])
+    days = days.select("d", *[F.last(F.when(F.col(b), F.col("d")), ignorenulls=True).over(earlier).alias(f"_before_{b}") for b in books])
+
+    before = Window.partitionBy(tie).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda b: F.last(F.when(F.col(b).isNotNull(), F.struct("d", F.col(b).alias("w"))), ignorenulls=True).over(before)
+    rows = attach(held.select("d", *books, *[last(b).alias(f"_last_{b}") for b in books]), days, ["d"], null_keys=False)
+    sums = []
+    for b in books:
+        kept = F.when(F.col(b).isNotNull() & (F.col(f"_last_{b}.d") == F.col(f"_before_{b}")), F.col(f"_last_{b}.w"))
+        sums += [
+            F.sum(F.abs(F.col(b) - F.coalesce(kept, F.lit(0.0)))).alias(f"_bought_{b}"),
+            F.sum(F.abs(kept)).alias(f"_kept_{b}"), F.sum(F.abs(b)).alias(f"_gross_{b}"),
+        ]
+    daily = rows.groupBy("d").agg(*sums)
+    parts = F.array(*[F.struct(
+        F.lit(b).alias("signal"), *[F.col(f"_{name}_{b}").alias(name) for name in ("bought", "kept", "gross")]) for b in books])
+    long = daily.select("d", F.explode(parts).alias("_b")).select("_b.*", "d").filter("bought IS NOT NULL")
+    of_book = Window.partitionBy("signal").orderBy("d")
+    sold = F.coalesce(F.lag("gross").over(of_book), F.lit(0.0)) - F.coalesce("kept", F.lit(0.0))
+    return long.select("signal", "d", (F.col("bought") + sold).alias("turnover")).withColumn("cost", F.col("turnover") * F.lit(rate))
+
+
 def daily_returns(held: DataFrame, target: str = "fwd_1", book: str = "signal") -> DataFrame:
     """Return of the book earned from each day to the next row of its assets: the next day on a filled calendar."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsmith.operators.ordering import ONE_TASK_ROWS, attach
+from panelsmith.operators.ordering import ONE_TASK_ROWS, attach, chunked, cut_width, cuts_below
 from panelsmith.storage import settle
 
 
@@ -22,7 +22,7 @@ CUT_ACCURACY = 10_000
 
 
 def hot_cuts(moments: DataFrame, key: str, ts: str) -> DataFrame | None:
-    """``(key, cuts)``: moments that cut each key too large for a task into parts of nearly equal size.
+    """``(key, cuts, width)``: moments that cut each key too large for a task into parts of nearly equal size.
 
     Measured by one count per key; None if every key fits as it is.  The cuts
     follow the key's own times, so a burst is cut as finely as it is dense; only
@@ -37,6 +37,8 @@ def hot_cuts(moments: DataFrame, key: str, ts: str) -> DataFrame | None:
     spots = [i / parts for i in range(1, parts)]
     cuts = moments.join(large.select(key), key, "left_semi").groupBy(key).agg(
         F.array_distinct(F.percentile_approx(micros(F.col(ts)), spots, max(CUT_ACCURACY, 20 * parts))).alias("_cuts"))
+    width = cut_width(parts)
+    cuts = cuts.select(key, chunked(F.col("_cuts"), width).alias("_cuts"), F.lit(width).alias("_width"))
     return settle(cuts, "cuts")  # several passes must see the same cuts
 
 
@@ -44,8 +46,9 @@ def with_bin(rows: DataFrame, key: str, ts: str, bin_seconds: int | None, cuts:
     """Add ``_bin``, which rises with time within a key: of fixed width, or by the key's cuts (0 for keys without)."""
     if bin_seconds is not None:
         return rows.withColumn("_bin", time_bin(F.col(ts), bin_seconds))
-    before = F.filter("_cuts", lambda cut: cut < micros(F.col(ts)))
-    return attach(rows, cuts, [key]).withColumn("_bin", F.coalesce(F.size(before), F.lit(0)).cast("long")).drop("_cuts")
+    marked = attach(rows, cuts, [key]).withColumn("_at", micros(F.col(ts)))
+    before = F.when(F.col("_cuts").isNotNull(), cuts_below("_cuts", F.col("_at"), F.col("_width")))
+    return marked.withColumn("_bin", F.coalesce(before, F.lit(0)).cast("long")).drop("_cuts", "_width", "_at")
 
 
 def asof_join(

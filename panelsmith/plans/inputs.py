@@ -87,12 +87,6 @@ def daily_long(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     return long_form(wide, SIGNALS, ["asset", "grp", "d", "filled", "fwd_1"]), stored.max_day_rows
 
 
-def book_days(spark: SparkSession, folder: str) -> DataFrame:
-    """The days on which each signal is known for some asset, from one small aggregate of the stored table."""
-    by_day = daily_signals(spark, folder).df.groupBy("d").agg(*[F.max(F.col(s).isNotNull()).alias(s) for s in SIGNALS])
-    return long_form(by_day, SIGNALS, ["d"]).filter("x").select("signal", "d")
-
-
 def spread_signals(wide: DataFrame) -> DataFrame:
     return long_form(wide, SIGNALS, ["asset", "grp", "d", *[f"fwd_{h}" for h in HORIZONS]])
 

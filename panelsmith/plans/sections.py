@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelsmith.functions.numeric import tidy
 from panelsmith.operators import crosssection as xs
+from panelsmith.operators.ordering import SLICES
 from panelsmith.plans.inputs import SIGNALS_SQL, panel, panel_sql, r, signals
 from panelsmith.plans.registry import query
 
@@ -16,7 +17,7 @@ RANK_SQL = f"""WITH {panel_sql()} SELECT asset, d,
 
 def _percent_rank(spark, folder, sliced):
     p = panel(spark, folder)
-    ranked = xs.percent_rank(p.df, "vol", "vol_rank", group_rows=None if sliced else p.max_day_rows)
+    ranked = xs.percent_rank(p.df, "vol", "vol_rank", group_rows=p.max_day_rows, slices=SLICES if sliced else None)
     return ranked.select(*KEY, tidy("vol_rank").alias("vol_rank"))
 
 
@@ -47,7 +48,7 @@ WINSORISED_SQL = f"""WITH {SIGNALS_SQL},
 
 def _winsorised(spark, folder, sliced):
     s = signals(spark, folder)
-    inside = xs.winsorise(s.df, "ret", "ret_inside", group_rows=None if sliced else s.max_day_rows)
+    inside = xs.winsorise(s.df, "ret", "ret_inside", group_rows=s.max_day_rows, slices=SLICES if sliced else None)
     return inside.select(*KEY, tidy("ret_inside").alias("ret_inside"))
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import tidy
 from panelsmith.operators.sessions import sessions
+from panelsmith.operators.timejoin import micros
 from panelsmith.plans.inputs import r
 from panelsmith.plans.registry import query
 from panelsmith.sources.tables import load, load_stream
 from panelsmith.streaming import bars as live
+from panelsmith.streaming.asof import asof_join_streams
 from panelsmith.streaming.features import running_features
 from panelsmith.storage import new_path
 from panelsmith.streaming.jobs import run_to_table, state_session
+from panelsmith.streaming.versions import run_early
 
+EPOCH = dt.datetime(1970, 1, 1)
 TOTAL = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
 WATERMARK = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
@@ -33,39 +39,98 @@ def event_bars(spark, folder):
     return live.bars(live.with_event_time(load(spark, folder, "events")), "1 day", "event_type")
 
 
-FEED_FILES = 5
+FEED_SLICES = 5  # at least
+SLICE_ROWS = 50_000_000
+FILE_ROWS = 1_000_000
+LATE_SECONDS = 1800
 
 
-def disordered_feed(spark, folder) -> str:
-    """A folder with the events in several files, in which events come up to half an hour late, also across files.
+def disordered_feed(spark, folder, name: str = "events") -> tuple[str, int]:
+    """A folder with the events in slices, in which events come up to half an hour late, also across slices.
 
-    The files are written one after another, since the file source takes them by their age.
+    Slices are written one after another, since the file source takes files by
+    their age.  The files of a slice are written by as many tasks, each with
+    rows of all its time, so that a batch of so many files is one slice.
+    Returns the folder and the number of files of a slice.
     """
-    late = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(1800)))
-    events = load(spark, folder, "events").withColumn("_seen", F.col("ts") + late)
-    ends = events.agg(F.min("_seen").alias("lo"), F.max("_seen").alias("hi")).first()
-    step = (ends.hi - ends.lo) / FEED_FILES
+    late = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(LATE_SECONDS)))
+    events = load(spark, folder, "events").withColumn("_seen", micros(F.col("ts") + late))
+    rows = events.count()
+    slices = max(FEED_SLICES, -(-rows // SLICE_ROWS))
+    files = max(1, -(-rows // (slices * FILE_ROWS)))
+    cuts = events.agg(F.percentile_approx("_seen", [k / slices for k in range(1, slices)], 100 * slices).alias("cuts")).first().cuts or []
     feed = new_path(spark, "feed")
-    for k in range(FEED_FILES):
-        part = events.filter(F.col("_seen") >= F.lit(ends.lo + k * step))
-        if k + 1 < FEED_FILES:
-            part = part.filter(F.col("_seen") < F.lit(ends.lo + (k + 1) * step))
-        part.drop("_seen").coalesce(1).write.mode("append").parquet(f"{feed}/events.parquet")
-    return feed
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = events
+        if lo is not None:  # the bound on the time itself lets the scan leave out row groups
+            part = part.filter((F.col("_seen") >= lo) & (F.col("ts") >= F.lit(EPOCH + dt.timedelta(microseconds=lo) - dt.timedelta(seconds=LATE_SECONDS))))
+        if hi is not None:
+            part = part.filter((F.col("_seen") < hi) & (F.col("ts") < F.lit(EPOCH + dt.timedelta(microseconds=hi))))
+        part.drop("_seen").repartition(files).write.mode("append").parquet(f"{feed}/{name}.parquet")
+    return feed, files
+
+
+def late_events(spark, folder, session=None):
+    """The disordered feed as a stream, a slice in a batch."""
+    feed, files = disordered_feed(spark, folder)
+    return live.with_event_time(load_stream(session or spark, feed, "events", files_per_trigger=files))
 
 
 @query(f"SELECT * FROM ({BARS_SQL}) WHERE bar_start + INTERVAL 1 DAY <= {WATERMARK}")
 def stream_event_bars_disordered(spark, folder):
     """The same bars when events come late and in several batches."""
-    late = load_stream(spark, disordered_feed(spark, folder), "events", files_per_trigger=1)
-    return run_to_table(live.bars(live.with_event_time(late), "1 day", "event_type"), "late-event-bars")
+    return run_to_table(live.bars(late_events(spark, folder), "1 day", "event_type"), "late-event-bars")
 
 
 @query(f"SELECT * FROM ({SESSIONS_SQL}) WHERE last_ts + INTERVAL 6 HOURS <= {WATERMARK}")
 def stream_user_sessions_disordered(spark, folder):
     """The same sessions when events come late and in several batches."""
-    late = load_stream(spark, disordered_feed(spark, folder), "events", files_per_trigger=1)
-    return run_to_table(live.sessions(live.with_event_time(late), "6 hours", "user_id"), "late-user-sessions")
+    return run_to_table(live.sessions(late_events(spark, folder), "6 hours", "user_id"), "late-user-sessions")
+
+
+@query(BARS_SQL)
+def stream_event_bars_early(spark, folder):
+    """All bars, that of the last day too: each batch publishes the bars that it changed, and the newest version counts."""
+    published = run_early(live.bars(late_events(spark, folder), "1 day", "event_type"), ["bar_start", "event_type"], "early-event-bars")
+    return published.drop("version")
+
+
+VIEWED_SQL = f"""SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id, v.value AS view_value
+    FROM (SELECT * FROM events WHERE event_type = 'purchase' AND ts <= {WATERMARK}) p
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+
+
+def purchases_and_views(events):
+    """Both sides of the join, out of one stream of events."""
+    purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "event_time")
+    views = events.filter("event_type = 'view'").select(
+        "user_id", F.col("event_time").alias("view_time"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return purchases, views
+
+
+@query(VIEWED_SQL)
+def stream_purchase_after_view(spark, folder):
+    """Each purchase that the watermark has passed, with the user's latest view before it, over two late streams."""
+    own = state_session(spark)
+    purchases, views = purchases_and_views(late_events(spark, folder, own))
+    joined = asof_join_streams(purchases, views, "user_id", "event_time", "view_time", "view_id", ["view_id", "view_value"])
+    return run_to_table(joined, "purchase-after-view", own_state=True).drop("event_time")
+
+
+HOUR = 3600
+
+
+@query(f"""SELECT event_id, user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(view_ts) <= {HOUR}000000 THEN view_id END AS view_id,
+      CASE WHEN epoch_us(ts) - epoch_us(view_ts) <= {HOUR}000000 THEN view_value END AS view_value
+    FROM (SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts, v.event_id AS view_id, v.value AS view_value
+      FROM (SELECT * FROM events WHERE event_type = 'purchase' AND ts <= {WATERMARK}) p
+      ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts)""")
+def stream_purchase_within_hour(spark, folder):
+    """The same with views of the last hour only: older ones are forgotten."""
+    own = state_session(spark)
+    purchases, views = purchases_and_views(late_events(spark, folder, own))
+    joined = asof_join_streams(purchases, views, "user_id", "event_time", "view_time", "view_id", ["view_id", "view_value"], max_age_seconds=HOUR)
+    return run_to_table(joined, "purchase-within-hour", own_state=True).drop("event_time")
 
 
 @query(f"SELECT * FROM ({BARS_SQL}) WHERE bar_start + INTERVAL 1 DAY <= {WATERMARK}")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelsmith.functions.numeric import correlation, ratio, tidy, two_sided_p
 from panelsmith.operators import evaluation as ev
 from panelsmith.operators import grouping, inference, portfolio
 from panelsmith.operators.crosssection import demean
+from panelsmith.operators.ordering import SLICES
 from panelsmith.plans.inputs import (
     DAILY_SQL,
     HORIZONS,
@@ -15,8 +17,8 @@ from panelsmith.plans.inputs import (
     PAST,
     SIGNALS,
     SIGNALS_SQL,
-    book_days,
     daily_long,
+    daily_signals,
     guarded_corr_sql,
     ic_sql,
     long_signals,
@@ -70,7 +72,7 @@ DAILY_IC_SQL = f"""WITH {LONG_SQL}, {ic_sql('long', 'signal, d')}
 @query(DAILY_IC_SQL)
 def signal_daily_ic_sliced(spark, folder):
     """The same by the way that days too large for a task take."""
-    ics = ev.daily_ic(spread_signals(signals(spark, folder).df))
+    ics = ev.daily_ic(spread_signals(signals(spark, folder).df), slices=SLICES)
     return ics.select("signal", "d", "assets", tidy("rank_ic").alias("rank_ic"), tidy("ic").alias("ic"))
 
 
@@ -161,7 +163,8 @@ def book_weights(spark, folder):
     SELECT signal, d, {r('sum(size)')} AS turnover, {r('sum(size) * 1e-3', 9)} AS cost
     FROM (SELECT * FROM bought UNION ALL SELECT * FROM sold) GROUP BY signal, d""")
 def book_turnover(spark, folder):
-    traded = portfolio.turnover(books(spark, folder), days=book_days(spark, folder))
+    stored = daily_signals(spark, folder)
+    traded = portfolio.turnover_of_books(stored.df, SIGNALS, group_rows=stored.max_day_rows)
     return traded.select("signal", "d", tidy("turnover").alias("turnover"), tidy("cost", 9).alias("cost"))
 
 
@@ -232,6 +235,52 @@ def signal_ic_bootstrap(spark, folder):
     return inference.bootstrap_mean(ev.daily_ic(df, group_rows=rows), "rank_ic", "d", ["signal"])
 
 
+MEAN_BLOCK, STEP_DOWN_REPLICAS = 20, 500
+
+
+def _means_sql(replicas: int) -> str:
+    """CTEs that end in ``means``: the mean IC of each signal in each replica of a stationary bootstrap."""
+    def share(place: int) -> str:
+        return f"CAST('0x' || substr(md5(k || ':' || i), {place}, 8) AS BIGINT) / 4294967296e0"
+
+    return f"""known_ics AS (SELECT signal, d, rank_ic FROM ics WHERE rank_ic IS NOT NULL),
+    dates AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM known_ics)),
+    walk AS (SELECT k, i, n, CASE WHEN i = 0 OR {share(1)} < 1e0 / {MEAN_BLOCK}e0
+        THEN CAST(floor({share(9)} * n) AS BIGINT) - i END AS jump
+      FROM dates, (SELECT unnest(range(1, {replicas + 1})) AS k)),
+    drawn AS (SELECT k, (last_value(jump IGNORE NULLS) OVER (PARTITION BY k ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + i) % n AS i FROM walk),
+    times AS (SELECT k, i, count(*) AS times FROM drawn GROUP BY k, i),
+    means AS (SELECT signal, k, sum(times * rank_ic) / sum(times) AS m
+      FROM known_ics JOIN dates USING (d) JOIN times USING (i) GROUP BY signal, k),
+    plain AS (SELECT signal, avg(rank_ic) AS mean FROM known_ics GROUP BY signal)"""
+
+
+@query(f"""WITH {LONG_SQL}, {ic_sql('long', 'signal, d')}, {_means_sql(200)}
+    SELECT signal, {r('any_value(mean)')} AS mean, count(m) AS replicas, {r('stddev_samp(m)')} AS std_error,
+      {r('quantile_cont(m, 0.025)')} AS low, {r('quantile_cont(m, 0.975)')} AS high
+    FROM means JOIN plain USING (signal) GROUP BY signal""")
+def signal_ic_stationary_bootstrap(spark, folder):
+    """Intervals of the mean IC that allow for dependence from day to day."""
+    df, rows = long_signals(spark, folder)
+    return inference.stationary_bootstrap(ev.daily_ic(df, group_rows=rows), "rank_ic", ["signal"], mean_block=MEAN_BLOCK)
+
+
+@query(f"""WITH {LONG_SQL}, {ic_sql('long', 'signal, d')}, {_means_sql(STEP_DOWN_REPLICAS)},
+    errors AS (SELECT signal, stddev_samp(m) AS error FROM means GROUP BY signal),
+    facts AS (SELECT signal, mean, error, {r('mean / error', 8)} AS t FROM plain JOIN errors USING (signal) WHERE error > 0),
+    placed AS (SELECT *, row_number() OVER (ORDER BY abs(t) DESC, signal) AS place FROM facts),
+    away AS (SELECT signal, k, t, max({r('abs(m - mean) / error', 8)}) OVER (PARTITION BY k ORDER BY place DESC) AS largest
+      FROM means JOIN placed USING (signal)),
+    raw AS (SELECT signal, (count(*) FILTER (WHERE largest >= abs(t)) + 1) / (count(*) + 1e0) AS p FROM away GROUP BY signal),
+    tested AS (SELECT *, max(p) OVER (ORDER BY place) AS q FROM placed JOIN raw USING (signal))
+    SELECT signal, {r('mean', 9)} AS mean, {r('t', 4)} AS t_value, {r('q')} AS p_adjusted, q <= 0.05e0 AS kept FROM tested""")
+def signal_ic_step_down(spark, folder):
+    """Which signals have an IC, tested together."""
+    df, rows = long_signals(spark, folder)
+    return inference.step_down(ev.daily_ic(df, group_rows=rows), "rank_ic", "signal", STEP_DOWN_REPLICAS, MEAN_BLOCK)
+
+
 def _pair_sql(a: str, b: str) -> str:
     return f"""SELECT '{a}' AS signal_a, '{b}' AS signal_b, {r(guarded_corr_sql(a, b))} AS correlation
       FROM signals WHERE {a} IS NOT NULL AND {b} IS NOT NULL"""
@@ -244,6 +293,22 @@ def signal_correlation_pairs(spark, folder):
     return inference.signal_correlations(signals(spark, folder).df, SIGNALS)
 
 
+LAGS = range(6)
+LAGGED = {f"{s}_{k}": (s, k) for s in SIGNALS for k in LAGS}
+
+
+@query(f"""WITH {SIGNALS_SQL},
+    lagged AS (SELECT asset, d, {', '.join(f'lag({s}, {k}) OVER ({PAST}) AS {name}' for name, (s, k) in LAGGED.items())} FROM signals),
+    long_lagged AS ({' UNION ALL '.join(f"SELECT '{name}' AS signal, {i} AS place, asset, d, {name} AS x FROM lagged WHERE {name} IS NOT NULL" for i, name in enumerate(LAGGED))})
+    SELECT l.signal AS signal_a, r.signal AS signal_b, {r(guarded_corr_sql('l.x', 'r.x'))} AS correlation
+    FROM long_lagged l JOIN long_lagged r ON l.asset = r.asset AND l.d = r.d AND l.place < r.place GROUP BY 1, 2""")
+def lagged_signal_correlations(spark, folder):
+    """Every two signals, each as of today and of the five days before: 435 pairs from one scan."""
+    past = Window.partitionBy("asset").orderBy("d")
+    lagged = signals(spark, folder).df.select("asset", "d", *[F.lag(s, k).over(past).alias(name) for name, (s, k) in LAGGED.items()])
+    return inference.signal_correlations(lagged, list(LAGGED))
+
+
 TEST_DAYS = 10
 TESTS_SQL = f"""WITH {SIGNALS_SQL},
     raw AS (SELECT asset, count(*) AS n, {guarded_corr_sql('volume_shock', 'fwd_1')} AS c FROM signals
@@ -257,14 +322,14 @@ TESTS_SQL = f"""WITH {SIGNALS_SQL},
     SELECT asset, {r('p')} AS p, {r('q')} AS q, q <= 0.1e0 AS kept FROM adjusted"""
 
 
-def _asset_tests(spark, folder, rows):
+def _asset_tests(spark, folder, rows, slices=None):
     """One test per asset with at least ``TEST_DAYS`` complete days: does its volume shock go with its next return?"""
     complete = signals(spark, folder).df.filter("volume_shock IS NOT NULL AND fwd_1 IS NOT NULL")
     raw = complete.groupBy("asset").agg(
         F.count(F.lit(1)).alias("n"), correlation("volume_shock", "fwd_1").alias("c")
     ).filter(F.col("n") >= TEST_DAYS)
     t = F.abs("c") * F.sqrt(ratio((F.col("n") - 2).cast("double"), 1 - F.col("c") * F.col("c")))
-    found = inference.benjamini_hochberg(raw.select("asset", two_sided_p(t).alias("p")), "p", "asset", 0.1, rows=rows)
+    found = inference.benjamini_hochberg(raw.select("asset", two_sided_p(t).alias("p")), "p", "asset", 0.1, rows=rows, slices=slices)
     return found.select("asset", tidy("p").alias("p"), tidy("q").alias("q"), "kept")
 
 
@@ -276,7 +341,7 @@ def asset_tests_corrected(spark, folder):
 @query(TESTS_SQL)
 def asset_tests_corrected_sliced(spark, folder):
     """The same by the way that more tests than fit a task take."""
-    return _asset_tests(spark, folder, None)
+    return _asset_tests(spark, folder, None, SLICES)
 
 
 DIMS_SQL = """SELECT grp, CAST(year(d) AS INTEGER) AS year, CASE WHEN volume_shock > 0 THEN 'up' ELSE 'down' END AS side,

@@ -50,6 +50,14 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, none if it is not there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are removed at the end; take or write the results before.
