@@ -13,7 +13,7 @@ from panelsmith.sources.tables import SchemaMismatch, load, schema_of
 from panelsmith.storage import settle, shared_folder
 
 FOLDER = "/root/testdata/sf0.01"
-PYTHON_ALLOWED = {"section_regression_residual", "lagged_signal_correlations"}
+PYTHON_ALLOWED = {"section_regression_residual", "lagged_signal_correlations", "volume_change_points"}
 STREAMS = {n for n in REGISTRY if n.startswith("stream_")}
 
 
