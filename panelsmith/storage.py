@@ -6,7 +6,6 @@ pruning for every later pass and survives the loss of executors.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,17 +78,6 @@ def discard_all(spark: SparkSession) -> None:
     delete(spark, own_folder(spark))
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what finished jobs have left: their shuffle files and, in the driver, their plans.
-
-    Spark removes shuffle files once the driver has collected the plans that
-    made them, which a driver with memory to spare may not do for half an hour.
-    Work in many rounds calls this between them, when the results are written.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def settle(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     return _write(df, new_path(df.sparkSession, label), compression)
