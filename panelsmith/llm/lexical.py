@@ -1,22 +1,23 @@
 """Ranked lexical search over posting lists that are cut into blocks of similar documents.
 
 A document is a sparse vector of impacts, one for each term that is asked for.
-Each term has a list of the documents that hold it.  A list is ordered by
-similarity of the documents (the nearest of a few sampled documents, then the
-length) and cut into small blocks; a block stores the largest impact of each
-term over its documents.  So an item's score for a block's summary is at least
-its score for any document in the block.
-
-Items are searched in two rounds.  The first scores the few most promising
-blocks, which gives every item a score that ten documents reach.  The second
-scores the documents of every block whose summary reaches that score; all other
-blocks are skipped, and nothing else is.  All scores are whole numbers, so
-bounds are exact.
-
-Only lists that can matter are built: when an item's terms are put in order of
-the most they can add, the first of them, as long as their sum stays below what
-ten sampled documents reach, cannot bring a document into the ten best.  A
-block keeps the impacts of those terms that some item has together with the
+Documents are placed by similarity, that is by the nearest of a few sampled
+documents and then by length, and cut into shards.  In a shard each term has a
+list of the documents that hold it, in that order, and the list is cut into
+small blocks; a block stores the largest impact of each term over its
+documents.  So an item's score for a block's summary is at least its score for
+any document in the block.
+
+Items are searched in two rounds.  The first takes the short lists of an item's
+rarest terms, which gives the item a score that ten documents reach.  With it
+the lists that can matter are chosen: when an item's terms are put in order of
+the most they can add, the first of them, as long as their sum stays below that
+score, cannot bring a document into the ten best.  The second round goes over
+the blocks of the other lists and scores the documents of every block whose
+summary reaches the score; all other blocks are skipped, and nothing else is.
+All scores are whole numbers, so bounds are exact.
+
+A block keeps the impacts of those terms that some item has together with the
 list's own.
 
 Items are taken in batches of bounded size, so their terms and weights fit a
@@ -43,14 +44,14 @@ from panelsmith.storage import settle
 
 MOST = 10  # documents for an item
 ITEM_BYTES = 1 << 21  # of texts in a batch of items
-BLOCK = 32  # documents of a block
-LIST = 50_000  # postings of a list that one task orders
+BLOCK = 8  # documents of a block
+SHARD = 2048  # documents of a shard, fewer if very many terms are asked for
+CELLS = 1 << 23  # documents times terms of a shard
 SAMPLE = 8192  # documents, on average, from which items get their first threshold
 CLUSTERS = 64  # sampled documents that others are compared with
 DIMENSIONS = 64  # to which vectors are hashed for that
-GROUPS = 256  # of items, to tell which terms occur together
-PROMISING = 2  # blocks of a task that an item scores in the first round
-PAIRS = 1 << 21  # of postings and terms that a task holds at once
+FIRST = 5000  # postings of an item's rarest terms that the first round takes, or so many
+FIRST_SHARE = 200  # documents for each of them, if that is more
 
 
 def _term_bytes() -> bytes:
@@ -203,111 +204,116 @@ def needed(items: Items, corpus: Corpus, largest: np.ndarray, thresholds: np.nda
     return out
 
 
-def _bits(lists: list[np.ndarray], size: int) -> np.ndarray:
-    """For each term the groups of items whose list holds it, as bits."""
-    out = np.zeros((size, GROUPS // 64), np.uint64)
-    for k, terms in enumerate(lists):
-        out[terms, (k % GROUPS) // 64] |= np.uint64(1 << (k % 64))
+def rarest(items: Items, held: np.ndarray, documents: int) -> list[np.ndarray]:
+    """For each item the terms of fewest documents, as many as the first round takes."""
+    room, out = max(FIRST, documents // FIRST_SHARE), []
+    for terms in items.terms:
+        order = terms[np.argsort(held[terms], kind="stable")]
+        out.append(np.sort(order[np.cumsum(held[order]) <= room]))
     return out
 
 
-def _postings(corpus: Corpus, items: Items, lists: list[np.ndarray], pieces: np.ndarray, centres: np.ndarray):
-    """A row for each document of each list: where it belongs and those of its impacts that the list's items can use."""
-    size = len(corpus.weights)
-    searched, held = _bits(lists, size), _bits(items.terms, size)
-    listed = searched.any(axis=1)
+def together(items: Items, lists: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """For each term with a list the terms of the items that search the list."""
+    held: dict[int, list[np.ndarray]] = {}
+    for own, terms in zip(lists, items.terms):
+        for t in own.tolist():
+            held.setdefault(t, []).append(terms)
+    return {t: np.unique(np.concatenate(h)) for t, h in held.items()}
+
+
+def _placed(known: Measured):
+    """Documents as vectors of impacts, with what they are placed by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = Vectors(batch, corpus)
-            if not len(v.terms):
+            v = Vectors(batch, known.corpus)
+            some = np.flatnonzero(v.sizes)
+            if not len(some):
                 continue
-            cluster = (v.hashed(corpus.weights) @ centres.T).argmax(axis=1).astype(np.int32)
-            owner = v.owner()
-            at = np.flatnonzero(listed[v.terms])
-            steps = np.cumsum(v.sizes[owner[at]])
-            lo = 0
-            while lo < len(at):
-                hi = max(lo + 1, int(np.searchsorted(steps, (steps[lo - 1] if lo else 0) + PAIRS, "right")))
-                some = at[lo:hi]
-                lo = hi
-                doc = owner[some]
-                other = ranges(v.starts[doc], v.sizes[doc])
-                own = np.repeat(np.arange(len(some)), v.sizes[doc])
-                together = (searched[v.terms[some]][own] & held[v.terms[other]]).any(axis=1)
-                other, ends = other[together], np.concatenate([[0], np.cumsum(np.bincount(own[together], minlength=len(some)))]).astype(np.int32)
-                term = v.terms[some]
-                piece = (mix(v.row[doc]) % pieces[term].astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(term, pa.int32()), pa.array(piece), pa.array(cluster[doc]), pa.array(v.m[doc]), pa.array(v.row[doc]), v.doc.take(pa.array(doc)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(v.terms[other], pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(v.impacts[other], pa.int32())),
-                ], names=["term", "piece", "cluster", "m", "row", "doc", "terms", "impacts"])
+            cluster = (v.hashed(known.corpus.weights) @ known.centres.T).argmax(axis=1).astype(np.int32)
+            ends = pa.array(np.append(v.starts, len(v.terms)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(cluster), pa.array(v.m), pa.array(v.row), v.doc,
+                pa.ListArray.from_arrays(ends, pa.array(v.terms, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(v.impacts, pa.int32())),
+            ], names=["cluster", "m", "row", "doc", "terms", "impacts"]).take(pa.array(some))
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _blocked(size: int):
-    """Blocks of postings that come in order, with the largest impact of each term over a block."""
+def blocks_of(sizes: np.ndarray, terms: np.ndarray, impacts: np.ndarray, coordinates: dict[int, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """The lists of one shard in blocks.
+
+    For each block its term, its documents (``doc_sizes``, ``block_docs``) and its
+    summary (``sum_sizes``, ``sum_terms``, ``sum_impacts``).
+    """
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    full = np.zeros((n, width), np.int32)
+    full[owner, terms] = impacts
+    order = np.argsort(terms, kind="stable")
+    own, first, df = np.unique(terms[order], return_index=True, return_counts=True)
+    found: dict[str, list] = {name: [] for name in ("term", "doc_sizes", "block_docs", "sum_sizes", "sum_terms", "sum_impacts")}
+    for t, lo, size in zip(own.tolist(), first.tolist(), df.tolist()):
+        columns = coordinates.get(t)
+        if columns is None:
+            continue
+        docs = owner[order[lo:lo + size]]
+        begins = np.arange(0, size, BLOCK)
+        tops = np.maximum.reduceat(full[docs[:, None], columns], begins, axis=0)
+        block, at = np.nonzero(tops)
+        found["term"].append(np.full(len(begins), t))
+        found["doc_sizes"].append(np.diff(np.append(begins, size)))
+        found["block_docs"].append(docs)
+        found["sum_sizes"].append(np.bincount(block, minlength=len(begins)))
+        found["sum_terms"].append(columns[at])
+        found["sum_impacts"].append(tops[block, at])
+    return {name: np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32) for name, parts in found.items()}
+
+
+BLOCK_COLUMNS = ("term", "doc_sizes", "block_docs", "sum_sizes", "sum_terms", "sum_impacts")
+SHARDS = "rows array<long>, docs array<long>, sizes array<int>, terms array<int>, impacts array<int>, " + ", ".join(f"{c} array<int>" for c in BLOCK_COLUMNS)
+
+
+def _shards(coordinates: dict[int, np.ndarray], width: int):
+    size = max(64, min(SHARD, CELLS // max(width, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.num_rows
-            term, piece = batch.column("term").to_numpy(), batch.column("piece").to_numpy()
-            new = np.concatenate([[True], (term[1:] != term[:-1]) | (piece[1:] != piece[:-1])])
-            first = np.flatnonzero(new)
-            within = np.arange(n) - np.repeat(first, np.diff([*first, n]))
-            begins = np.flatnonzero(within % BLOCK == 0)
-            block = np.cumsum(within % BLOCK == 0) - 1
-            ends = batch.column("terms").offsets.to_numpy()
-            sizes = np.diff(ends)
-            terms, impacts = batch.column("terms").flatten(), batch.column("impacts").flatten()
-            key = np.repeat(block, sizes) * np.int64(size) + terms.to_numpy()
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            tops = np.maximum.reduceat(impacts.to_numpy()[order], heads)
-            of = np.searchsorted(key[heads] // size, np.arange(len(begins) + 1)).astype(np.int32)
-            docs = pa.array(np.append(begins, n).astype(np.int32))
-            entries = pa.array(np.append(ends[begins], ends[-1]).astype(np.int32) - ends[0])
-            lists = pa.ListArray.from_arrays
-            yield pa.RecordBatch.from_arrays([
-                pa.array(term[begins]), lists(pa.array(of), pa.array((key[heads] % size).astype(np.int32))), lists(pa.array(of), pa.array(tops)),
-                lists(docs, batch.column("row")), lists(docs, batch.column("doc")), lists(docs, pa.array(sizes.astype(np.int32))),
-                lists(entries, terms), lists(entries, impacts),
-            ], names=["term", "sum_terms", "sum_impacts", "rows", "docs", "sizes", "terms", "impacts"])
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                ends = part.column("terms").offsets.to_numpy()
+                terms, impacts = part.column("terms").flatten(), part.column("impacts").flatten()
+                made = blocks_of(np.diff(ends), terms.to_numpy(), impacts.to_numpy(), coordinates, width)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([
+                    one(part.column("row")), one(part.column("doc")), one(pa.array(np.diff(ends).astype(np.int32))), one(terms), one(impacts),
+                    *(one(pa.array(made[c])) for c in BLOCK_COLUMNS),
+                ], names=["rows", "docs", "sizes", "terms", "impacts", *BLOCK_COLUMNS])
 
     return run
 
 
-BLOCKS = ("term int, sum_terms array<int>, sum_impacts array<int>, rows array<long>, docs array<long>, sizes array<int>, "
-          "terms array<int>, impacts array<int>")
+class Shard:
+    """A shard's documents and its blocks, the lists in order of their terms."""
 
-
-class Blocks:
-    """A batch of blocks with the summaries and the documents' impacts."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        column = batch.column
-        self.term = column("term").to_numpy()
-        self.order = np.argsort(self.term, kind="stable")
-        self.sum_starts, self.sum_sizes = _stretches(column("sum_terms"))
-        self.sum_terms, self.sum_impacts = (column(c).flatten().to_numpy() for c in ("sum_terms", "sum_impacts"))
-        self.doc_starts, self.doc_sizes = _stretches(column("rows"))
-        self.rows = column("rows").flatten().to_numpy()
-        docs = column("docs").flatten()
+    def __init__(self, batch: pa.RecordBatch, at: int = 0):
+        column = lambda name: batch.column(name).slice(at, 1).flatten()
+        whole = lambda name: column(name).to_numpy().astype(np.int64)
+        self.rows, docs = column("rows").to_numpy(), column("docs")
         self.docs = docs.fill_null(np.iinfo(np.int64).max).to_numpy()
         self.no_id = docs.is_null().to_numpy(zero_copy_only=False)
-        self.sizes = column("sizes").flatten().to_numpy().astype(np.int64)
+        self.sizes, self.terms, self.impacts = whole("sizes"), column("terms").to_numpy(), column("impacts").to_numpy()
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.terms, self.impacts = (column(c).flatten().to_numpy() for c in ("terms", "impacts"))
+        self.term, self.doc_sizes, self.block_docs = (column(c).to_numpy() for c in ("term", "doc_sizes", "block_docs"))
+        self.doc_sizes, self.sum_sizes = self.doc_sizes.astype(np.int64), whole("sum_sizes")
+        self.doc_starts, self.sum_starts = np.cumsum(self.doc_sizes) - self.doc_sizes, np.cumsum(self.sum_sizes) - self.sum_sizes
+        self.sum_terms, self.sum_impacts = column("sum_terms").to_numpy(), column("sum_impacts").to_numpy()
 
     def of_lists(self, terms: np.ndarray) -> np.ndarray:
-        sorted_terms = self.term[self.order]
-        lo, hi = np.searchsorted(sorted_terms, terms), np.searchsorted(sorted_terms, terms, "right")
-        return self.order[ranges(lo, hi - lo)]
+        lo, hi = np.searchsorted(self.term, terms), np.searchsorted(self.term, terms, "right")
+        return ranges(lo, hi - lo)
 
     def bounds(self, chosen: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The score of each summary, at least that of any document in the block."""
@@ -315,63 +321,52 @@ class Blocks:
         return _sums(weights[self.sum_terms[held]] * self.sum_impacts[held], self.sum_sizes[chosen])
 
     def documents(self, chosen: np.ndarray) -> np.ndarray:
-        return ranges(self.doc_starts[chosen], self.doc_sizes[chosen])
+        """The documents of some blocks, each once."""
+        return np.unique(self.block_docs[ranges(self.doc_starts[chosen], self.doc_sizes[chosen])])
 
     def scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
         held = ranges(self.starts[docs], self.sizes[docs])
         return _sums(weights[self.terms[held]] * self.impacts[held], self.sizes[docs])
 
 
-def _stretches(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    ends = column.offsets.to_numpy().astype(np.int64)
-    return ends[:-1] - ends[0], np.diff(ends)
-
-
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches, none of them empty."""
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
 
 
-def _searched(corpus: Corpus, items: Items, lists: list[np.ndarray], thresholds: np.ndarray, most_blocks: int | None):
-    """The best documents of each batch of blocks for each item, of all blocks that reach the threshold or of the best few."""
+def _searched(corpus: Corpus, items: Items, lists: list[np.ndarray], thresholds: np.ndarray):
+    """The best documents of each shard for each item, of all blocks that reach the threshold."""
     queries = [(t, r * corpus.weights[t]) for t, r in zip(items.terms, items.repeats)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(len(corpus.weights), np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            b, out = Blocks(batch), []
-            for k, (terms, own) in enumerate(queries):
-                chosen = b.of_lists(lists[k])
-                if not len(chosen):
-                    continue
-                weights[terms] = own
-                bounds = b.bounds(chosen, weights)
-                reach = bounds >= thresholds[k]
-                chosen, bounds = chosen[reach], bounds[reach]
-                if most_blocks:
-                    chosen = chosen[np.argsort(-bounds, kind="stable")[:most_blocks]]
-                docs = b.documents(chosen)
-                docs = docs[np.unique(b.rows[docs], return_index=True)[1]]
-                scores = b.scores(docs, weights)
-                weights[terms] = 0
-                docs, scores = docs[scores >= thresholds[k]], scores[scores >= thresholds[k]]
-                first = np.lexsort((b.rows[docs], b.docs[docs], -scores))[:MOST]
-                out.append((np.full(len(first), k), docs[first], scores[first]))
-            if out:
-                k, docs, scores = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.int64()), pa.array(b.rows[docs]), pa.array(b.docs[docs], mask=b.no_id[docs]), pa.array(scores, pa.int64())],
-                    names=["item", "row", "doc", "score"])
+            for at in range(batch.num_rows):
+                shard, out = Shard(batch, at), []
+                for k, (terms, own) in enumerate(queries):
+                    chosen = shard.of_lists(lists[k])
+                    if not len(chosen):
+                        continue
+                    weights[terms] = own
+                    chosen = chosen[shard.bounds(chosen, weights) >= thresholds[k]]
+                    docs = shard.documents(chosen)
+                    scores = shard.scores(docs, weights)
+                    weights[terms] = 0
+                    docs, scores = docs[scores >= thresholds[k]], scores[scores >= thresholds[k]]
+                    first = np.lexsort((shard.rows[docs], shard.docs[docs], -scores))[:MOST]
+                    out.append((np.full(len(first), k), docs[first], scores[first]))
+                if out:
+                    k, docs, scores = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k, pa.int64()), pa.array(shard.rows[docs]), pa.array(shard.docs[docs], mask=shard.no_id[docs]), pa.array(scores, pa.int64())],
+                        names=["item", "row", "doc", "score"])
 
     return run
 
 
 def _ranked(found: DataFrame) -> DataFrame:
-    """The best documents of each item; a document comes from several lists."""
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc"), "row")
-    return found.dropDuplicates(["item", "row"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST)
 
 
 def _thresholds(tenth: list, before: np.ndarray) -> np.ndarray:
@@ -387,17 +382,28 @@ def counted(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
     return settle(pairs.mapInArrow(_counted(items.vocabulary), "row long, doc long, n long, terms array<int>, times array<long>"), "lexical-counts")
 
 
-def index(vectors: DataFrame, items: Items) -> tuple[DataFrame, Corpus, list[np.ndarray], np.ndarray] | None:
-    """Blocks of the lists that matter, written once; the corpus; the lists of each item; a score that ten documents reach."""
+@dataclass
+class Measured:
+    """What is known of all documents before any list is built."""
+
+    corpus: Corpus
+    held: np.ndarray  # documents that hold each term
+    largest: np.ndarray  # impact of each term
+    thresholds: np.ndarray  # a score for each item that ten documents reach, 1 if not known
+    centres: np.ndarray
+
+
+def measured(vectors: DataFrame, items: Items) -> Measured | None:
+    """None if no document holds a term that is asked for."""
     total = vectors.agg(F.sum(F.expr("if(n > 0, 1L, 0L)")).alias("documents"), F.sum("n").alias("length")).first()
-    if not total.documents:
+    sample = vectors.filter(F.size("terms") > 0).orderBy(F.xxhash64("row"), "row").limit(CLUSTERS).toArrow().combine_chunks().to_batches()
+    if not total.documents or not sample:
         return None
     held = np.zeros(len(items.vocabulary), np.int64)
     for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # as many as the batch has terms
         held[r.term] = r["count"]
     weights = np.array([math.floor(1000 * math.log((2 * total.documents + 2) / (2 * int(n) + 1))) for n in held], np.int64)
     corpus = Corpus(total.documents, total.length, weights)
-
     seen = settle(vectors.mapInArrow(_maxima_and_sample(corpus, items, SAMPLE / total.documents), "kind int, key long, value long"), "lexical-maxima")
     largest = np.zeros(len(weights), np.int64)
     for r in seen.filter("kind = 0").groupBy("key").agg(F.max("value").alias("value")).collect():
@@ -405,34 +411,41 @@ def index(vectors: DataFrame, items: Items) -> tuple[DataFrame, Corpus, list[np.
     order = Window.partitionBy("key").orderBy(F.desc("value"))
     tenth = seen.filter("kind = 1").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == MOST)
     thresholds = _thresholds(tenth.select(F.col("key").alias("item"), F.col("value").alias("score")).collect(), np.ones(len(items.ids), np.int64))
+    return Measured(corpus, held, largest, thresholds, Vectors(sample[0], corpus).hashed(weights))
+
+
+def placed(vectors: DataFrame, known: Measured) -> DataFrame:
+    """Documents that hold a term as vectors of impacts, similar ones side by side; written once."""
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = vectors.mapInArrow(_placed(known), "cluster int, m long, row long, doc long, terms array<int>, impacts array<int>")
+    order = ["cluster", "m", "row"]
+    return settle(made.repartitionByRange(tasks, *order).sortWithinPartitions(*order), "lexical-vectors")
 
-    lists = needed(items, corpus, largest, thresholds)
-    sample = vectors.filter(F.size("terms") > 0).orderBy(F.xxhash64("row"), "row").limit(CLUSTERS).toArrow()
-    batches = sample.combine_chunks().to_batches()
-    if not batches:
-        return None
-    centres = Vectors(batches[0], corpus).hashed(weights)
-    postings = vectors.mapInArrow(
-        _postings(corpus, items, lists, held // LIST + 1, centres),
-        "term int, piece int, cluster int, m long, row long, doc long, terms array<int>, impacts array<int>")
-    keys = ["term", "piece"]
-    ordered = postings.repartition(*keys).sortWithinPartitions(*keys, "cluster", "m", "row")
-    return settle(ordered.mapInArrow(_blocked(len(weights)), BLOCKS), "lexical-blocks"), corpus, lists, thresholds
+
+def index(vectors: DataFrame, items: Items, known: Measured, lists: list[np.ndarray]) -> DataFrame:
+    """Shards of placed vectors with blocks of the given lists, written once."""
+    made = vectors.select("row", "doc", "terms", "impacts").mapInArrow(_shards(together(items, lists), len(known.held)), SHARDS)
+    return settle(made, "lexical-blocks")
 
 
 def _search_batch(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame | None:
     if not items.vocabulary:
         return None
-    made = index(counted(docs, items, id_col, text_col), items)
-    if made is None:
+    vectors = counted(docs, items, id_col, text_col)
+    known = measured(vectors, items)
+    if known is None:
         return None
-    table, corpus, lists, thresholds = made
+    vectors = placed(vectors, known)
     schema = "item long, row long, doc long, score long"
-    promising = _ranked(table.mapInArrow(_searched(corpus, items, lists, thresholds, PROMISING), schema))
-    thresholds = _thresholds(promising.filter(F.col("rank") == MOST).select("item", "score").collect(), thresholds)
-    best = _ranked(table.mapInArrow(_searched(corpus, items, lists, thresholds, None), schema))
+
+    def best(lists: list[np.ndarray], thresholds: np.ndarray) -> DataFrame:
+        return _ranked(index(vectors, items, known, lists).mapInArrow(_searched(known.corpus, items, lists, thresholds), schema))
+
+    tenth = best(rarest(items, known.held, known.corpus.documents), known.thresholds).filter(F.col("rank") == MOST)
+    thresholds = _thresholds(tenth.select("item", "score").collect(), known.thresholds)
+    found = best(needed(items, known.corpus, known.largest, thresholds), thresholds)
     names = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), "item long, item_id long")
-    return best.join(names, "item").select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
+    return found.join(names, "item").select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

@@ -65,8 +65,9 @@ def order(rows):
 def test_search_against_brute_force(spark, monkeypatch, block, sample, item_bytes):
     monkeypatch.setattr(lexical, "SAMPLE", sample)
     monkeypatch.setattr(lexical, "ITEM_BYTES", item_bytes)  # several batches of items
-    monkeypatch.setattr(lexical, "LIST", 100)  # lists in several pieces
-    monkeypatch.setattr(lexical, "PAIRS", 200)
+    monkeypatch.setattr(lexical, "SHARD", 64 if sample < 100 else 2048)
+    monkeypatch.setattr(lexical, "BLOCK", block)
+    monkeypatch.setattr(lexical, "FIRST", sample)
     docs = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
     got = lexical.search(docs, spark.createDataFrame(asked(), ITEMS)).collect()
     want = brute_search([r[:2] for r in corpus()], [r[:2] for r in asked()])
@@ -91,27 +92,26 @@ def test_most_blocks_are_skipped_and_none_that_counts(spark):
         rows.append((i, " ".join(words)))
     items = lexical.Items.of([1, 2], [b"t3x1 t3x2 t3x3 t3x4 the s1", b"t4x1 t4x2 t4x3 t4x4 the s2"])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    blocks, corpus_, lists, thresholds = lexical.index(lexical.counted(docs, items, "doc_id", "text"), items)
+    vectors_ = lexical.counted(docs, items, "doc_id", "text")
+    known = lexical.measured(vectors_, items)
+    lists = lexical.needed(items, known.corpus, known.largest, known.thresholds)
     the = items.vocabulary[b"the"]
     assert not any(the in own for own in lists)  # every document has it: the list is never read
-    table = lexical.Blocks(blocks.toArrow().combine_chunks().to_batches()[0])
-    assert table.doc_sizes.max() <= lexical.BLOCK
-    every, visited, pairs = 0, 0, 0
-    for k, (own, repeats) in enumerate(zip(items.terms, items.repeats)):
-        weights = np.zeros(len(items.vocabulary), np.int64)
-        weights[own] = repeats * corpus_.weights[own]
-        chosen = table.of_lists(lists[k])
-        bounds = table.bounds(chosen, weights)
-        docs_of = table.documents(chosen)
-        docs_of = docs_of[np.unique(table.rows[docs_of], return_index=True)[1]]
-        tenth = np.sort(table.scores(docs_of, weights))[-10]
-        for c, bound in zip(chosen, bounds):
-            scores = table.scores(table.documents(np.array([c])), weights)
-            assert bound >= scores.max()
-            pairs += 1
-        every += len(chosen)
-        visited += int((bounds >= tenth).sum())
-    assert pairs == every and visited < 0.7 * every
+    every = visited = 0
+    for batch in lexical.index(lexical.placed(vectors_, known), items, known, lists).toArrow().to_batches():
+        for shard in (lexical.Shard(batch, at) for at in range(batch.num_rows)):
+            assert shard.doc_sizes.max(initial=0) <= lexical.BLOCK
+            for k, (own, repeats) in enumerate(zip(items.terms, items.repeats)):
+                weights = np.zeros(len(items.vocabulary), np.int64)
+                weights[own] = repeats * known.corpus.weights[own]
+                chosen = shard.of_lists(lists[k])
+                bounds = shard.bounds(chosen, weights)
+                tenth = np.sort(shard.scores(shard.documents(chosen), weights))[-10:].min(initial=2**62)
+                for c, bound in zip(chosen, bounds):
+                    assert bound >= shard.scores(shard.documents(np.array([c])), weights).max(initial=0)
+                every += len(chosen)
+                visited += int((bounds >= tenth).sum())
+    assert visited < 0.7 * every
 
 
 def ints(x):
