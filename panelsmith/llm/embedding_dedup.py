@@ -2,14 +2,17 @@
 
 Each half of the unit vectors has a codebook of its own; pairs of codewords are
 the cells of a grid.  A vector lies in the cell of its two nearest codewords.
-A vector that lies with another codeword is at least as far away as the plane
-that halves the way between both codewords.  So a cell is left out only if the
-distances to the planes of both halves, as the root of their summed squares,
-exceed the distance of two unit vectors at the wanted cosine: no pair is lost,
-whatever the vectors are like.  What is found is verified in double precision.
-
-The learned margin tells how much farther than the nearest the cells of nearly
-all made partners lie; it is a figure of the codebooks and limits nothing.
+For a visiting vector either codebook is put in order of how far the vector is
+from the plane that halves the way between a codeword and its own; cells are
+visited in order of the sum of both squared distances (multi-sequence).  A
+vector that lies in a cell is at least that far away, so by default the walk
+stops only where the sum exceeds the distance of two unit vectors at the wanted
+cosine: no pair is lost, whatever the vectors are like.  With a target recall it
+stops earlier, where that share of made partners at the threshold is found.
+
+Within a cell the product of the first halves, plus that of the lengths of the
+second halves, bounds the cosine; pairs that stay below are left out.  What
+remains is verified in double precision.
 
 Rows are brought together by label and first codeword, cut into pieces where
 many vectors share them, so that a task compares one piece of indexed vectors
@@ -20,6 +23,7 @@ member with a weight.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +38,7 @@ from panelsmith.llm.textbytes import mix
 from panelsmith.storage import settle
 
 COSINE = 0.93
-SAMPLE = 8192  # most vectors that codebooks and margin are learned from
-MISSED = 1e-4  # share of made partners beyond the margin
+SAMPLE = 8192  # most vectors that codebooks, and where to stop, are learned from
 SLACK = 1e-9  # for rounding, in squared distance
 PIECE = 2048  # vectors of a piece
 ROUNDS = 12
@@ -88,7 +91,7 @@ class MultiIndex:
     half: int
     first: np.ndarray
     second: np.ndarray
-    margin: float
+    stop: float  # sum of squared distances at which the visits end
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How much farther than the nearest each codeword of either half is, in squared distance."""
@@ -115,16 +118,18 @@ def codebook_size(vectors: int) -> int:
     return int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(vectors) / 8))), 2, 256))
 
 
-def learn(sample: np.ndarray, vectors: int, cosine: float = COSINE, missed: float = MISSED) -> MultiIndex:
-    """Codebooks and margin from unit vectors."""
+def learn(sample: np.ndarray, vectors: int, cosine: float = COSINE, recall: float | None = None) -> MultiIndex:
+    """Codebooks from unit vectors, and where visits stop: without loss, or at a target recall of made partners."""
     rng = np.random.default_rng(1)
     width = sample.shape[1]
     half = width - width // 2
     size = min(codebook_size(vectors), len(np.unique(sample, axis=0)))
     first, second = codebook(sample[:, :half], size, rng), codebook(sample[:, half:], size, rng)
-    index = MultiIndex(width, half, first, second, 0.0)
-    margins = [0.0]
-    ax, bx = index.distances(sample)
+    index = MultiIndex(width, half, first, second, reach(cosine))
+    if recall is None:
+        return index
+    sums = []
+    ax, bx = index.planes(sample)
     row, own = np.arange(len(sample)), (ax.argmin(axis=1), bx.argmin(axis=1))
     for quiet in (None, slice(half, None), slice(0, half)):  # partners that differ everywhere, or in one half only
         away = rng.normal(size=sample.shape)
@@ -133,14 +138,38 @@ def learn(sample: np.ndarray, vectors: int, cosine: float = COSINE, missed: floa
         away -= (away * sample).sum(axis=1, keepdims=True) * sample
         length = np.sqrt((away * away).sum(axis=1, keepdims=True))
         partner = cosine * sample + np.sqrt(1 - cosine * cosine) * away / np.maximum(length, 1e-12)
-        ay, by = index.distances(partner)
+        ay, by = index.planes(partner)
         there = ax[row, ay.argmin(axis=1)] + bx[row, by.argmin(axis=1)]
         back = ay[row, own[0]] + by[row, own[1]]
-        margins.append(float(np.quantile(np.minimum(there, back), 1 - missed)))
-    return MultiIndex(width, half, first, second, max(margins))
+        # A pair in one first codeword is seen from both sides, another from one side only.
+        sums.append(np.where(ay.argmin(axis=1) == own[0], np.minimum(there, back), np.maximum(there, back)))
+    return MultiIndex(width, half, first, second, min(reach(cosine), float(np.quantile(np.concatenate(sums), recall))))
+
+
+def depths(a: np.ndarray, b: np.ndarray, stop: float) -> np.ndarray:
+    """How many codewords of the second list, nearest first, are visited with each codeword of the first.
+
+    ``a`` and ``b`` have a row of squared distances for each vector.  This is
+    where a walk over the cells in order of their sums has come in each row of
+    the grid when it stops; for all vectors it is found by one search in each
+    sorted second list.
+    """
+    ordered = np.sort(b, axis=1)
+    return np.stack([np.searchsorted(own, stop - ai, "right") for ai, own in zip(a, ordered)]) if len(a) else np.zeros(a.shape, int)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, half: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with at least the cosine; the second halves are multiplied only where the first leave it open."""
+    rest = np.sqrt((x[:, half:] ** 2).sum(axis=1))[:, None] * np.sqrt((y[:, half:] ** 2).sum(axis=1))
+    first = x[:, :half] @ y[:, :half].T
+    i, j = np.nonzero(first + rest >= cosine - 1e-9)
+    if len(i) * 8 > first.size:
+        return np.nonzero(first + x[:, half:] @ y[:, half:].T >= cosine)
+    some = first[i, j] + (x[i, half:] * y[j, half:]).sum(axis=1) >= cosine
+    return i[some], j[some]
 
 
-def _visits(index: MultiIndex, cosine: float):
+def _visits(index: MultiIndex):
     """One row where a vector lies (kind 0) and one for each first codeword with a cell that it visits (kind 1).
 
     Of two vectors with different first codewords the one with the lower visits the other.
@@ -151,9 +180,9 @@ def _visits(index: MultiIndex, cosine: float):
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
                 x = unit(matrix(batch.column(3), index.width))
-                a, _ = index.planes(x)
+                a, b = index.planes(x)
                 at = a.argmin(axis=1)
-                row, code = np.nonzero((a <= reach(cosine)) & (np.arange(len(index.first)) >= at[:, None]))
+                row, code = np.nonzero((depths(a, b, index.stop) > 0) & (np.arange(len(index.first)) >= at[:, None]))
                 kind = np.repeat(np.array([0, 1], np.int32), [len(at), len(row)])
                 row, code = np.concatenate([np.arange(len(at)), row]), np.concatenate([at, code])
                 taken = batch.take(pa.array(row))
@@ -179,10 +208,10 @@ def _compare(index: MultiIndex, cosine: float):
         pairs = []
         for second in np.unique(cell[1][lies]):
             there = lies[cell[1][lies] == second]
-            come = visits[a[visits, code[visits]] + b[visits, second] <= reach(cosine)]
+            come = visits[a[visits, code[visits]] + b[visits, second] <= index.stop]
             for lo in range(0, len(come), 1024):
                 some = come[lo:lo + 1024]
-                i, j = np.nonzero(x[some] @ x[there].T >= cosine)
+                i, j = _linked(x[some], x[there], index.half, cosine)
                 i, j = some[i], there[j]
                 before = (head[i] < head[j]) | (head[i] == head[j]) & (h1[i] < h1[j])
                 own = (space[i] == space[j]) & (before | (cell[0][i] != cell[0][j]))  # seen from both sides in one first codeword
@@ -227,11 +256,12 @@ def _compare(index: MultiIndex, cosine: float):
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding",
-                 label_col: str = "label") -> DataFrame:
+                 label_col: str = "label", recall: float | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
     Rows of the same label are linked if the cosine of their vectors is at
-    least ``cosine``.  Rows whose label or id is null, or whose vector is null,
+    least ``cosine``; all links are found, or with ``recall`` about that share
+    of those at the threshold.  Rows whose label or id is null, or whose vector is null,
     empty, zero or holds null or non-finite components, are linked with nothing,
     as are vectors of different lengths.  Each row counts as a vector; rows that
     repeat an id share its component.  A row without an id has no component and
@@ -250,11 +280,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
         alone = F.lit(0).cast("long")
         return rows.select(F.col("vec").alias("vec_id"), alone.alias("n_links"), F.col("vec").alias("component_id"), F.lit(True).alias("kept"))
     drawn = classes.orderBy(F.xxhash64("head", "h1"), "head").limit(SAMPLE).select("embedding").toArrow()
-    index = learn(unit(matrix(drawn["embedding"].combine_chunks(), size.width)), size.n, cosine)
+    index = learn(unit(matrix(drawn["embedding"].combine_chunks(), size.width)), size.n, cosine, recall)
 
     kind = classes.schema["embedding"].dataType.simpleString()
     spread = settle(classes.select("head", "space", "weight", "embedding", "h1").mapInArrow(
-        _visits(index, cosine), f"key long, kind int, code int, head long, space long, weight long, embedding {kind}, h1 long"), "vector-visits")
+        _visits(index), f"key long, kind int, code int, head long, space long, weight long, embedding {kind}, h1 long"), "vector-visits")
     counts = spread.groupBy("key").agg(F.sum(1 - F.col("kind")).alias("lying"), F.sum("kind").alias("visiting")).filter("lying > 0 and visiting > 1")
     cut = spread.join(counts, "key")
     cut = cut.withColumn("lying", F.ceil(F.col("lying") / PIECE).cast("int")).withColumn("visiting", F.ceil(F.col("visiting") / PIECE).cast("int"))

@@ -1,6 +1,8 @@
 """Vector operators against brute force; learned models by exact values, gradients and held-out accuracy."""
 
+import heapq
 import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -72,21 +74,69 @@ def test_near_vectors_against_brute_force(spark, table, monkeypatch, piece):
     assert empty.count() == 0 and embedding_dedup.near_vectors(table.filter("vec_id = 2000")).first().kept
 
 
-def test_margin_reaches_partners_at_the_threshold():
-    rng = np.random.default_rng(2)
-    sample = embedding_dedup.unit(rng.normal(size=(3000, 32)))
-    index = embedding_dedup.learn(sample, 100_000)
-    x = embedding_dedup.unit(rng.normal(size=(3000, 32)))
+def partners(x, rng, cosine=0.93):
     away = rng.normal(size=x.shape)
     away -= (away * x).sum(axis=1, keepdims=True) * x
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * embedding_dedup.unit(away)
-    (ax, bx), (ay, by) = index.distances(x), index.distances(y)
+    return cosine * x + np.sqrt(1 - cosine**2) * embedding_dedup.unit(away)
+
+
+def cells_in_order(a, b, stop):
+    """The walk of one vector, cell by cell: a heap holds the next cell of each row that was begun."""
+    rows, columns = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    heap = [(a[rows[0]] + b[columns[0]], 0, 0)] if len(a) and len(b) else []
+    while heap and heap[0][0] <= stop:
+        _, i, j = heapq.heappop(heap)
+        yield int(rows[i]), int(columns[j])
+        if j + 1 < len(b):
+            heapq.heappush(heap, (a[rows[i]] + b[columns[j + 1]], i, j + 1))
+        if j == 0 and i + 1 < len(a):
+            heapq.heappush(heap, (a[rows[i + 1]] + b[columns[0]], i + 1, 0))
+
+
+def test_cells_are_visited_in_order_up_to_the_stop():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        a, b, stop = rng.random(7) ** 2, rng.random(5) ** 2, rng.random() * 1.5
+        cells = list(cells_in_order(a, b, stop))
+        sums = [a[i] + b[j] for i, j in cells]
+        assert sums == sorted(sums)
+        depth, nearest = embedding_dedup.depths(a[None], b[None], stop)[0], np.argsort(b)
+        assert set(cells) == {(i, int(j)) for i in range(7) for j in nearest[:depth[i]]}
+
+
+def test_the_lossless_stop_reaches_every_partner():
+    rng = np.random.default_rng(2)
+    index = embedding_dedup.learn(embedding_dedup.unit(rng.normal(size=(3000, 32))), 100_000)
+    x = embedding_dedup.unit(rng.normal(size=(3000, 32)))
+    (ax, bx), (ay, by) = index.planes(x), index.planes(partners(x, rng))
     row = np.arange(len(x))
-    there = ax[row, ay.argmin(axis=1)] + bx[row, by.argmin(axis=1)] <= index.margin
-    back = ay[row, ax.argmin(axis=1)] + by[row, bx.argmin(axis=1)] <= index.margin
-    assert (there | back).mean() > 0.995
-    visited = (ax[:, :, None] + bx[:, None, :] <= index.margin).mean()
-    assert visited < 0.25
+    assert (ax[row, ay.argmin(axis=1)] + bx[row, by.argmin(axis=1)] <= index.stop).all()
+
+
+def test_a_target_recall_visits_fewer_cells(spark):
+    rng = np.random.default_rng(2)
+    sample = embedding_dedup.unit(rng.normal(size=(3000, 32)))
+    whole, some = (embedding_dedup.learn(sample, 100_000, recall=r) for r in (None, 0.9))
+
+    def share(index):
+        a, b = index.planes(sample)
+        return (a[:, :, None] + b[:, None, :] <= index.stop).mean()
+
+    assert share(some) < 0.6 * share(whole)
+    x = embedding_dedup.unit(rng.normal(size=(400, 32)))
+    rows = [(i, [float(v) for v in e], 1) for i, e in enumerate(np.concatenate([x, partners(x, rng, 0.9301)]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links = lambda **how: embedding_dedup.near_vectors(table, **how).agg(F.sum("n_links")).first()[0] // 2
+    assert links() == 400 and 0.8 * 400 < links(recall=0.9) <= 400
+
+
+def test_halves_leave_no_pair_out():
+    rng = np.random.default_rng(7)
+    x = embedding_dedup.unit(rng.normal(size=(200, 12)))
+    y = np.concatenate([partners(x, rng, c) for c in (0.9299, 0.9301, 0.99)] + [embedding_dedup.unit(rng.normal(size=(4000, 12)))])
+    for part in (y, y[:600]):
+        i, j = embedding_dedup._linked(x, part, 6, 0.93)
+        assert set(zip(i, j)) == set(zip(*np.nonzero(x @ part.T >= 0.93)))
 
 
 def test_pairs_across_a_border_of_codewords_are_linked(spark):
@@ -101,6 +151,14 @@ def test_pairs_across_a_border_of_codewords_are_linked(spark):
     assert {r.vec_id: r.n_links for r in got.collect()}[601] == 1
 
 
+def apart(x, y):
+    """Euclidean distance, squares added one after another."""
+    total = 0.0
+    for a, b in zip(x.tolist(), y.tolist()):
+        total += (a - b) * (a - b)
+    return math.sqrt(total)
+
+
 @pytest.mark.parametrize("piece", [4096, 32])
 def test_search_against_brute_force(spark, table, monkeypatch, piece):
     monkeypatch.setattr(hash_search, "PIECE", piece)
@@ -110,11 +168,11 @@ def test_search_against_brute_force(spark, table, monkeypatch, piece):
     found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
     hit = total = 0
     for q, x in [r for r in rows if r[0] % 20 == 0]:
-        near = sorted((float(np.sqrt(((x - y) ** 2).sum())), v) for v, y in rows if v != q and len(x) == len(y))[:10]
+        near = sorted((apart(x, y), v) for v, y in rows if v != q and len(x) == len(y))[:10]
         mine = [found[q, k + 1] for k in range(len(near))]
         assert (q, len(near) + 1) not in found
         assert [(v, s) for v, s in mine] == sorted(mine, key=lambda m: (m[1], m[0]))
-        every = {(v, float(np.sqrt(((x - y) ** 2).sum()))) for v, y in rows if len(x) == len(y)}
+        every = {(v, apart(x, y)) for v, y in rows if len(x) == len(y)}
         assert set(mine) <= every
         hit += len(Counter(v for v, _ in mine) & Counter(v for _, v in near))
         total += len(near)
