@@ -83,7 +83,11 @@ def learn(sample: np.ndarray) -> Hashing:
 
 
 def distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.sqrt(((q - x) ** 2).sum(axis=-1))
+    """Euclidean distances of paired rows; squares are added one after another, so the last bit does not depend on how many rows there are."""
+    total = np.zeros(len(q))
+    for k in range(q.shape[1]):
+        total += (q[:, k] - x[:, k]) ** 2
+    return np.sqrt(total)
 
 
 def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, allowed: np.ndarray, k: int):
@@ -204,7 +208,33 @@ def within_radius(hashing: Hashing, queries: DataFrame, rows: DataFrame, n_rows:
     schema = f"sub int, prefix long, vec long, embedding {kind}"
     indexed = rows.select("vec", "embedding").mapInArrow(_placed(hashing, prefix_bits, reach, False), schema).withColumn("asks", F.lit(0))
     asked = queries.select("vec", "embedding").mapInArrow(_placed(hashing, prefix_bits, reach, True), schema).withColumn("asks", F.lit(1))
-    both = settle(indexed.unionByName(asked), "hash-buckets")
+    return _best(settle(indexed.unionByName(asked), "hash-buckets"), _retrieve(hashing, radius, k), k)
+
+
+def scan(queries: DataFrame, rows: DataFrame, width: int, k: int) -> DataFrame:
+    """The same of all rows, compared exactly, piece by piece: for queries that find too few within the radius."""
+    one = [F.lit(0).alias("sub"), F.lit(0).cast("long").alias("prefix"), "vec", "embedding"]
+    both = rows.select(*one, F.lit(0).alias("asks")).unionByName(queries.select(*one, F.lit(1).alias("asks")))
+    return _best(both, _compared(width, k), k)
+
+
+def _compared(width: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, ("sub", "prefix", "i", "j")):
+            asks = block["asks"].to_numpy()
+            column = block["embedding"].combine_chunks()
+            x, ids, sizes = matrix(column, width), block["vec"].to_numpy(), np.diff(column.offsets.to_numpy())
+            for lo in range(0, int(asks.sum()), 64):
+                asking, lying = np.flatnonzero(asks == 1)[lo:lo + 64], np.flatnonzero(asks == 0)
+                met = (ids[asking][:, None] != ids[lying][None, :]) & (sizes[asking][:, None] == sizes[lying][None, :])
+                i, j, d = nearest(x[asking], ids[asking], x[lying], ids[lying], met, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[asking][i]), pa.array(ids[lying][j]), pa.array(d)], names=["query", "vec", "distance"])
+
+    return run
+
+
+def _best(both: DataFrame, compare, k: int) -> DataFrame:
+    """The k nearest of what ``compare`` finds in each bucket, cut into pieces where many rows or queries meet."""
     sizes = both.groupBy("sub", "prefix").agg(F.sum(1 - F.col("asks")).alias("lying"), F.sum("asks").alias("asking")).filter("lying > 0 and asking > 0")
     cut = both.join(sizes, ["sub", "prefix"])
     cut = cut.withColumn("lying", F.ceil(F.col("lying") / PIECE).cast("int")).withColumn("asking", F.ceil(F.col("asking") / QUERY_PIECE).cast("int"))
@@ -215,7 +245,7 @@ def within_radius(hashing: Hashing, queries: DataFrame, rows: DataFrame, n_rows:
 
     block = ["sub", "prefix", "i", "j"]
     cut = cut.withColumn("i", piece(0, "lying")).withColumn("j", piece(1, "asking")).select(*block, "asks", "vec", "embedding")
-    found = cut.repartition(*block).sortWithinPartitions(*block).mapInArrow(_retrieve(hashing, radius, k), "query long, vec long, distance double")
+    found = cut.repartition(*block).sortWithinPartitions(*block).mapInArrow(compare, "query long, vec long, distance double")
     best = Window.partitionBy("query").orderBy("distance", "vec")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -243,6 +273,6 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     enough = found.groupBy(F.col("query").alias("vec")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     few = settle(queries.join(enough, "vec", "left_anti"), "search-few")
     if radius < hashing.bits and not few.isEmpty():
-        rest = within_radius(hashing, few, rows, size.n, hashing.bits, k)
+        rest = scan(few, rows, size.width, k)
         found = found.join(few.select(F.col("vec").alias("query")), "query", "left_anti").unionByName(rest)
     return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), F.col("distance").alias("score"))

@@ -23,7 +23,25 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query("""
+WITH RECURSIVE taking AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y
+    FROM taking a JOIN taking b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 93e-2
+), reached AS (
+    SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), least AS (
+    SELECT x AS vec_id, min(y) AS y FROM reached GROUP BY x
+), counts AS (
+    SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(vec_id, y), vec_id) AS component_id, coalesce(vec_id <= y, TRUE) AS kept
+FROM embeddings LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+""")
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked with others of their label at cosine 0.93 or more."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
@@ -35,10 +53,22 @@ def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scores = hidden_markov.scored(docs, hidden_markov.training_rows(F.col("doc_id")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    return scores.withColumnRenamed("doc", "doc_id").withColumn("held_out", held_out).drop("learned")
+    return scores.withColumnRenamed("doc", "doc_id").select("doc_id", held_out.alias("held_out"), *[c for c in scores.columns if c not in ("doc", "learned")])
 
 
-@query()
+@query("""
+WITH taking AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), placed AS (
+    SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1),
+               lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda s, x: s + x)) AS score
+    FROM taking q JOIN taking c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+FROM placed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+""")
 def op3_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest other vectors of every hundredth."""
     return hash_search.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
@@ -127,7 +157,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE sequences AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+    FROM sequences
+), members AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+    SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), least AS (
+    SELECT x AS doc_id, min(y) AS y FROM reached GROUP BY x
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(least(doc_id, y), doc_id) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+FROM sets LEFT JOIN least USING (doc_id)
+""")
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by three-word shingles of similarity 0.85 or more."""
     return minhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85)
@@ -163,7 +214,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three of four folds."""
     named = langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return named.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return named.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query("""

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,20 +99,23 @@ def _counts(path: str, pattern: str):
                     ids = np.array(encoding.encode_ordinary(text), np.int64)
                     if given[i].is_valid:
                         spans = given[i].values
-                        s, e = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                        s, e = pc.struct_field(spans, 0).cast(pa.int64()), pc.struct_field(spans, 1).cast(pa.int64())
                     else:
-                        s, e = line_spans(text)
+                        s, e = map(pa.array, line_spans(text))
+                    whole = np.flatnonzero(pc.and_(s.is_valid(), e.is_valid()).to_numpy(zero_copy_only=False))
                     first, after = token_spans(np.frombuffer(text.encode(), np.uint8), size[ids])
-                    at, cross = attribute(first, after, s, e)
+                    at, cross = attribute(first, after, *(x.take(pa.array(whole)).to_numpy() for x in (s, e)))
                     rows.append(np.full(len(s), i))
                     sections.append(np.arange(len(s)))
                     starts.append(s)
                     ends.append(e)
-                    tokens.append(np.bincount(at[at >= 0], minlength=len(s)))
-                    crossing.append(np.bincount(at[cross], minlength=len(s)))
+                    for held, counts in ((at >= 0, tokens), (cross, crossing)):
+                        n = np.zeros(len(s), np.int64)
+                        n[whole] = np.bincount(at[held], minlength=len(whole))
+                        counts.append(n)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(np.concatenate(rows))),
-                    *(pa.array(np.concatenate(v).astype(np.int64)) for v in (sections, starts, ends, tokens, crossing)),
+                    batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sections).astype(np.int64)),
+                    pa.concat_arrays(starts), pa.concat_arrays(ends), *(pa.array(np.concatenate(v).astype(np.int64)) for v in (tokens, crossing)),
                 ], names=["doc", "section", "start", "end", "n_tokens", "n_crossing"])
 
     return run
@@ -124,6 +128,7 @@ def section_tokens(docs: DataFrame, path: str | None = None, pattern: str | None
     ``spans_col`` names an array of structs of two integers, the first
     character of a section and the one after its last, in order and without
     overlap; without it, and where it is null, the sections are the lines.
+    A section of which a bound is null holds no token and keeps its null.
     ``n_crossing`` counts those of a section's tokens that reach into another
     or into a gap.  A null text counts as empty, which is one line without
     tokens.  Rows that repeat an id are counted each.

@@ -306,6 +306,16 @@ def test_sections_with_crossing_tokens(spark, none):
     assert tokencounts.section_tokens(none).count() == 0
 
 
+def test_sections_with_a_null_bound_hold_nothing(spark):
+    schema = "doc_id long, text string, spans array<struct<a:int,b:int>>"
+    spans = [(0, 5), (5, None), None, (None, 9), (6, 11)]
+    got = tokencounts.section_tokens(spark.createDataFrame([(1, "Hello world and more", spans)], schema), spans_col="spans").collect()
+    whole = tokencounts.section_tokens(spark.createDataFrame([(1, "Hello world and more", [(0, 5), (6, 11)])], schema), spans_col="spans").collect()
+    found = [(r.section, r.start, r.end, r.n_tokens, r.n_crossing) for r in sorted(got, key=lambda r: r.section)]
+    first, last = ((r.n_tokens, r.n_crossing) for r in sorted(whole, key=lambda r: r.section))
+    assert found == [(0, 0, 5, *first), (1, 5, None, 0, 0), (2, None, None, 0, 0), (3, None, 9, 0, 0), (4, 6, 11, *last)]
+
+
 def test_digest_of_kept_lines(docs):
     got = linededup.dedup_lines(docs).select("kept_text", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("h")).collect()
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.h for r in got)
