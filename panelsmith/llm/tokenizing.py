@@ -13,7 +13,8 @@ from array import array
 import numpy as np
 import regex
 
-MOST_WORDS = 400_000  # remembered by a worker; beyond that it starts over
+MOST_WORDS = 1_000_000  # remembered by a worker; beyond that it starts over
+SIZE_BITS = 24  # of a word's number of ids, beside the place where they begin
 
 # How the tokenizer splits a normalised word into parts.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -31,6 +32,17 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+class Words(dict):
+    """Words by place; a word that is asked for the first time is learned."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = self.learn(word)
+        return place
+
+
 class WordTokenizer:
     """Ids by a tokenizer file; equal to encoding the text at once without special tokens added."""
 
@@ -44,50 +56,55 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.parts: dict[str, bytes] = {}  # ids of four bytes each
-        self.pool, self.begin, self.size = array("I"), array("q"), array("q")
+        self.words = Words(self._learn)
+        self.parts: dict[str, list[int]] = {}
+        self.pool = array("I")
+
+    def _letters(self, part: str) -> list[int]:
+        """Ids of a part in lower case."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(part)]
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str) -> list[int]:
         ids = self.parts.get(part)
         if ids is None:
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            ids = self.parts[part] = self._letters(part)
         return ids
 
-    def _ids(self, word: bytes) -> bytes:
+    def _ids(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
             low = text.lower()
             if low.isalpha():
-                return self._part(low)
+                return self._letters(low)
             if low[:-1].isalpha():
                 return self._part(low[:-1]) + self._part(low[-1])
-            return b"".join(map(self._part, PARTS.findall(low)))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, word: bytes) -> None:
-        ids = self._ids(word)
-        self.words[word] = len(self.begin)
-        self.begin.append(len(self.pool))
-        self.size.append(len(ids) // 4)
-        self.pool.frombytes(ids)
+            return [i for part in PARTS.findall(low) for i in self._part(part)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, word: bytes) -> int:
+        if word.isalpha() and word.islower():  # letters of ASCII
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+        else:
+            ids = self._ids(word)
+        place = len(self.pool) << SIZE_BITS | len(ids)
+        self.pool.extend(ids)
+        return place
 
     def encode(self, text: str | bytes | None) -> np.ndarray:
-        """Ids of one whole text as unsigned 32-bit integers; a null text has none."""
-        words = (text.encode() if isinstance(text, str) else text or b"").split()
+        """Ids of one whole text, a string or its UTF-8 bytes, as unsigned 32-bit integers; a null text has none."""
+        raw = text.encode() if isinstance(text, str) else text or b""
+        # Special tokens are told by their letters as they are.
+        words = (raw if b"<|" in raw else raw.lower()).split()
         if not words:
             return np.zeros(0, np.uint32)
         if len(self.words) > MOST_WORDS:
             self.forget()
-        known = self.words
-        for word in words:
-            if word not in known:
-                self._learn(word)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        sizes, begins = np.frombuffer(self.size, np.int64)[at], np.frombuffer(self.begin, np.int64)[at]
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        sizes = at & ((1 << SIZE_BITS) - 1)
         ends = np.cumsum(sizes)
-        places = np.arange(ends[-1]) + np.repeat(begins - (ends - sizes), sizes)
+        places = np.arange(ends[-1]) + np.repeat((at >> SIZE_BITS) - (ends - sizes), sizes)
         return np.frombuffer(self.pool, np.uint32)[places]
 
 
