@@ -77,6 +77,8 @@ def asof_join(
     times = times.unionByName(answering.select(F.col(key).alias("key"), F.col(since).alias("ts")))
     cuts = hot_cuts(times, "key", "ts") if bin_seconds is None else None
     binned = bin_seconds is not None or cuts is not None
+    if binned:  # read twice below
+        left = settle(left, "asof-left")
     fields = [f"_l{i}" for i in range(len(left.columns))]
     picked = F.struct(*[F.col(c).alias(c) for c in take])
     asks = left.filter(asking).select(

@@ -136,7 +136,6 @@ def priority_at_shipment(spark, folder):
     spans = settle(timejoin.spans_from_changes(changes, "o_custkey", "o_orderdate", "change_id"), "spans")
     lines = load(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
     shipped = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("o_custkey", "l_shipdate", "l_quantity")
-    shipped = settle(shipped, "shipped")  # like the spans, read more than once below
     held = timejoin.point_in_time_join(
         shipped, spans, "o_custkey", "l_shipdate", "valid_from", "valid_to", "change_id", ["priority"]
     )

@@ -118,22 +118,23 @@ def state_of(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(files.select("path", "length", "modificationTime").agg(F.count(F.lit(1)), digest).first())
 
 
-_kept: dict[tuple, tuple[tuple, Stored]] = {}
+_kept: dict[tuple, tuple[tuple, Stored, Stored | None]] = {}  # state of the files, the panel, the one before
 
 
 def keep_panel(spark: SparkSession, label: str, source: str, build, tables: list[str]) -> Stored:
     """Build and write a panel at its first use in an application, then reuse it.
 
     ``tables`` of the folder ``source`` are what it is built from.  When their
-    files have changed, the panel is built anew and the old one removed.
+    files have changed, the panel is built anew.  The one before stays for those
+    who still read it, and is removed when the next takes its place.
     """
     key = (spark.sparkContext.applicationId, label, source)
     state = state_of(spark, [f"{source}/{t}.parquet" for t in tables])
-    was, panel = _kept.get(key, (None, None))
+    was, panel, before = _kept.get(key, (None, None, None))
     if was != state or not _readable(spark, panel.path):
-        _kept[key] = (state, settle_panel(build(), label))
-        if panel is not None:
-            delete(spark, panel.path)
+        _kept[key] = (state, settle_panel(build(), label), panel)
+        if before is not None:
+            delete(spark, before.path)
     return _kept[key][1]
 
 

@@ -29,15 +29,23 @@ def written(spark):
 def test_a_changed_table_is_noticed(spark, folder):
     first = panel(spark, folder)
     assert panel(spark, folder).path == first.path
-    some = spark.read.parquet(f"{folder}/lineitem.parquet").limit(100).toPandas()
-    time.sleep(0.01)
-    spark.createDataFrame(some, spark.read.parquet(f"{folder}/lineitem.parquet").schema).coalesce(1).write.parquet(f"{folder}/new")
-    part = next(f for f in os.listdir(f"{folder}/new") if f.endswith(".parquet"))
-    os.replace(f"{folder}/new/{part}", f"{folder}/lineitem.parquet")
-    spark.catalog.refreshByPath(f"{folder}/lineitem.parquet")
-    second = panel(spark, folder)
+    schema = spark.read.parquet(f"{folder}/lineitem.parquet").schema
+
+    def replaced(n):
+        some = spark.read.parquet(f"{folder}/lineitem.parquet").limit(n).toPandas()
+        time.sleep(0.01)
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{folder}/new{n}")
+        part = next(f for f in os.listdir(f"{folder}/new{n}") if f.endswith(".parquet"))
+        os.replace(f"{folder}/new{n}/{part}", f"{folder}/lineitem.parquet")
+        spark.catalog.refreshByPath(f"{folder}/lineitem.parquet")
+        return panel(spark, folder)
+
+    second = replaced(100)
     assert second.path != first.path and second.rows <= 100 < first.rows
-    assert os.path.basename(first.path) not in written(spark)
+    assert first.df.count() == first.rows  # a reader of the one before is not cut off
+    third = replaced(50)
+    assert third.path != second.path and os.path.basename(first.path) not in written(spark)
+    assert second.df.count() == second.rows
 
 
 def test_a_scope_leaves_no_table(spark, folder):
