@@ -85,14 +85,14 @@ def chunked(cuts: Column, width: int) -> Column:
     """Sorted cuts as chunks of ``width``, so that a lookup need not look at all of them."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(cuts) / width).cast("int") - 1))
     chunks = F.transform(starts, lambda i: F.slice(cuts, i * width + 1, width))
-    return F.struct(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)).alias("lasts"), chunks.alias("chunks"))
+    return F.struct(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)).alias("lasts"), chunks.alias("chunks"), F.size(cuts).alias("n"))
 
 
 def cuts_below(cuts: str, x: Column, width: int) -> Column:
     """How many cuts are smaller than ``x``: whole chunks first, then within one chunk."""
     whole = F.size(F.filter(F.col(cuts)["lasts"], lambda cut: cut < x))
     chunk = F.coalesce(F.get(F.col(cuts)["chunks"], whole), F.expr("array()"))
-    return whole * width + F.size(F.filter(chunk, lambda cut: cut < x))
+    return F.least(whole * width, F.col(cuts)["n"]) + F.size(F.filter(chunk, lambda cut: cut < x))  # the last chunk may be shorter
 
 
 def _is_cut(cuts: str, x: Column) -> Column:

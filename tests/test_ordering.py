@@ -102,3 +102,35 @@ def test_sections_do_not_depend_on_the_known_size(skewed, apply):
     known, unknown = as_pandas(apply(skewed, 6000)), as_pandas(apply(skewed, None))
     assert len(known) == len(unknown)
     assert np.allclose(known["out"].astype(float), unknown["out"].astype(float), equal_nan=True)
+
+
+def test_a_measured_size_decides(skewed, monkeypatch):
+    """A small group of unknown size takes the plain window and writes nothing; slices are cut only where asked for."""
+    from panelsmith.operators import ordering
+
+    def refuse(*_):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(ordering, "settle", refuse)
+    assert ordering.positions(skewed, ["g"], "x", "asset").count() == skewed.count()
+    assert ordering.average_ranks(skewed, ["g"], {"x": "rank"}).count() == skewed.count()
+    with pytest.raises(AssertionError, match="written"):
+        ordering.positions(skewed, ["g"], "x", "asset", slices=4)
+    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 10)
+    with pytest.raises(AssertionError, match="written"):
+        ordering.positions(skewed, ["g"], "x", "asset")
+
+
+@pytest.mark.parametrize("n,width", [(0, 1), (1, 1), (7, 3), (9, 3), (10, 3), (100, 10), (101, 10)])
+def test_cuts_are_looked_up_in_two_steps(spark, n, width):
+    from panelsmith.operators import ordering
+
+    cuts = [float(2 * i) for i in range(n)]
+    values = [None] + [float(v) for v in range(-2, 2 * n + 3)]
+    df = spark.createDataFrame([(cuts, v) for v in values], "cuts array<double>, x double").withColumn("c", ordering.chunked(F.col("cuts"), width))
+    got = df.select("x", ordering.cuts_below("c", F.col("x"), width).alias("below"), ordering._is_cut("c", F.col("x")).alias("cut")).collect()
+    for r in got:
+        if r.x is not None:
+            assert (r.below, r.cut) == (sum(c < r.x for c in cuts), r.x in cuts)
+        else:
+            assert not r.cut
