@@ -149,7 +149,8 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, middles, (found, starts) = [], [], subwords(part)
             for i in range(len(part)):
                 runs = [f[s[i]:s[i + 1]] for f, s in zip(found, starts)]
-                rows.append(sum(np.bincount(f, minlength=BUCKETS) for f in runs).astype(np.float32).tobytes())
+                bucket, count = np.unique(np.concatenate(runs), return_counts=True)
+                rows.append(np.stack([bucket, count]).astype("<u4").tobytes())
                 held = min(len(runs[0]), STRETCH - RUNS[0] + 1)
                 lo = (len(runs[0]) - held) // 2
                 middles.append(np.concatenate([runs[0][lo:lo + held], runs[1][lo:lo + max(held - 1, 0)]]).astype(np.int16).tobytes())
@@ -163,15 +164,16 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     """Fit on a bounded sample; None when no document may be learned from."""
     chosen = sample(docs, allowed, id_col, text_col, lang_col)
     kind = chosen.schema["doc"].dataType.simpleString()
-    rows = chosen.mapInArrow(_histograms, f"doc {kind}, lang string, counts binary, middle binary").filter(F.length("counts") > 0)
+    rows = chosen.mapInArrow(_histograms, f"doc {kind}, lang string, counts binary, middle binary")
     table = rows.orderBy("doc", F.xxhash64("counts")).limit(SAMPLE_DOCS).toArrow()
     if table.num_rows == 0:
         return None
     names, counts = table["lang"].to_pylist(), table["counts"]
     middles = [np.frombuffer(v, np.int16) for v in table["middle"].to_pylist()]
-    x = np.empty((table.num_rows, BUCKETS), np.float32)
+    x = np.zeros((table.num_rows, BUCKETS), np.float32)
     for i, row in enumerate(counts):
-        x[i] = np.frombuffer(row.as_buffer(), np.float32)
+        bucket, count = np.frombuffer(row.as_buffer(), "<u4").reshape(2, -1)
+        x[i, bucket] = count
     del table, counts
     total = x.sum(axis=1, keepdims=True)
     full = np.flatnonzero(total)
@@ -183,13 +185,19 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     return fit(x, y, languages, full, total[:, 0], middles)
 
 
-def cuts(middle: np.ndarray) -> Iterator[np.ndarray]:
-    """The subwords of the pieces of each length of ``CUTS`` in a text's middle."""
+def cut_means(middle: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the pieces of each length of ``CUTS`` in a text's middle: the numbers of subwords, and the means of their rows of ``table``."""
     held = (len(middle) + 1) // 2
-    threes, fours = middle[:held], middle[held:]
+    before = [np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[part], axis=0, dtype=float)]) for part in (middle[:held], middle[held:])]
+    numbers, means = [np.zeros(0, int)], [np.zeros((0, table.shape[1]))]
     for size in CUTS:
-        for lo in range(0, held - (size - RUNS[0]), size):
-            yield np.concatenate([threes[lo:lo + size - RUNS[0] + 1], fours[lo:lo + size - RUNS[1] + 1]])
+        lo = np.arange(0, max(0, held - (size - RUNS[0])), size)
+        total = sum(sums[lo + size - run + 1] - sums[lo] for run, sums in zip(RUNS, before) if size >= run)
+        n = sum(size - run + 1 for run in RUNS if size >= run)
+        if len(lo):
+            numbers.append(np.full(len(lo), n))
+            means.append(total / n)
+    return np.concatenate(numbers), np.concatenate(means)
 
 
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rows: np.ndarray, sizes: np.ndarray, middles: list[np.ndarray]) -> LanguageModel:
@@ -225,12 +233,14 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rows: np.ndarray, si
     share = np.stack([x[learn[y[learn] == k]].sum(axis=0, dtype=float) for k in range(len(languages))], axis=1)
     share /= np.maximum(share.sum(axis=0), 1e-12)
     familiar = np.log((share * BUCKETS + EVEN) / (1 + EVEN)).astype(np.float32)
-    parts = [(i, c) for i in held for c in cuts(middles[i])]
-    named = np.array([y[i] for i, _ in parts], int)
-    n = np.array([len(c) for _, c in parts])
-    means = np.array([[logits[c].mean(axis=0, dtype=float), familiar[c].mean(axis=0, dtype=float)] for _, c in parts]).reshape(-1, 2, len(languages))
     whole = _measures(raw, x[held] @ familiar, temperature, y[held])
-    pieces = _measures(means[:, 0] + bias, means[:, 1], temperature, named)
+    table, k = np.concatenate([logits, familiar], axis=1), len(languages)
+    n, pieces = [], []
+    for i in held:  # text by text, so that only two numbers stay of each piece
+        number, means = cut_means(middles[i], table)
+        n.append(number)
+        pieces.append(_measures(means[:, :k] + bias, means[:, k:], temperature, np.full(len(number), y[i])))
+    n, pieces = np.concatenate(n), np.concatenate(pieces)
     floors = _floors(sizes[held], whole, n, pieces, float(familiar.mean()))
     return LanguageModel(languages, logits, bias.astype(float), temperature, familiar, floors)
 
