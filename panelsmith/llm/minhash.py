@@ -329,11 +329,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     ids = docs.select(F.col(id_col).cast("long").alias("id"), version.alias("version"))
-    repeated = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id")
+    repeated = settle(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id"), "repeated-ids")
+    if repeated.isEmpty():
+        heads = near_copies(docs, id_col, text_col, width, percent).filter("kept").select(F.col("doc_id").alias("head"))
+        return docs.join(heads.hint("merge"), docs[id_col] == F.col("head"), "left_semi")
     several = ids.join(repeated, ids["id"].eqNullSafe(repeated["id"]), "left_semi").distinct()
     # Numbers below all ids, in ranges that each task counts by itself.
     parts = settle(several.repartitionByRange("id", "version").sortWithinPartitions("id", "version").withColumn("part", F.spark_partition_id())
-                   .withColumn("place", F.monotonically_increasing_id() % (1 << 33)), "repeated-ids")
+                   .withColumn("place", F.monotonically_increasing_id() % (1 << 33)), "repeated-places")
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     sizes = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
