@@ -36,8 +36,7 @@ def section_percent_rank_sliced(spark, folder):
     THEN (vol - avg(vol) OVER (PARTITION BY d)) / nullif(stddev_samp(vol) OVER (PARTITION BY d), 0e0) END''')} AS vol_score
     FROM panel""")
 def section_zscore(spark, folder):
-    p = panel(spark, folder)
-    return xs.zscore(p.df, "vol", "vol_score", group_rows=p.max_day_rows).select(*KEY, tidy("vol_score").alias("vol_score"))
+    return xs.zscore(panel(spark, folder).df, "vol", "vol_score").select(*KEY, tidy("vol_score").alias("vol_score"))
 
 
 WINSORISED_SQL = f"""WITH {SIGNALS_SQL},
@@ -66,16 +65,14 @@ def section_winsorised_sliced(spark, folder):
 @query(f"""WITH {panel_sql()} SELECT asset, d,
     {r('vol / nullif(sum(abs(vol)) OVER (PARTITION BY d), 0e0)')} AS vol_share FROM panel""")
 def section_scaled(spark, folder):
-    p = panel(spark, folder)
-    return xs.scale_to_gross(p.df, "vol", "vol_share", group_rows=p.max_day_rows).select(*KEY, tidy("vol_share").alias("vol_share"))
+    return xs.scale_to_gross(panel(spark, folder).df, "vol", "vol_share").select(*KEY, tidy("vol_share").alias("vol_share"))
 
 
 @query(f"""WITH {SIGNALS_SQL} SELECT asset, d, {r('ret - avg(ret) OVER (PARTITION BY d)')} AS ret_day,
     {r('ret - avg(ret) OVER (PARTITION BY d, grp)')} AS ret_grp FROM signals""")
 def section_demeaned(spark, folder):
-    s = signals(spark, folder)
-    by_day = xs.demean(s.df, "ret", "ret_day", group_rows=s.max_day_rows)
-    both = xs.demean(by_day, "ret", "ret_grp", ["d", "grp"], s.max_day_rows)
+    returns = signals(spark, folder).df.select(*KEY, "grp", "ret")
+    both = xs.demean(xs.demean(returns, "ret", "ret_day"), "ret", "ret_grp", ["d", "grp"])
     return both.select(*KEY, tidy("ret_day").alias("ret_day"), tidy("ret_grp").alias("ret_grp"))
 
 
