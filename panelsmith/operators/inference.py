@@ -143,7 +143,7 @@ def stationary_bootstrap(
     Unlike ``bootstrap_mean`` it does not take days as independent: a series
     whose neighbours are alike gets a wider interval.
     """
-    rows = df.filter(known(value).isNotNull())
+    rows = settle(df.filter(known(value).isNotNull()).select(*by, "d", value), "bootstrap-rows")  # read three times
     means = replica_means(rows, value, by, stationary_draws(rows, replicas, mean_block, seed))
     resampled = F.when(F.col("replica") > 0, F.col("mean"))
     tail = (1.0 - level) / 2.0
@@ -170,7 +170,7 @@ def step_down(
     The series of one replica meet in one task, two numbers each.  A series of
     no spread has no t value and is left out.
     """
-    rows = df.filter(known(value).isNotNull())
+    rows = settle(df.filter(known(value).isNotNull()).select(series, "d", value), "bootstrap-rows")  # read three times
     means = settle(replica_means(rows, value, [series], stationary_draws(rows, replicas, mean_block, seed)), "step-down-means")
     facts = means.groupBy(series).agg(
         F.max(F.when(F.col("replica") == 0, F.col("mean"))).alias("_mean"),
