@@ -1,7 +1,7 @@
 """As-of join of two streams: each left row with the latest right row of its key at or before it.
 
 Row windows do not run on a stream, and a join of streams by an equal key gives
-all pairs.  Here both sides wait as state of their key.  A left row is answered
+all pairs.  Here both sides wait as state of a bucket of keys.  A left row is answered
 when the watermark has passed it: by then every right row that could be the
 latest has come, in whatever order.  Of the right rows at or before the
 watermark only the latest can still be wanted, so the others are let go.
@@ -10,7 +10,9 @@ watermark only the latest can still be wanted, so the others are let go.
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,55 +24,68 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEFT, RIGHT = 1, 0
+BUCKETS = 1024  # that keys are hashed to; a stream that goes on from a checkpoint must keep the number
 FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 class LatestBefore(StatefulProcessor):
-    """State of a key: left rows that wait, right rows that may still be wanted, both as (micros, tie, row)."""
+    """State of a bucket of keys: left rows that wait, right rows that may still be wanted, both as (key, micros, tie, row).
 
-    def __init__(self, key: str, max_age: int | None):
-        self.key, self.max_age = key, max_age
+    Every read of state and every timer is a call out of Python, so keys share
+    them: a batch costs some calls for each bucket, not for each key.
+    """
+
+    def __init__(self, max_age: int | None):
+        self.max_age = max_age
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, tie long, held string")
-        self.latest = handle.getListState("latest", "at long, tie long, held string")
+        self.waiting = handle.getListState("waiting", "key string, at long, tie long, held string")
+        self.latest = handle.getListState("latest", "key string, at long, tie long, held string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         asks, answers = [], []
         for part in rows:
-            for side, at, tie, held in zip(*(part[c].tolist() for c in ("asof_side", "asof_at", "asof_tie", "asof_row"))):
-                (asks if side == LEFT else answers).append((at, tie, held))
+            for side, *row in zip(*(part[c].tolist() for c in ("asof_side", "asof_key", "asof_at", "asof_tie", "asof_row"))):
+                (asks if side == LEFT else answers).append(tuple(row))
         if asks:
             self.waiting.appendList(asks)
-            self.handle.registerTimer(_millis(min(a[0] for a in asks)))
         if answers:
             self.latest.appendList(answers)
-            if self.max_age is not None:
-                self.handle.registerTimer(_millis(max(a[0] for a in answers) + self.max_age))
+        self._wake(asks, answers)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        answers = sorted(self.latest.get(), key=lambda a: (a[0], a[1])) if self.latest.exists() else []
-        due, later = sorted((w for w in waiting if w[0] <= now), key=lambda w: w[0]), [w for w in waiting if w[0] > now]
-        out, at = [], -1
-        for w in due:
-            while at + 1 < len(answers) and answers[at + 1][0] <= w[0]:
-                at += 1
-            fits = at >= 0 and (self.max_age is None or w[0] - answers[at][0] <= self.max_age)
-            out.append((key[0], w[2], answers[at][2] if fits else None))
+        answers = sorted(self.latest.get(), key=lambda a: a[:3]) if self.latest.exists() else []
+        of_key = {k: list(own) for k, own in groupby(answers, key=lambda a: a[0])}
+        times = {k: [a[1] for a in own] for k, own in of_key.items()}
+        due, later = [w for w in waiting if w[1] <= now], [w for w in waiting if w[1] > now]
+        out = []
+        for k, at, _, held in due:
+            i = bisect_right(times.get(k, ()), at) - 1
+            fits = i >= 0 and (self.max_age is None or at - times[k][i] <= self.max_age)
+            out.append((held, of_key[k][i][3] if fits else None))
         if due:
             self._keep(self.waiting, later)
-            if later:
-                self.handle.registerTimer(_millis(min(w[0] for w in later)))
-        passed = [a for a in answers if a[0] <= now]
-        last = [a for a in passed[-1:] if self.max_age is None or a[0] + self.max_age > now]
-        if len(passed) > len(last):
-            self._keep(self.latest, last + [a for a in answers if a[0] > now])
+        wanted = []
+        for k, own in of_key.items():
+            passed = bisect_right(times[k], now)
+            wanted += [a for a in own[max(0, passed - 1):passed] if self.max_age is None or a[1] + self.max_age > now] + own[passed:]
+        if len(wanted) < len(answers):
+            self._keep(self.latest, wanted)
+        self._wake(later, wanted)
         if out:
-            yield pd.DataFrame(out, columns=[self.key, "asof_left", "asof_right"])
+            yield pd.DataFrame(out, columns=["asof_left", "asof_right"])
+
+    def _wake(self, waiting: list, answers: list) -> None:
+        """A timer for the first row that becomes due or too old."""
+        ends = [w[1] for w in waiting]
+        if self.max_age is not None:
+            ends += [a[1] + self.max_age for a in answers]
+        if ends:
+            self.handle.registerTimer(_millis(min(ends)))
 
     @staticmethod
     def _keep(state, rows: list) -> None:
@@ -107,22 +122,23 @@ def asof_join_streams(
     clash = set(left.columns) & set(take)
     if clash:
         raise ValueError(f"both sides have {sorted(clash)}; rename them first")
-    rest = [c for c in left.columns if c != key]
     # Rows travel as text, so that whole numbers and NULLs stay what they are; only one column carries the watermark.
     row = lambda columns, time: F.to_json(F.struct(*[
         (F.timestamp_micros(F.unix_micros(c)) if c == time else F.col(c)).alias(c) for c in columns]), FORMAT)
     tied = F.coalesce(F.col(tie).cast("long"), F.lit(-(2**63)))
+    kind = left.schema[key].dataType.simpleString()
+    name = (F.col(key) + F.lit(0.0) if kind in ("float", "double") else F.col(key)).cast("string")  # 0 and -0 are one key
     sides = [
         df.filter(F.col(key).isNotNull()).select(
-            F.col(key), F.col(time).alias("asof_time"), F.unix_micros(time).alias("asof_at"), F.lit(side).alias("asof_side"),
+            name.alias("asof_key"), F.col(time).alias("asof_time"), F.unix_micros(time).alias("asof_at"), F.lit(side).alias("asof_side"),
             order.alias("asof_tie"), row(columns, time).alias("asof_row"))
-        for df, time, side, order, columns in ((left, at, LEFT, F.lit(0).cast("long"), rest), (right, since, RIGHT, tied, take))]
+        for df, time, side, order, columns in ((left, at, LEFT, F.lit(0).cast("long"), left.columns), (right, since, RIGHT, tied, take))]
     both = sides[0].unionByName(sides[1]).filter(F.col("asof_at").isNotNull())
-    kind = left.schema[key].dataType.simpleString()
-    joined = both.groupBy(key).transformWithStateInPandas(
-        LatestBefore(key, None if max_age_seconds is None else max_age_seconds * 1_000_000),
-        outputStructType=f"{key} {kind}, asof_left string, asof_right string", outputMode="Append", timeMode="EventTime")
+    bucketed = both.withColumn("asof_bucket", F.pmod(F.xxhash64("asof_key"), F.lit(BUCKETS)).cast("int"))
+    joined = bucketed.groupBy("asof_bucket").transformWithStateInPandas(
+        LatestBefore(None if max_age_seconds is None else max_age_seconds * 1_000_000),
+        outputStructType="asof_left string, asof_right string", outputMode="Append", timeMode="EventTime")
     schema = lambda df, columns: ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     read = joined.select(
-        key, F.from_json("asof_left", schema(left, rest), FORMAT).alias("asof_left"), F.from_json("asof_right", schema(right, take), FORMAT).alias("asof_right"))
-    return read.select(key, *[F.col("asof_left")[c].alias(c) for c in rest], *[F.col("asof_right")[c].alias(c) for c in take]).select(*left.columns, *take)
+        F.from_json("asof_left", schema(left, left.columns), FORMAT).alias("asof_left"), F.from_json("asof_right", schema(right, take), FORMAT).alias("asof_right"))
+    return read.select(*[F.col("asof_left")[c].alias(c) for c in left.columns], *[F.col("asof_right")[c].alias(c) for c in take])
