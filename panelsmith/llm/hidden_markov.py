@@ -12,8 +12,9 @@ size whatever the vocabulary, and the model is a proper distribution over words.
 
 Texts are read once into blocks of about two million tokens: the words of a
 block are numbered, and only its distinct words travel to be counted and come
-back with their counts.  Training starts from a bounded sample and then runs
-Baum-Welch over all training texts: each task adds up expected counts over its
+back with their counts.  Training takes no sample.  Whole training texts are
+first shared out among the states by their words, some times over, and then
+Baum-Welch runs over all of them: each task adds up expected counts over its
 blocks, Spark adds them up over the tasks.  For training, texts are cut into
 sequences of 64 tokens; a score is the exact likelihood of the whole text by
 the scaled forward recursion.
@@ -38,8 +39,7 @@ STATES = 8
 CLASSES = 8192  # 0: unknown words, 1: the end of a text
 BLOCK_TOKENS = 2_000_000
 SEQUENCE = 64
-SAMPLE_DOCS = 1000  # most training texts that the first guess is made from
-SAMPLE_ROUNDS, ROUNDS = 12, 2
+GROUPINGS, ROUNDS = 4, 6  # passes over all training texts
 SMOOTHING = 1000.0  # so many tokens of every state are spread as all tokens are
 LONG = 4096  # longer texts are scored by products over stretches of them
 END = np.uint64(0x1D8E4E27C47D124F)
@@ -184,26 +184,25 @@ def maximised(first: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.n
     return Model((first + 1) / (first + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True), known)
 
 
-def guess(seqs: list[np.ndarray], share: np.ndarray, unknown: float) -> Model:
-    """A first model: texts as unlike each other as can be give a state each, then some rounds on the sample."""
-    held = np.stack([np.bincount(s, minlength=CLASSES) for s in seqs]).astype(float)
-    roots = np.sqrt(held / held.sum(axis=1, keepdims=True))
-    seeds = [int(np.argmax(held.sum(axis=1)))]
-    near = roots @ roots[seeds[0]]
-    for _ in range(STATES - 1):
-        trust = np.minimum(1, held.sum(axis=1) / 200)  # short texts are unlike all others by chance
-        seeds.append(int(np.argmax((1 - near) * trust)))
-        near = np.maximum(near, roots @ roots[seeds[-1]])
+def loose(emit: np.ndarray, first: np.ndarray, share: np.ndarray, unknown: float) -> Model:
+    """A model whose states keep to themselves, with ``emit`` as expected counts."""
     sticky = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
-    emit = held[seeds].T + 200 * share[:, None] + 1e-9
-    emit[0] = 0
-    emit = emit / emit.sum(axis=0) * (1 - unknown)
-    emit[0] = unknown
-    model = Model(np.full(STATES, 1 / STATES), sticky / sticky.sum(axis=1, keepdims=True), emit)
-    parts, begins = cut(seqs)
-    for _ in range(SAMPLE_ROUNDS):
-        model = maximised(*model.expected(parts, begins), share, unknown)
-    return model
+    return maximised(first, 1000 * sticky, emit, share, unknown)
+
+
+def unlike(share: np.ndarray, unknown: float) -> Model:
+    """The model before any text is seen: states that like and dislike classes by a fixed draw."""
+    taste = np.random.default_rng(STATES).choice([0.5, 1.5], (CLASSES, STATES))
+    return loose(1e6 * share[:, None] * taste, np.ones(STATES), share, unknown)
+
+
+def shared_out(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of first states and emissions when each whole text goes to the state that likes its words best."""
+    flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    likes = np.add.reduceat(np.log(model.emit + 1e-300)[flat], np.cumsum(sizes) - sizes, axis=0)
+    best = np.argmax(likes, axis=1)
+    emit = np.bincount(flat.astype(np.int64) * STATES + np.repeat(best, sizes), minlength=CLASSES * STATES)
+    return np.bincount(best, minlength=STATES).astype(float), np.zeros((STATES, STATES)), emit.reshape(CLASSES, STATES).astype(float)
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +259,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["word", "block", "number", "class", "n"])
 
 
-def _expectations(model: Model):
+def _expectations(model: Model, whole: bool = False):
+    """Sums over a task's training texts: of whole texts shared out among states, or expected ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = None
         for batch in batches:
@@ -268,9 +269,9 @@ def _expectations(model: Model):
                 sizes, learn, ids = _unpacked(batch, i)
                 classes = class_of(batch["vocabulary"][i].values.to_numpy().view(np.uint64))[ids]
                 texts = np.split(classes, np.cumsum(sizes)[:-1])
-                parts, begins = cut([t for t, ok in zip(texts, learn) if ok])
-                if parts:
-                    found = model.expected(parts, begins)
+                texts = [t for t, ok in zip(texts, learn) if ok]
+                if texts:
+                    found = shared_out(model, texts) if whole else model.expected(*cut(texts))
                     totals = found if totals is None else tuple(a + b for a, b in zip(totals, found))
         if totals is not None:
             flat = np.concatenate([t.reshape(-1) for t in totals])
@@ -347,17 +348,21 @@ def scored(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: s
 
     if n_train:
         share = tokens / n_train
-        drawn = rows.filter("learn").select("doc").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_DOCS).distinct()
-        some = rows.filter("learn").join(F.broadcast(drawn), "doc", "left_semi")  # at most SAMPLE_DOCS ids
-        sample = some.mapInArrow(_classes, "doc string, classes binary").orderBy("doc", F.crc32("classes")).limit(SAMPLE_DOCS).toArrow()
-        model = guess([np.frombuffer(c, "<i4") for c in sample["classes"].to_pylist()], share, unknown)
-        for _ in range(ROUNDS):
-            sums = read.select("learn", "sizes", "ids", "vocabulary").mapInArrow(_expectations(model), "at int, value double")
+
+        def counted_by(model: Model, whole: bool) -> list[np.ndarray]:
+            sums = read.select("learn", "sizes", "ids", "vocabulary").mapInArrow(_expectations(model, whole), "at int, value double")
             found = sums.groupBy("at").agg(F.sum("value").alias("value")).toArrow()  # at most the size of the model
             flat = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
             flat[found["at"].to_numpy()] = found["value"].to_numpy()
-            parts = np.split(flat, [STATES, STATES + STATES * STATES])
-            model = maximised(parts[0], parts[1].reshape(STATES, STATES), parts[2].reshape(CLASSES, STATES), share, unknown)
+            first, move, emit = np.split(flat, [STATES, STATES + STATES * STATES])
+            return [first, move.reshape(STATES, STATES), emit.reshape(CLASSES, STATES)]
+
+        model = unlike(share, unknown)
+        for _ in range(GROUPINGS):
+            first, _, emit = counted_by(model, True)
+            model = loose(emit, first, share, unknown)
+        for _ in range(ROUNDS):
+            model = maximised(*counted_by(model, False), share, unknown)
     else:
         emit = np.zeros((CLASSES, STATES))
         emit[0] = 1
@@ -369,13 +374,3 @@ def scored(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: s
     done = ready.mapInArrow(_scores(model, np.maximum(tokens + 0.5 * words, 0.5), n_train, v_train),
                             f"doc {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc", F.col("learn").alias("learned"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch.column(1)):
-            found = part.words()
-            classes = class_of(found.hashes())
-            own = [np.append(classes[lo:hi], np.int32(1)).astype("<i4").tobytes() for lo, hi in zip(found.first[:-1], found.first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.first, len(part)).cast(pa.string()), pa.array(own, pa.binary())], names=["doc", "classes"])

@@ -379,3 +379,15 @@ def test_a_block_whose_visitors_reach_no_cell_has_no_links():
         [n(1, 1, 1), n(0, 0, 0), n(0, 0, 0), pa.array([0, 1, 1], pa.int32()), pa.array([1, 1, 1], pa.int32()), n(7, 8, 9), n(7, 8, 9), n(5, 5, 5), n(1, 1, 1), pa.array(x)],
         names=["key", "i", "j", "kind", "code", "head", "h1", "space", "weight", "embedding"])
     assert list(embedding_dedup._compare(index, 0.93)(iter([block]))) == []
+
+
+def test_the_first_states_take_every_training_text():
+    rng = np.random.default_rng(3)
+    share = np.full(hidden_markov.CLASSES, 1 / hidden_markov.CLASSES)
+    texts = [rng.integers(50 + 1000 * (i % 2), 90 + 1000 * (i % 2), rng.integers(1, 300)).astype(np.int32) for i in range(1500)]
+    model = hidden_markov.unlike(share, 1e-6)
+    for _ in range(hidden_markov.GROUPINGS):
+        first, _, emit = hidden_markov.shared_out(model, texts)
+        assert first.sum() == len(texts) and emit.sum() == sum(map(len, texts))
+        model = hidden_markov.loose(emit, first, share, 1e-6)
+    assert (np.minimum(emit[50:90].sum(axis=0), emit[1050:1090].sum(axis=0)) == 0).all()  # no state holds both kinds
