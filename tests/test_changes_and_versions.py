@@ -99,3 +99,28 @@ def test_repeated_rows_of_a_differing_branch_are_an_error(spark):
     old, new = frame(spark, panel_rows()), frame(spark, panel_rows())
     with pytest.raises(Exception, match="repeated row"):
         reconcile.differences(old, new.unionByName(new.filter("asset = 3 and px = 5")), ["px", "vol"]).collect()
+
+
+def test_alarms_come_from_batches_after_one_placing(spark, capsys):
+    """No row is handed to Python by itself, and rows that a window has placed by asset are not moved again."""
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(a, day(n), float(n % 7 * a)) for a in range(5) for n in range(60)], "asset long, d date, v double").repartition(3)
+    scored = df.select("asset", "d", (F.col("v") - F.avg("v").over(Window.partitionBy("asset").orderBy("d").rowsBetween(-20, -1))).alias("z"))
+    capsys.readouterr()
+    change_points(scored, "z").explain("formatted")
+    text = capsys.readouterr().out
+    assert "MapInArrow" in text and "UDTF" not in text
+    assert text.count("hashpartitioning") == 1
+
+
+def test_a_new_asset_and_a_new_stretch_of_a_batch(spark, monkeypatch):
+    """Sums end with their asset and go on from one stretch of a batch to the next."""
+    from panelsmith.operators import changes
+
+    monkeypatch.setattr(changes, "STRETCH", 3)
+    rows = [(a, day(n), 1.0) for a in (None, 1, 2) for n in range(8)]  # steps of a half: 4.0 at the end, never above
+    df = spark.createDataFrame(rows, "asset long, d date, z double")
+    assert change_points(df, "z", 0.5, 4.0).count() == 0
+    got = sorted((str(r.asset), r.since, r.d, r.side, r.score) for r in change_points(df, "z", 0.5, 3.5).collect())
+    assert got == [(str(a), day(0), day(7), "up", 4.0) for a in (1, 2, None)]
