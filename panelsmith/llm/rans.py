@@ -75,24 +75,30 @@ def encode(ids: np.ndarray, table: Frequencies) -> tuple[np.ndarray, np.ndarray,
     symbols = np.zeros(segments * SEGMENT, np.int64)
     symbols[:n] = table.place_of[ids]
     symbols = symbols.reshape(segments, STEPS, LANES)
-    inside = (np.arange(segments * SEGMENT) < n).reshape(segments, STEPS, LANES)
+    freq, before = table.freq[symbols], table.before[symbols]
     state = np.full((segments, LANES), LOW)
+    flat = state.reshape(-1)
     scale, step_limit = np.uint64(table.scale), (LOW >> np.uint64(table.scale)) << WORD
+    limit, rest = step_limit * freq, (np.uint64(1) << scale) - freq
     out, sizes = [], np.zeros((segments, STEPS), np.int64)
     whole = n == segments * SEGMENT
+    inside = None if whole else (np.arange(segments * SEGMENT) < n).reshape(segments, STEPS, LANES)
     for t in range(STEPS - 1, -1, -1):
-        s = symbols[:, t]
-        f = table.freq[s]
-        live = inside[:, t]
-        full = state >= step_limit * f
+        full = state >= limit[:, t]
         if not whole:
-            full &= live
-        out.append((state[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-        sizes[:, t] = full.sum(axis=1)
-        x = np.where(full, state >> WORD, state)
-        q = x // f
-        x = (q << scale) + (x - q * f) + table.before[s]
-        state = x if whole else np.where(live, x, state)
+            full &= inside[:, t]
+        at = np.flatnonzero(full)
+        held = flat[at]
+        out.append(held.astype("<u4"))
+        sizes[:, t] = np.bincount(at // LANES, minlength=segments)
+        flat[at] = held >> WORD
+        # The quotient by the frequency moves up, the remainder stays: q * 2 ** scale + (x - q * f) + before.
+        x = state // freq[:, t]
+        x *= rest[:, t]
+        x += before[:, t]
+        if not whole:
+            x *= inside[:, t]
+        state += x
     words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
     # Words lie step by step, segments side by side; put each segment's together.
     owner = np.repeat(np.tile(np.arange(segments), STEPS), sizes.T.ravel())
@@ -105,14 +111,18 @@ def decode(words: np.ndarray, starts: np.ndarray, states: np.ndarray, n: int, ta
     state, at = states.copy(), starts.astype(np.int64).copy()
     words = np.append(words, np.zeros(1, words.dtype))
     out = np.empty((segments, STEPS, LANES), np.uint32)
-    inside = (np.arange(segments * SEGMENT) < n).reshape(segments, STEPS, LANES)
     whole = n == segments * SEGMENT
+    inside = None if whole else (np.arange(segments * SEGMENT) < n).reshape(segments, STEPS, LANES)
     mask, scale = np.uint64((1 << table.scale) - 1), np.uint64(table.scale)
     for t in range(STEPS):
         slot = state & mask
-        s = table.symbol_of[slot]
+        s = table.symbol_of.take(slot.view(np.int64))
         out[:, t] = s
-        x = table.freq[s] * (state >> scale) + slot - table.before[s]
+        s = s.astype(np.intp)
+        x = state >> scale
+        x *= table.freq.take(s)
+        x += slot
+        x -= table.before.take(s)
         low = x < LOW
         if not whole:
             live = inside[:, t]
@@ -120,9 +130,11 @@ def decode(words: np.ndarray, starts: np.ndarray, states: np.ndarray, n: int, ta
                 break
             low &= live
             x = np.where(live, x, state)
-        rank = np.cumsum(low, axis=1)
-        place = (at[:, None] + rank - 1)[low]
-        x[low] = (x[low] << WORD) | words[place].astype(np.uint64)
-        at += rank[:, -1]
+        flat = x.reshape(-1)
+        short = np.flatnonzero(low)
+        taken = np.bincount(short // LANES, minlength=segments)
+        place = np.repeat(at - np.cumsum(taken) + taken, taken) + np.arange(len(short))
+        flat[short] = (flat[short] << WORD) | words[place]
+        at += taken
         state = x
     return table.ids[out.reshape(-1)[:n]]

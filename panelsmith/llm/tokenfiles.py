@@ -31,6 +31,7 @@ from panelsmith.llm.packing import tokenized, tokenizer_path, unpack_ids
 END_ID = 2
 COUNT_AT_ONCE = 1 << 20  # ids
 DENSE_IDS = 1 << 22  # ids below this are counted in an array
+BLOCKS_AT_ONCE = 8  # decoded together, which makes the arrays of a step longer
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +177,27 @@ def _checked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.frombuffer(row["states"], "<u8").reshape(-1, rans.LANES))
 
 
+def _decoded(batch: pa.RecordBatch, table: rans.Frequencies) -> Iterator[tuple[int, dict, np.ndarray]]:
+    """Each block of a batch with its ids; whole blocks that follow each other are decoded together."""
+    k = 0
+    while k < batch.num_rows:
+        rows, held, words = [], [], 0
+        while k < batch.num_rows and len(rows) < BLOCKS_AT_ONCE and (not rows or rows[-1]["n"] == rans.BLOCK):
+            row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "docs"}
+            some, starts, states = _checked(row)
+            held.append((some, starts + words, states))
+            rows.append(row)
+            words += len(some)
+            k += 1
+        ids = rans.decode(*map(np.concatenate, zip(*held)), sum(row["n"] for row in rows), table)
+        for i, row in enumerate(rows):
+            yield k - len(rows) + i, row, ids[i * rans.BLOCK:i * rans.BLOCK + row["n"]]
+
+
 def _parts(table: rans.Frequencies, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "docs"}
-                ids = rans.decode(*_checked(row), row["n"], table)
+            for k, row, ids in _decoded(batch, table):
                 docs = batch.column("docs").slice(k, 1).flatten()
                 at, length, total = (docs.field(c).to_numpy() for c in ("at", "length", "total"))
                 ends = np.cumsum(length)

@@ -20,6 +20,8 @@ SIZE_BITS = 24  # of a word's number of ids, beside the place where they begin
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Letters for which lower-casing is all that normalising does, and signs beside them.
 PLAIN = regex.compile(r"[!-~¡-ɏ]+")
+# Signs of ASCII, which are a part of their own behind letters.
+SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 def _byte_letters() -> dict[int, int]:
@@ -30,6 +32,14 @@ def _byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = _byte_letters()
+LETTER_OF = [chr(BYTE_LETTERS[b]) for b in range(256)]
+
+
+def _plain_letters(word: bytes) -> bool:
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode("utf-8", "replace")
+    return text.lower().isalpha() and PLAIN.fullmatch(text) is not None
 
 
 class Words(dict):
@@ -63,7 +73,7 @@ class WordTokenizer:
     def _letters(self, part: str) -> list[int]:
         """Ids of a part in lower case."""
         if not part.isascii():
-            part = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            part = "".join([LETTER_OF[b] for b in part.encode()])
         return [t.id for t in self.model.tokenize(part)]
 
     def _part(self, part: str) -> list[int]:
@@ -84,7 +94,12 @@ class WordTokenizer:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, word: bytes) -> int:
-        if word.isalpha() and word.islower():  # letters of ASCII
+        stem = word.rstrip(SIGNS)
+        if len(stem) < len(word) and b"<|" not in word and _plain_letters(stem):  # the stem's ids, as learned, and those of the signs
+            at = self.words[stem]
+            first = at >> SIZE_BITS
+            ids = [*self.pool[first:first + (at & ((1 << SIZE_BITS) - 1))], *self._part(word[len(stem):].decode())]
+        elif word.isalpha() and word.islower():  # letters of ASCII
             ids = [t.id for t in self.model.tokenize(word.decode())]
         else:
             ids = self._ids(word)

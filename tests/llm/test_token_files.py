@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +11,7 @@ from pyspark.errors import PythonException
 
 from panelsmith.llm import rans, tokenfiles
 from panelsmith.llm.packing import tokenizer_path
+from panelsmith.llm.tokenizing import WordTokenizer
 from panelsmith.storage import new_path
 from tests.llm.test_text_operators import LONG, SCHEMA, awkward
 
@@ -118,3 +120,39 @@ def test_an_empty_table(spark):
     folder = new_path(spark, "test-no-tokens")
     tokenfiles.write(spark.createDataFrame([], SCHEMA), folder)
     assert tokenfiles.read(spark, folder).count() == 0 and tokenfiles.span(spark, folder, 0, 9).count() == 0
+
+
+def test_blocks_are_decoded_together_and_give_the_same_ids(monkeypatch):
+    """One call for whole blocks that follow each other, the short one behind them included."""
+    rng = np.random.default_rng(5)
+    sizes = [rans.BLOCK] * 3 + [70_001, rans.BLOCK, 5]
+    ids = [rng.integers(0, 900, n).astype(np.uint32) for n in sizes]
+    table = rans.frequencies(*np.unique(np.concatenate(ids), return_counts=True))
+    rows = []
+    for n, x in zip(sizes, ids):
+        words, starts, states = rans.encode(x, table)
+        packed = words.tobytes(), starts.astype("<i8").tobytes(), states.astype("<u8").tobytes()
+        rows.append({"shard": 0, "first": 0, "n": n, "crc32": tokenfiles.checksum(n, *packed), **dict(zip(("words", "checkpoints", "states"), packed)), "docs": []})
+    calls, decode = [], rans.decode
+    monkeypatch.setattr(rans, "decode", lambda *a: calls.append(a[3]) or decode(*a))
+    got = list(tokenfiles._decoded(pa.RecordBatch.from_pylist(rows), table))
+    assert [k for k, _, _ in got] == list(range(6)) and all(np.array_equal(x, y) for (_, _, x), y in zip(got, ids))
+    assert calls == [3 * rans.BLOCK + 70_001, rans.BLOCK + 5]
+
+
+def test_signs_behind_a_word_need_no_new_merges():
+    """A word with signs behind it takes the ids of its stem as learned."""
+    words = WordTokenizer(tokenizer_path())
+    asked = []
+
+    class Model:
+        def tokenize(self, part, model=words.model):
+            asked.append(part)
+            return model.tokenize(part)
+
+    words.model = Model()
+    texts = ["stem étude", "stem. étude! stem... Stem, étude$$$ stem's", "it's' é. Çà! word<| a<|endoftext|>. x_ _x ß?? 1a! İx. ab1."]
+    for text in texts[:2]:
+        assert words.encode(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("stem") == 2 and len([p for p in asked if p.endswith("tude")]) == 1  # "stem's" is taken apart
+    assert words.encode(texts[2]).tolist() == words.tokenizer.encode(texts[2], add_special_tokens=False).ids
