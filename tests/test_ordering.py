@@ -134,3 +134,23 @@ def test_cuts_are_looked_up_in_two_steps(spark, n, width):
             assert (r.below, r.cut) == (sum(c < r.x for c in cuts), r.x in cuts)
         else:
             assert not r.cut
+
+
+def test_ranks_by_piece_place_rows_once_a_column(spark, monkeypatch):
+    """No row is moved for a sketch of its group or to learn its slice's size; no task holds much of a busy value."""
+    from panelsmith.operators import ordering
+
+    rng = np.random.default_rng(11)
+    rows = [(None if g == 2 else g, i, [None, float("nan"), 1e300, -0.0, 0.0, 1e-300][i % 40] if i % 40 < 6 else 7.0 if rng.random() < 0.6 else float(rng.normal()))
+            for g, size in enumerate((5000, 400, 30)) for i in range(size)]
+    df = spark.createDataFrame(rows, "g int, asset long, x double")
+    written, settle = [], ordering.settle
+    monkeypatch.setattr(ordering, "settle", lambda df, label, *a: written.append((label, settle(df, label, *a))) or written[-1][1])
+    sliced = average_ranks(df, ["g"], {"x": "rank", "asset": "other"}, slices=16)
+    plain = average_ranks(df, ["g"], {"x": "rank", "asset": "other"}, group_rows=5000)
+    key = lambda d: sorted(((str(r.g), r.asset, str(r.x), r.rank, r.other) for r in d.collect()), key=str)
+    assert key(sliced) == key(plain)
+    places = [t for label, t in written if label == "ranks" and "_place" in t.columns]
+    assert len(places) == 2 and not any("slice" in label for label, _ in written)
+    pieces = places[0].filter("x = 7.0").groupBy("_piece_0").count().toPandas()["count"]
+    assert len(pieces) > 3 and pieces.max() < 0.25 * len(rows)
