@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelsmith.llm import langid, linededup
 from panelsmith.llm.queries import LLM_REGISTRY
+from panelsmith.session import return_memory
 from tests.compare import differences, sql_connection
 from tests.llm.test_text_operators import SCHEMA, awkward
 
@@ -141,3 +142,14 @@ def test_bitmaps_are_smaller_than_the_lines_they_drop(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     dropped = linededup.dropped_lines(docs)
     assert linededup.bitmaps(dropped).select(F.sum(F.size("words"))).first()[0] <= dropped.count()
+
+
+def test_stages_return_freed_memory(spark, monkeypatch):
+    """Every stage gives back what the driver's JVM has freed outside its heap, and goes on where that can't be done."""
+    assert return_memory(spark)
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "return_memory", lambda session: called.append(session) or False)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).count() == 0
+    assert called == [spark] * len(corpus_pipeline.STAGES)
