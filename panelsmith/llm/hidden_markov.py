@@ -41,7 +41,11 @@ BLOCK_TOKENS = 2_000_000
 SEQUENCE = 64
 GROUPINGS, ROUNDS = 4, 6  # passes over all training texts
 SMOOTHING = 1000.0  # so many tokens of every state are spread as all tokens are
+SIDE_BY_SIDE = 2048  # training sequences walked at once
+RESCALED = 8  # a recursion's values are brought back to a sum of 1 after so many tokens; a token takes some 20 decimal powers at worst
+SUMS = np.ones((STATES, STATES))  # a product with it has a row's sum in every place
 LONG = 4096  # longer texts are scored by products over stretches of them
+OF_STATES = [f"s{s}" for s in range(STATES)]
 END = np.uint64(0x1D8E4E27C47D124F)
 
 
@@ -69,47 +73,56 @@ class Model:
         """Expected counts over sequences of classes: of first states (where ``begins``), moves and emissions."""
         first, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
         usual = self.usual
-        for lo in range(0, len(seqs), 4096):
-            self._expected(seqs[lo:lo + 4096], begins[lo:lo + 4096], usual, first, move, emit)
-        return first, move, emit
+        order = np.argsort([-len(s) for s in seqs], kind="stable")
+        for lo in range(0, len(seqs), SIDE_BY_SIDE):
+            some = order[lo:lo + SIDE_BY_SIDE]
+            self._expected([seqs[i] for i in some], begins[some], usual, first, move, emit)
+        return first, move * self.move, emit
 
     def _expected(self, seqs, begins, usual, first, move, emit) -> None:
-        order = np.argsort([-len(s) for s in seqs], kind="stable")
-        seqs, begins = [seqs[i] for i in order], begins[order]
+        """Adds the counts of sequences that come longest first; ``move`` lacks the factor of the move itself."""
         sizes = np.array([len(s) for s in seqs])
-        longest = int(sizes[0])
-        grid = np.zeros((longest, len(seqs)), np.int32)
+        starts = np.cumsum(sizes) - sizes
         flat = np.concatenate(seqs)
-        column = np.repeat(np.arange(len(seqs)), sizes)
-        grid[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), column] = flat
-        active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(longest)]
-        ahead, scale, seen = [], [], []
-        for t in range(longest):
-            n = active[t]
-            e = self.emit[grid[t, :n]]
-            a = np.where(begins[:n, None], self.first, usual) * e if t == 0 else (ahead[-1][:n] @ self.move) * e
-            total = a.sum(axis=1, keepdims=True)
-            ahead.append(a / total)
-            scale.append(total)
-            seen.append(e)
-        back = np.ones((0, STATES))
-        for t in range(longest - 1, -1, -1):
-            n = active[t]
-            if t + 1 < longest:
-                m = active[t + 1]
-                onward = seen[t + 1] * back / scale[t + 1]
-                move += ahead[t][:m].T @ onward * self.move
-                back = np.concatenate([onward @ self.move.T, np.ones((n - m, STATES))])
+        longest = int(sizes[0])
+        active = np.searchsorted(-sizes, -np.arange(longest), "left")
+        # Tokens lie by their place in the sequence: row[t] holds those of place t.
+        ends = np.cumsum(active)
+        row = [slice(hi - n, hi) for hi, n in zip(ends, active)]
+        classes = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(active)]).astype(np.int64)
+        seen = np.take(self.emit, classes, axis=0)
+        ahead = np.empty_like(seen)
+        scale = {}
+        for t, n in enumerate(active):
+            a = ahead[row[t]]
+            if t == 0:
+                np.multiply(np.where(begins[:, None], self.first, usual), seen[row[t]], out=a)
             else:
-                back = np.ones((n, STATES))
-            held = ahead[t] * back
-            held /= held.sum(axis=1, keepdims=True)
-            ahead[t] = held
-        first += ahead[0][begins].sum(axis=0)
-        classes = np.concatenate([grid[t, :active[t]] for t in range(longest)])
-        every = np.concatenate(ahead)
+                np.matmul(ahead[row[t - 1]][:n], self.move, out=a)
+                a *= seen[row[t]]
+            if t % RESCALED == RESCALED - 1:
+                scale[t] = 1 / (a @ SUMS)
+                a *= scale[t]
+        back_move = np.ascontiguousarray(self.move.T)
+        later = None
+        for t in range(longest - 1, -1, -1):
+            held = ahead[row[t]]
+            n, m = active[t], active[t + 1] if t + 1 < longest else 0
+            back = np.empty((n, STATES))
+            if m:
+                onward = seen[row[t + 1]]  # not needed again
+                onward *= later
+                if t + 1 in scale:
+                    onward *= scale[t + 1]
+                move += held[:m].T @ onward
+                np.matmul(onward, back_move, out=back[:m])
+            back[m:] = 1 / (held[m:] @ SUMS)  # sequences that end here
+            held *= back
+            later = back
+        first += ahead[row[0]][begins].sum(axis=0)
+        every = np.ascontiguousarray(ahead.T)
         for s in range(STATES):
-            emit[:, s] += np.bincount(classes, every[:, s], CLASSES)
+            emit[:, s] += np.bincount(classes, every[s], CLASSES)
 
     def log10_likelihood(self, seqs: list[np.ndarray]) -> np.ndarray:
         """Of each whole sequence of classes, by the scaled forward recursion; an empty one has 0."""
@@ -124,16 +137,20 @@ class Model:
             size = sizes[some]
             begin = np.concatenate([[0], np.cumsum(size)[:-1]])
             flat = np.concatenate([seqs[i] for i in some])
-            total = np.zeros(len(some))
+            total, last = np.zeros(len(some)), np.ones(len(some))
+            active = np.append(np.searchsorted(-size, -np.arange(size[0]), "left"), 0)
             a = None
-            for t in range(int(size[0])):
-                n = int(np.searchsorted(-size, -t, "left"))
-                e = self.emit[flat[begin[:n] + t]]
-                a = self.first * e if a is None else (a[:n] @ self.move) * e
-                s = a.sum(axis=1)
-                a = a / s[:, None]
-                total[:n] += np.log10(s)
-            out[some] = total
+            for t, n in enumerate(active[:-1]):
+                e = np.take(self.emit, flat[begin[:n] + t], axis=0)
+                a = self.first * e if a is None else np.multiply(a[:n] @ self.move, e, out=e)
+                if t % RESCALED == RESCALED - 1:
+                    s = a @ SUMS
+                    a /= s
+                    total[:n] += np.log10(s[:, 0])
+                m = active[t + 1]
+                if m < n:  # texts that end here
+                    last[m:n] = a[m:].sum(axis=1)
+            out[some] = total + np.log10(last)
         return out
 
     def _long(self, seq: np.ndarray, stretch: int = 256) -> float:
@@ -198,10 +215,11 @@ def unlike(share: np.ndarray, unknown: float) -> Model:
 
 def shared_out(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of first states and emissions when each whole text goes to the state that likes its words best."""
-    flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
-    likes = np.add.reduceat(np.log(model.emit + 1e-300)[flat], np.cumsum(sizes) - sizes, axis=0)
-    best = np.argmax(likes, axis=1)
-    emit = np.bincount(flat.astype(np.int64) * STATES + np.repeat(best, sizes), minlength=CLASSES * STATES)
+    flat, sizes = np.concatenate(texts).astype(np.int64), np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    likes = [np.add.reduceat(state[flat], starts) for state in np.ascontiguousarray(np.log(model.emit + 1e-300).T)]
+    best = np.argmax(likes, axis=0)
+    emit = np.bincount(flat * STATES + np.repeat(best, sizes), minlength=CLASSES * STATES)
     return np.bincount(best, minlength=STATES).astype(float), np.zeros((STATES, STATES)), emit.reshape(CLASSES, STATES).astype(float)
 
 
@@ -210,12 +228,13 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, learn, sizes, words, held = [], [], [], [], 0
 
     def full() -> pa.RecordBatch:
-        vocabulary, ids = np.unique(np.concatenate(words), return_inverse=True)
+        numbered = pa.array(np.concatenate(words).view(np.int64)).dictionary_encode()
+        vocabulary, ids = numbered.dictionary, numbered.indices.to_numpy()
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         size = np.concatenate(sizes)
         return pa.RecordBatch.from_arrays([
             pa.array([block]), one(pa.concat_arrays(docs)), one(pa.concat_arrays(learn)), one(pa.array(size.astype(np.int32))),
-            pa.array([pa.compress(ids.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()), one(pa.array(vocabulary.view(np.int64))),
+            pa.array([pa.compress(ids.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()), one(vocabulary),
         ], names=["block", "docs", "learn", "sizes", "ids", "vocabulary"])
 
     for batch in batches:
@@ -274,9 +293,9 @@ def _expectations(model: Model, whole: bool = False):
                     found = shared_out(model, texts) if whole else model.expected(*cut(texts))
                     totals = found if totals is None else tuple(a + b for a, b in zip(totals, found))
         if totals is not None:
-            flat = np.concatenate([t.reshape(-1) for t in totals])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "value"])
+            rows = np.vstack(totals)
+            at = np.flatnonzero(rows.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *map(pa.array, rows[at].T)], names=["at", *OF_STATES])
 
     return run
 
@@ -350,12 +369,12 @@ def scored(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: s
         share = tokens / n_train
 
         def counted_by(model: Model, whole: bool) -> list[np.ndarray]:
-            sums = read.select("learn", "sizes", "ids", "vocabulary").mapInArrow(_expectations(model, whole), "at int, value double")
-            found = sums.groupBy("at").agg(F.sum("value").alias("value")).toArrow()  # at most the size of the model
-            flat = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
-            flat[found["at"].to_numpy()] = found["value"].to_numpy()
-            first, move, emit = np.split(flat, [STATES, STATES + STATES * STATES])
-            return [first, move.reshape(STATES, STATES), emit.reshape(CLASSES, STATES)]
+            sums = read.select("learn", "sizes", "ids", "vocabulary").mapInArrow(
+                _expectations(model, whole), "at int, " + ", ".join(f"{s} double" for s in OF_STATES))
+            found = sums.groupBy("at").agg(*[F.sum(s).alias(s) for s in OF_STATES]).toArrow()  # at most the size of the model
+            rows = np.zeros((1 + STATES + CLASSES, STATES))
+            rows[found["at"].to_numpy()] = np.stack([found[s].to_numpy() for s in OF_STATES], axis=1)
+            return [rows[0], rows[1:1 + STATES], rows[1 + STATES:]]
 
         model = unlike(share, unknown)
         for _ in range(GROUPINGS):

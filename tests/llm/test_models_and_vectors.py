@@ -391,3 +391,56 @@ def test_the_first_states_take_every_training_text():
         assert first.sum() == len(texts) and emit.sum() == sum(map(len, texts))
         model = hidden_markov.loose(emit, first, share, 1e-6)
     assert (np.minimum(emit[50:90].sum(axis=0), emit[1050:1090].sum(axis=0)) == 0).all()  # no state holds both kinds
+
+
+def test_recursions_bear_rare_words_between_rescalings():
+    """Sequences of every length around the rescaling, of words of 1e-18, against recursions rescaled at each token."""
+    model, rng = small_model(4), np.random.default_rng(8)
+    emit = model.emit.copy()
+    emit[20:40] *= 1e-18 * rng.random((20, 1))
+    model = hidden_markov.Model(model.first, model.move, emit)
+    seqs = [rng.integers(20, 60, n) for n in range(1, 4 * hidden_markov.RESCALED)] * 2
+    begins = rng.random(len(seqs)) < 0.5
+    first, move, emit = np.zeros_like(model.first), np.zeros_like(model.move), np.zeros_like(model.emit)
+    for seq, begin, got in zip(seqs, begins, model.log10_likelihood(seqs)):
+        for start, keep in [(model.first, False), (model.first if begin else model.usual, True)]:
+            ahead, total = [], 0.0
+            for t, k in enumerate(seq):
+                a = (start if t == 0 else ahead[-1] @ model.move) * model.emit[k]
+                total += np.log10(a.sum())
+                ahead.append(a / a.sum())
+            if not keep:
+                assert got == pytest.approx(total, rel=1e-12)
+        back = np.ones(hidden_markov.STATES)
+        for t in range(len(seq) - 1, -1, -1):
+            held = ahead[t] * back / (ahead[t] * back).sum()
+            emit[seq[t]] += held
+            if t:
+                onward = model.emit[seq[t]] * back
+                pairs = np.outer(ahead[t - 1], onward) * model.move
+                move += pairs / pairs.sum()
+                back = model.move @ onward
+                back /= back.sum()
+        first += held * begin
+    for got, want in zip(model.expected(seqs, begins), (first, move, emit)):
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_task_sends_one_row_a_class(whole):
+    """Not one for every class and state: eight times as many rows went through the shuffle of each pass."""
+    rng = np.random.default_rng(2)
+    words, ids = rng.integers(0, 2**62, 5000), rng.integers(0, 5000, 20_000).astype("<i4")
+    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a))
+    block = pa.RecordBatch.from_arrays([
+        one(np.arange(200) % 5 > 0), one(np.full(200, 100, np.int32)), pa.array([pa.compress(ids.tobytes(), "zstd", asbytes=True)]), one(words),
+    ], names=["learn", "sizes", "ids", "vocabulary"])
+    sent, = hidden_markov._expectations(small_model(5), whole)(iter([block]))
+    classes = hidden_markov.class_of(words.view(np.uint64))[ids[np.repeat(np.arange(200) % 5 > 0, 100)]]
+    at = sent["at"].to_numpy()
+    assert len(at) == len(set(at)) <= 1 + hidden_markov.STATES + len(set(classes))
+    rows = np.zeros((1 + hidden_markov.STATES + hidden_markov.CLASSES, hidden_markov.STATES))
+    rows[at] = np.stack([c.to_numpy() for c in sent.columns[1:]], axis=1)
+    assert rows[0].sum() == pytest.approx(160)
+    assert rows[1:1 + hidden_markov.STATES].sum() == pytest.approx(0 if whole else 160 * 98)  # two sequences a text
+    assert rows[1 + hidden_markov.STATES:].sum(axis=1) == pytest.approx(np.bincount(classes, minlength=hidden_markov.CLASSES))
