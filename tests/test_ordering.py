@@ -154,3 +154,50 @@ def test_ranks_by_piece_place_rows_once_a_column(spark, monkeypatch):
     assert len(places) == 2 and not any("slice" in label for label, _ in written)
     pieces = places[0].filter("x = 7.0").groupBy("_piece_0").count().toPandas()["count"]
     assert len(pieces) > 3 and pieces.max() < 0.25 * len(rows)
+
+
+def test_only_groups_cut_by_a_range_are_placed_by_value(spark, monkeypatch):
+    """What slices write and place twice grows with the ranges, not with all rows."""
+    from panelsmith.operators import ordering
+
+    rng = np.random.default_rng(5)
+    rows = [(g, i, float(np.round(rng.normal(), 1))) for g in range(60) for i in range(50)]
+    df = spark.createDataFrame(rows, "g int, asset long, x double")
+    written, settle = [], ordering.settle
+    monkeypatch.setattr(ordering, "settle", lambda df, label, *a: written.append(settle(df, label, *a)) or written[-1])
+    sliced = as_pandas(average_ranks(df, ["g"], {"x": "rank", "asset": "other"}, slices=8))
+    plain = as_pandas(average_ranks(df, ["g"], {"x": "rank", "asset": "other"}, group_rows=50))
+    pd.testing.assert_frame_equal(plain, sliced[plain.columns])
+    placed = [t.count() for t in written if "_place" in t.columns]
+    assert len(placed) == 2 and 0 < max(placed) <= 8 * 50
+
+
+def test_groups_of_equal_hash_do_not_mix(spark):
+    numbers = spark.range(300_000).select((F.col("id") * 1_000_003_000_007).alias("id"))
+    hashes = numbers.groupBy(F.hash("id")).agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
+    a, b = hashes.first()["ids"][:2]
+    rng = np.random.default_rng(6)
+    rows = [(g, i, float(rng.normal())) for g in (a, b) for i in range(200)]
+    df = spark.createDataFrame(rows, "g long, asset long, x double")
+    plain = as_pandas(average_ranks(df, ["g"], {"x": "rank"}, group_rows=200))
+    sliced = as_pandas(average_ranks(df, ["g"], {"x": "rank"}, slices=4))
+    pd.testing.assert_frame_equal(plain, sliced[plain.columns])
+
+
+@pytest.mark.parametrize("slices", [1, 12])
+def test_parted_keeps_every_row_and_no_whole_group_above_a_range(spark, slices):
+    from panelsmith.operators import ordering
+
+    sizes = {None: 7, 1: 900, 2: 30, 3: 1, **{g: 20 for g in range(4, 40)}}
+    df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g int, asset long")
+    groups, pieces = ordering.cut_groups(df, ["g"], slices)
+    together, apart = [{r.g: r["count"] for r in t.groupBy("g").count().collect()} for t in ordering.parted(ordering.attach(df, groups, ["g"]))]
+    assert apart | together == sizes and not apart.keys() & together.keys()
+    assert pieces == slices and len(apart) <= slices and (1 in apart) == (slices > 1)
+    assert max(together.values()) <= -(-sum(sizes.values()) // slices)
+    assert sorted(r["_group"] for r in groups.collect()) == list(range(1, len(apart) + 1))
+
+
+def test_slices_of_nothing(spark):
+    df = spark.createDataFrame([], "g int, asset long, x double")
+    assert average_ranks(df, ["g"], {"x": "rank"}, slices=4).collect() == []
